@@ -34,7 +34,8 @@ _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 #: Texts and tokens that the field is fitted on at most.
 FIT_TEXTS = 500
 FIT_TOKENS = 20_000
-#: A span is added if each of its tokens has this probability of its kind, and if it holds @ or this many digits.
+#: A span is added if each of its tokens has this probability of its kind, and if it holds @ or this many digits; a card's
+#: must pass the check sum.
 SURE = 0.8
 LEAST_DIGITS = 7
 ROUNDS = 8
@@ -226,7 +227,10 @@ def all_spans(texts: list[str], model: dict[str, np.ndarray]) -> tuple[list[list
                 j += 1
             text, start, end = texts[g["doc"][i]], g["spans"][i][0], g["spans"][j - 1][1]
             said = text[start:end]
-            if "@" in said or sum(map(len, _DIGITS.findall(said))) >= LEAST_DIGITS:
+            digits = "".join(_DIGITS.findall(said))
+            if label[i] == KINDS.index("card") + 1 and not luhn(digits):
+                continue
+            if "@" in said or len(digits) >= LEAST_DIGITS:
                 more[g["doc"][i]].append((int(label[i]) - 1, start, end))
     return bases, [sorted(m) for m in more]
 
