@@ -39,12 +39,18 @@ def local_session(app: str = "scriptorium", cores: str = "8", memory: str = "8g"
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a copy in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all machines share.
 
-    Only where no such folder is set (tests on one machine) a temporary one is used.
+    Only where none is set (tests on one machine) a temporary one is used.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scriptorium-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a copy in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
