@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import prepared
 
 #: States of the transducer and words whose ids are remembered in a worker; when full, the memory starts anew.
-STATES = 200_000
+STATES = 500_000
 WORDS = 200_000
 #: Longer words are not remembered.
 LONGEST = 48
@@ -107,7 +109,7 @@ class Transducer:
                 limit, y = y + 1, sy[0]
             else:
                 break
-        if len(self.pairs) > 4 * STATES:
+        if len(self.pairs) > STATES:
             self.pairs.clear()
         self.pairs[(a, b)] = good
         return good
@@ -182,7 +184,10 @@ class _Words(dict):
         self.transducer = transducer
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.transducer.word(word.encode()), "<u4").tobytes()
+        packed = array("I", self.transducer.word(word.encode()))
+        if sys.byteorder == "big":
+            packed.byteswap()
+        ids = packed.tobytes()
         if len(word) <= LONGEST:
             if len(self) >= WORDS:
                 self.clear()
