@@ -13,8 +13,10 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts, one after the other, and the n + 1 offsets. Nulls must have been filled."""
+    """The bytes of all texts, one after the other, and the n + 1 offsets. Nulls are empty texts."""
     texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
     n = len(texts)
     _, where, data = texts.buffers()
     offsets = np.frombuffer(where, np.int64)[texts.offset : texts.offset + n + 1] if where else np.zeros(1, np.int64)
@@ -27,9 +29,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         n = batch.num_rows
         at = 0
-        texts = batch.column(column).cast(pa.large_string()).fill_null("")
-        batch = batch.set_column(batch.schema.get_field_index(column), column, texts)
-        _, offsets = flat(texts)
+        _, offsets = flat(batch.column(column))
         while at < n:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)

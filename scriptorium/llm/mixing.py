@@ -94,8 +94,8 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix(df: DataFrame, key: str, carry: list[str] | None = None, block: int = BLOCK, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(documents, slots) for rows of ``df`` with ``key``, source and size (number of words).
 
-    documents: key, the carried columns, size, source, source_size, target and ``taken``, the words that the mix takes
-    from the document, repeats counted. slots: slot (the order of the mix), source, block, words, ``pieces`` of which
+    documents: key, the carried columns, size, source, source_size, target, ``taken``, the words that the mix takes from
+    the document, repeats counted, and ``copies``, how often it takes the first word. slots: slot (the order of the mix), source, block, words, ``pieces`` of which
     hold each document's stretch: see ``schedule``. The documents of a source stand in a shuffled line (hash of the key
     and seed; ties by the columns), cut into blocks of equal words; a slot takes the next block of its source. Null
     sources are one source, the last. Documents without words take part with 0. A hot source's line is summed by ranges.
@@ -111,24 +111,49 @@ def mix(df: DataFrame, key: str, carry: list[str] | None = None, block: int = BL
     )
     line = checkpointed(line)
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
-    pieces = line.where("size > 0").select("_pos", "source", "begin", "size", F.explode(F.sequence(first, last)).alias("block"))
+    pieces = line.where("size > 0").select(
+        "_pos", "source", "begin", "size", first.alias("head"), F.explode(F.sequence(first, last)).alias("block")
+    )
     start = F.greatest(F.col("begin") - F.col("block") * block, F.lit(0))
     end = F.least(F.col("begin") + F.col("size") - F.col("block") * block, F.lit(block))
-    pieces = pieces.select("_pos", "source", "block", start.alias("start"), end.alias("end"))
+    pieces = pieces.select("_pos", "source", "head", "block", start.alias("start"), end.alias("end"))
     # a block is taken at most once a lap, so its slots number REPEATS at most
     takes = slots.groupBy(F.col("source").alias("_source"), F.col("block").alias("_block")).agg(F.collect_list("words").alias("takes"))
     met = pieces.join(takes, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
     of = F.transform("takes", lambda t: F.greatest(F.least(F.col("end"), t) - F.col("start"), F.lit(0).cast("long")))
-    taken = met.groupBy("_pos").agg(F.sum(F.aggregate(of, F.lit(0).cast("long"), lambda a, x: a + x)).alias("taken"))
+    # a document's first word is in the piece of its first block
+    heads = F.when(F.col("block") == F.col("head"), F.array_size(F.filter("takes", lambda t: t > F.col("start")))).otherwise(0)
+    taken = met.groupBy("_pos").agg(
+        F.sum(F.aggregate(of, F.lit(0).cast("long"), lambda a, x: a + x)).alias("taken"), F.sum(heads).alias("copies")
+    )
     about = sources.select(F.col("source").alias("_source"), "source_size", "target")
     documents = (
         line.join(taken, "_pos", "left")
         .join(about, F.col("source").eqNullSafe(F.col("_source")), "left")
-        .select(key, *names, "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        .select(
+            key, *names, "source", "size", "source_size", "target",
+            F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("copies", F.lit(0).cast("long")).alias("copies"),
+        )
     )
     return documents, slots
 
 
+def mixed_rows(df: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """The rows of ``df`` (key, source, text) as the mix takes them: each as often as slots take its first word.
+
+    A row comes up to REPEATS times; sources' words come to their targets but for the texts at the ends of their lines.
+    Rows are told apart by the key and the text's hash. Texts without words are not taken.
+    """
+    rows = df.withColumns({"_hash": F.xxhash64("text"), "_key": F.col(key)})
+    sized = rows.select("_key", "_hash", "source", word_count(F.col("text")).alias("size"))
+    documents, _ = mix(sized, "_key", ["_hash"], block)
+    copies = documents.groupBy(F.col("_key").alias("_k"), F.col("_hash").alias("_h")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    first = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_key"))
+    met = rows.join(copies, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")))
+    once = met.withColumn("_first", first).where("_first = 1")
+    return once.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(*df.columns)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, prepared
@@ -106,11 +106,12 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 def _weigh(ratio: np.ndarray, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.round(ratio * (1 << 24)).astype(np.int64)  # sums of whole numbers don't depend on the batch
         for batch in slices(batches):
             weight = np.zeros(batch.num_rows)
             for (grams, at), base in zip(features(*flat(batch.column("text"))), (0, BUCKETS), strict=True):
-                sums = np.concatenate([[0.0], np.cumsum(ratio[base + grams])])
-                weight += (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
+                sums = np.concatenate([[0], np.cumsum(whole[base + grams])])
+                weight += (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1) / (1 << 24)
             yield pa.record_batch([*[batch.column(k) for k in keys], pa.array(weight)], [*keys, "weight"])
 
     return run
@@ -119,7 +120,7 @@ def _weigh(ratio: np.ndarray, keys: list[str]):
 def weigh(df: DataFrame, ratio: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``weight``: the mean log ratio of each family's n-grams. A text without any has weight 0."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col("text")).mapInArrow(_weigh(ratio, keep), f"{kinds}, weight double")
+    return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_weigh(ratio, keep), f"{kinds}, weight double")
 
 
 def threshold(weights: np.ndarray, good: np.ndarray) -> float:
@@ -137,33 +138,58 @@ def threshold(weights: np.ndarray, good: np.ndarray) -> float:
     return float((edges[best] + edges[best + 1]) / 2)
 
 
-def resample(df: DataFrame, labels: DataFrame, key: str, carry: list[str] | None = None, seed: int = 5) -> DataFrame:
-    """(key, carried columns, weight, noisy, keep) for each row of ``df`` (key, text); ``labels`` has key and quality.
+def _noisy(names: list[str], seed: int) -> Column:
+    """Weight plus Gumbel noise; from a hash of the key, so reruns agree."""
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *names), 12) + 0.5) / F.lit(float(1 << 52))
+    return F.col("weight") - F.lit(TEMPERATURE) * F.log(-F.log(unit))
+
+
+def fit(df: DataFrame, labels: DataFrame, key: str) -> tuple[np.ndarray, float]:
+    """(log ratios, threshold) for ``df`` (key, text) and ``labels`` (key, quality).
 
-    LABELLED bounds the labelled texts (an order by a hash of the key, so the sample is spread and repeatable); raw
-    counts, weights, k and ranks cover all texts. Null texts are empty; texts too short for an n-gram have weight 0;
-    without labels of both kinds all are kept. Ties rank by the key and the carried columns. Repeated rows rank each.
+    LABELLED bounds the labelled texts (an order by a hash of the key, so the sample is spread and repeatable); the raw
+    model counts all texts. Without labels of both kinds the threshold lets all pass.
     """
-    names = [key, *[c for c in carry or [] if c != key]]
     some = labels.where("quality in (0, 1)").where(F.col(key).isNotNull()).groupBy(key).agg(F.max("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64(key), key).limit(LABELLED).withColumnRenamed(key, "_key")
-    texts = df.select(*names, F.coalesce("text", F.lit("")).alias("text"))
+    texts = df.select(key, "text")
     chosen = texts.join(F.broadcast(some), F.col(key) == F.col("_key")).select("text", "quality")  # LABELLED pairs at most
     by_class, raw = counts(chosen, labelled=True), counts(texts)[0]
     ratio = log_ratio(by_class[1], raw)
     marks = weigh(chosen, ratio, ["quality"]).toArrow()
-    cut = threshold(marks["weight"].to_numpy(), marks["quality"].to_numpy() == 1)
-    weighed = weigh(texts, ratio, names)
-    # noise from a hash, so reruns agree
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *names), 12) + 0.5) / F.lit(float(1 << 52))
-    noisy = F.col("weight") - F.lit(TEMPERATURE) * F.log(-F.log(unit))
-    keyed = checkpointed(weighed.withColumn("noisy", noisy).withColumn("_pos", F.monotonically_increasing_id()))
+    return ratio, threshold(marks["weight"].to_numpy(), marks["quality"].to_numpy() == 1)
+
+
+def resample(df: DataFrame, labels: DataFrame, key: str, carry: list[str] | None = None, seed: int = 5) -> DataFrame:
+    """(key, carried columns, weight, noisy, keep) for each row of ``df`` (key, text); ``labels`` has key and quality.
+
+    Weights, k and ranks cover all texts; see ``fit``. Null texts are empty; texts too short for an n-gram have weight
+    0. Ties rank by the key and the carried columns. Repeated rows rank each.
+    """
+    names = [key, *[c for c in carry or [] if c != key]]
+    ratio, cut = fit(df, labels, key)
+    weighed = weigh(df, ratio, names).withColumn("noisy", _noisy([key], seed))
+    keyed = checkpointed(weighed.withColumn("_pos", F.monotonically_increasing_id()))
     k = keyed.where(F.col("weight") > F.lit(cut)).count()
-    # the first column of the order cuts the ranges, so largest first is smallest of the negative first
     ranked = rank_in_group(keyed.withColumn("_least", -F.col("noisy")), [], ["_least", *names, "_pos"], "_rank")
     return ranked.select(*names, "weight", "noisy", (F.col("_rank") < k).alias("keep"))
 
 
+def kept(df: DataFrame, labels: DataFrame, key: str, seed: int = 5) -> DataFrame:
+    """The rows of ``df`` that the resampling keeps; the same as ``resample``'s, but for equal keys at the k-th place.
+
+    The k-th largest key is found from the ranks; a second pass then weighs the rows again and filters by it, so that no
+    text is shuffled.
+    """
+    ratio, cut = fit(df, labels, key)
+    keyed = checkpointed(weigh(df, ratio, [key]).withColumn("noisy", _noisy([key], seed)).withColumn("_pos", F.monotonically_increasing_id()))
+    k = keyed.where(F.col("weight") > F.lit(cut)).count()
+    ranked = rank_in_group(keyed.withColumn("_least", -F.col("noisy")), [], ["_least", "_pos"], "_rank")
+    last = ranked.where(F.col("_rank") == k - 1).select("noisy").first()
+    least = last[0] if last else float("inf")
+    return weigh(df, ratio, df.columns).where(_noisy([key], seed) >= F.lit(least)).select(*df.columns)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: the log weight, the noisy key and whether the resampling keeps the document."""
     prepared(spark)

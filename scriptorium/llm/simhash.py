@@ -14,13 +14,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, prepared
 from .components import components
-from .flat import flat, lowered, slices, spaces, words
+from .flat import flat, lowered, mixed, slices, spaces, words
 
 #: Fingerprints that one cell compares at most with as many; hot keys are split into pairs of such blocks.
 BLOCK = 4096
@@ -48,54 +47,74 @@ def shingle_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray, width: int
     return np.array(hashed, np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """Bit b is 1 if it is set in over half of ``hashes``; counted in chunks, so memory stays bounded."""
-    if not len(hashes):
-        return 0
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        chunk = hashes[at : at + (1 << 15)]
-        counts += np.unpackbits(chunk.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def _lanes(hashes: np.ndarray, lanes: int) -> list[int]:
-    """64-bit parts of a longer fingerprint; part i takes its bits from the hashes mixed with i."""
-    out = [majority(hashes)]
-    for i in range(1, lanes):
-        h = (hashes ^ np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(majority(h ^ (h >> np.uint64(29))))
-    return out
-
+def majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """Bit b is 1 if it is set in over half of ``hashes``; counted in chunks, so memory stays bounded.
 
-def _fingerprints(width: int, lanes: int, repeats: bool):
+    A longer fingerprint has ``lanes`` parts of 64 bits; part i takes its bits from the hashes mixed with i.
+    """
+    counts = np.zeros(64 * lanes, np.int64)
+    salts = (np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for at in range(0, len(hashes), 1 << 12):
+        chunk = hashes[at : at + (1 << 12), None]
+        if lanes > 1:
+            chunk = np.concatenate([chunk, mixed(chunk ^ salts[:, 1:])], axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(chunk).view(np.uint8).reshape(len(chunk), -1), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def minima(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys of MinHash bands: texts whose sets of hashes have Jaccard index J share a key with chance 1 - (1 - J^rows)^bands."""
+    rng = np.random.default_rng(29)
+    odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, _MANY, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        chunk = mixed(hashes[at : at + (1 << 12)])[None, :] * odd[:, None]
+        least = np.minimum(least, (chunk ^ (chunk >> np.uint64(32))).min(axis=1))
+    keys = np.zeros(bands, np.uint64)
+    for column in mixed(least).reshape(bands, rows).T:
+        keys = mixed(keys + column)
+    return keys
+
+
+def _fingerprints(width: int, lanes: int, repeats: bool, bands: tuple[int, int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             buf, offsets = flat(batch.column("text"))
             buf = lowered(buf)
             starts, ends, at = words(~spaces(buf), offsets)
-            data, out = buf.tobytes(), []
+            data, out, keys = buf.tobytes(), [], []
             for i in range(batch.num_rows):
                 base, own = offsets[i], slice(at[i], at[i + 1])
                 hashes = shingle_hashes(data[base : offsets[i + 1]], starts[own] - base, ends[own] - base, width)
-                out.append(_lanes(hashes if repeats else np.unique(hashes), lanes))
-            parts = np.array(out, np.uint64).reshape(-1, lanes).view(np.int64)
-            column = pa.ListArray.from_arrays(np.arange(0, parts.size + 1, lanes, dtype=np.int32), pa.array(parts.ravel()))
-            keys = batch.select([c for c in batch.schema.names if c != "text"])
-            yield pa.record_batch([*keys.columns, column], [*keys.schema.names, "fp"])
+                hashes = hashes if repeats else np.unique(hashes)
+                out.append(majority(hashes, lanes))
+                if bands:
+                    keys.append(minima(hashes, *bands))
+            own = batch.select([c for c in batch.schema.names if c != "text"])
+            made = [_lists(out, lanes), *([_lists(keys, bands[0])] if bands else [])]
+            yield pa.record_batch([*own.columns, *made], [*own.schema.names, "fp", *(["bands"] if bands else [])])
 
     return run
 
 
-def fingerprints(df: DataFrame, key: str, text: str = "text", width: int = 3, lanes: int = 1, repeats: bool = True) -> DataFrame:
-    """(key, fp): ``fp`` an array of ``lanes`` longs, the SimHash of the text's shingles of ``width`` words.
+def _lists(rows: list[np.ndarray], width: int) -> pa.ListArray:
+    values = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(np.arange(0, len(values) + 1, width, dtype=np.int32), pa.array(values.view(np.int64)))
+
+
+def fingerprints(
+    df: DataFrame, keep: list[str], text: str = "text", width: int = 3, lanes: int = 1, repeats: bool = True, bands: tuple[int, int] | None = None
+) -> DataFrame:
+    """The columns ``keep`` and ``fp``: an array of ``lanes`` longs, the SimHash of the text's shingles of ``width`` words.
 
     A-Z counts as a-z; words are runs of other characters than ASCII white space. A text with fewer words is one
     shingle; a null text or one without words has fingerprint zero. Without ``repeats`` a shingle counts once.
+    With ``bands`` (number, rows of each) there is also ``bands``, the keys of MinHash bands of the same shingles.
     """
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).alias("text")).mapInArrow(_fingerprints(width, lanes, repeats), f"{key} {kind}, fp array<long>")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    kinds += ", fp array<long>" + ", bands array<long>" * bool(bands)
+    return df.select(*keep, F.col(text).alias("text")).mapInArrow(_fingerprints(width, lanes, repeats, bands), kinds)
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -261,12 +280,6 @@ def exact_tables(radius: int, segments: int, agree: int) -> list[list[tuple[int,
     return [list(c) for c in combinations(cuts, agree)]
 
 
-def sampled_tables(lanes: int, tables: int, bits: int, seed: int = 11) -> list[list[tuple[int, int, int]]]:
-    """Tables keyed by ``bits`` random single bits of a longer fingerprint."""
-    rng = np.random.default_rng(seed)
-    return [[(int(b) // 64, int(b) % 64, 1) for b in rng.choice(64 * lanes, bits, replace=False)] for _ in range(tables)]
-
-
 def _key(table: list[tuple[int, int, int]]) -> Column:
     out, width = F.lit(0).cast("long"), 0
     for part, shift, bits in table:
@@ -276,17 +289,22 @@ def _key(table: list[tuple[int, int, int]]) -> Column:
     return out
 
 
-def link(nodes: DataFrame, tables: list[list[tuple[int, int, int]]], radius: int, lanes: int = 1) -> DataFrame:
-    """Links (a, b) between rows of ``nodes`` (node, fp) that share a key of a table and lie within the radius.
+def table_keys(nodes: DataFrame, tables: list[list[tuple[int, int, int]]]) -> DataFrame:
+    """(node, tab, key) for each row of ``nodes`` (node, fp) and each of the tables."""
+    keyed = F.array(*[F.struct(F.lit(t).alias("tab"), _key(table).alias("key")) for t, table in enumerate(tables)])
+    return nodes.select("node", F.explode(keyed).alias("k")).select("node", "k.tab", "k.key")
+
+
+def link(nodes: DataFrame, keyed: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
+    """Links (a, b) between ``nodes`` (node, fp) that meet in ``keyed`` (node, tab, key) and lie within the radius.
 
     Keys of more than BLOCK nodes are split into blocks, and each pair of blocks is a cell of its own. Rows whose key is
-    theirs alone never leave the JVM.
+    theirs alone never leave the JVM, and fingerprints are joined to the others only.
     """
-    keyed = F.array(*[F.struct(F.lit(t).alias("tab"), _key(table).alias("key")) for t, table in enumerate(tables)])
-    rows = nodes.select("node", "fp", F.explode(keyed).alias("k")).select("node", "fp", "k.tab", "k.key")
-    counts = rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
+    counts = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
     counts = counts.select(F.col("tab").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = rows.join(counts, (F.col("tab") == F.col("_t")) & (F.col("key") == F.col("_k")))
+    met = keyed.join(counts, (F.col("tab") == F.col("_t")) & (F.col("key") == F.col("_k"))).select("node", "tab", "key", "blocks")
+    met = met.join(nodes.select(F.col("node").alias("_n"), "fp"), F.col("node") == F.col("_n"))
     part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     cells = met.withColumn("part", part).select("node", "fp", "tab", "key", "part", F.explode(other).alias("other"))
@@ -298,30 +316,55 @@ def link(nodes: DataFrame, tables: list[list[tuple[int, int, int]]], radius: int
     )
 
 
-def classes(prints: DataFrame, key: str, tables: list[list[tuple[int, int, int]]], radius: int, lanes: int = 1) -> DataFrame:
-    """(key, fp, class): rows of ``prints`` (key, fp) with the smallest key that links of ``radius`` reach.
+def classes(prints: DataFrame, key: str, radius: int, lanes: int = 1, tables: list[list[tuple[int, int, int]]] | None = None) -> DataFrame:
+    """Rows of ``prints`` (key, fp, more) with ``root``, which is equal in a class, and ``class``, its smallest key.
 
-    Rows with equal fingerprints are one node, named by its smallest key; the keys must be longs. Rows with a null key
-    are compared like others, and a class of such rows alone has a null id.
+    Rows with equal fingerprints are one node. Nodes meet in ``tables`` of their bits, or else by the column ``bands``.
+    The keys must be longs; rows with a null key are compared like others, and a class of such rows alone has class null.
     """
     none = (1 << 63) - 1
-    prints = checkpointed(prints.withColumn("_key", F.coalesce(F.col(key), F.lit(none))))
-    # two fingerprints never share their smallest key, unless keys repeat; the hash then tells the nodes apart
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("_key").alias("least")).withColumn("node", F.xxhash64("fp")))
-    found = components(link(nodes.select("node", "fp"), tables, radius, lanes))
+    prints = checkpointed(prints)
+    least = F.coalesce(F.col(key), F.lit(none))
+    bands = [] if tables else [F.min("bands").alias("bands")]
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(least).alias("least"), *bands).withColumn("node", F.xxhash64("fp")))
+    keyed = table_keys(nodes, tables) if tables else nodes.select("node", F.posexplode("bands").alias("tab", "key"))
+    found = components(link(nodes, keyed, radius, lanes))
     placed = nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     placed = checkpointed(placed.select("fp", "least", F.coalesce("root", "node").alias("root")))
-    names = placed.groupBy("root").agg(F.min("least").alias("class"))
-    by_print = placed.join(names, "root").select(F.col("fp").alias("_fp"), F.when(F.col("class") < none, F.col("class")).alias("class"))
-    return prints.join(by_print, F.col("fp") == F.col("_fp")).select(key, "fp", "class")
+    names = placed.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("class"))
+    by_print = placed.join(names, F.col("root") == F.col("_r"))
+    by_print = by_print.select(F.col("fp").alias("_fp"), "root", F.when(F.col("class") < none, F.col("class")).alias("class"))
+    return prints.drop("bands").join(by_print, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+#: For near-duplicates: words in a shingle, 64-bit parts of a fingerprint, and MinHash bands and rows by which they meet.
+NEAR = {"width": 5, "lanes": 8, "bands": (16, 5)}
+#: Differing bits of 512 at a Jaccard index of 0.8: 512 / pi * acos(2 * 0.8 / 1.8), and less than a deviation of slack.
+NEAR_RADIUS = 82
+
+
+def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` without near copies: of texts linked at a similarity of 0.8 or more the one with the smallest key stays.
+
+    Similarity is the Jaccard index of sets of five-word shingles, estimated from 512 bits. Null keys come last; equal
+    keys go by the text's hash, and of equal rows one stays. Null and empty texts are copies of each other.
+    """
+    none = (1 << 63) - 1
+    rows = df.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(none)), "_hash": F.xxhash64(text)})
+    prints = fingerprints(rows, ["_key", "_hash"], text, repeats=False, **NEAR)
+    placed = classes(prints, "_key", NEAR_RADIUS, NEAR["lanes"])
+    best = placed.groupBy("root").agg(F.min(F.struct("_key", "_hash")).alias("b")).select(F.col("b._key").alias("_k"), F.col("b._hash").alias("_h"))
+    kept = rows.join(best.distinct(), (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")))
+    first = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_key"))
+    return kept.withColumn("_first", first).where("_first = 1").select(*df.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their 64-bit fingerprints, linked at 3 or fewer differing bits."""
     prepared(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    prints = fingerprints(docs, "doc_id")
-    out = classes(prints, "doc_id", exact_tables(3, 5, 2), 3)
+    prints = fingerprints(docs, ["doc_id"])
+    out = classes(prints, "doc_id", 3, tables=exact_tables(3, 5, 2))
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("class").alias("component_id"))
 
 
