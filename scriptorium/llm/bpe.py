@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from ..session import prepared
 
 #: States of the transducer and words whose ids are remembered in a worker; when full, the memory starts anew.
-STATES = 500_000
+STATES = 200_000
 WORDS = 200_000
+#: Below nodes of the trie with so few tokens, tokens before are told apart only by which of these may follow.
+FEW = 32
 #: Longer words are not remembered.
 LONGEST = 48
 #: Texts of more code points are segmented as a stream.
@@ -70,6 +72,7 @@ class Transducer:
                     self.ends.append(-1)
                 node = to
             self.ends[node] = rank
+        self.below = self._tokens_below()
         self.pairs: dict[tuple[int, int], bool] = {}
         self._restart()
 
@@ -114,7 +117,39 @@ class Transducer:
         self.pairs[(a, b)] = good
         return good
 
+    def _tokens_below(self) -> list[tuple[int, ...] | None]:
+        """The tokens at and below each node of the trie, or None if there are more than FEW."""
+        below: list = [(t,) if t >= 0 else () for t in self.ends]
+        parent = sorted(((node, key >> 8) for key, node in self.child.items()), reverse=True)
+        for node, up in parent:  # children have larger numbers
+            own, more = below[up], below[node]
+            below[up] = None if own is None or more is None or len(own) + len(more) > FEW else own + more
+        return below
+
+    def _like(self, node: int, before: int) -> int | None:
+        """A token that allows the same tokens below ``node`` as ``before``, the same one for all such; -1 if all are
+        allowed, None if none is."""
+        tokens = self.below[node]
+        if before < 0 or tokens is None:
+            return before
+        key = node << 20 | before
+        found = self.likes.get(key, 0)
+        if found == 0:
+            allowed = tuple(self.follows(before, t) for t in tokens)
+            if all(allowed):
+                found = -1
+            elif not any(allowed):
+                found = None
+            else:
+                found = self.firsts.setdefault((node, allowed), before)
+            if len(self.likes) > 2 * STATES:
+                self.likes.clear()
+            self.likes[key] = found
+        return found
+
     def _restart(self) -> None:
+        self.likes: dict[int, int | None] = {}
+        self.firsts: dict[tuple, int] = {}
         start = ((0, -1, ()),)
         self.states: list[tuple] = [start]
         self.number: dict[tuple, int] = {start: 0}
@@ -131,12 +166,12 @@ class Transducer:
         for config in self.states[state]:
             node, before, held = config
             down = self.child.get(node << 8 | byte)
-            if down is not None:
-                to.append((down, before, held))
+            if down is not None and (like := self._like(down, before)) is not None:
+                to.append((down, like, held))
             if node:
                 token = self._ended(config)
-                if token >= 0:
-                    to.append((self.child[byte], token, (*held, token)))
+                if token >= 0 and (like := self._like(self.child[byte], token)) is not None:
+                    to.append((self.child[byte], like, (*held, token)))
         shared = 0
         first = to[0][2]
         for shared in range(len(first) + 1):
