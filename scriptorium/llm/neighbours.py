@@ -22,7 +22,7 @@ from ..session import checkpointed, prepared
 PROJECTIONS = 80
 THRESHOLD = 46
 #: Half a window's width in the first round, and its growth from round to round.
-FIRST, GROWTH = 0.05, 1.18
+FIRST, GROWTH = 0.3, 1.25
 CONFIDENCE = 0.98
 #: Vectors in a block, and queries in a group: each pair of a block and a group is one cell.
 BLOCK, GROUP = 8192, 1024
