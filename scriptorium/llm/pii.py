@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,15 +246,21 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = np.where(g["joined"], np.roll(g["held"], 1), -1)
         rows = np.column_stack([g["shape"], g["held"], before]) if len(g["doc"]) else np.zeros((0, len(SHAPES) + 2))
         n = rows.shape[1]
-        yield pa.record_batch([pa.ListArray.from_arrays(np.arange(0, rows.size + 1, n, dtype=np.int32), pa.array(rows.ravel()))], ["row"])
+        column = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, n, dtype=np.int32), pa.array(rows.ravel()))
+        yield pa.record_batch([pa.array([zlib.crc32(texts[d].encode()) for d in g["doc"]], pa.int64()), column], ["h", "row"])
 
 
 def fitted(df: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
     """The field, fitted on a bounded sample: at most FIT_TEXTS texts with digits or @, by the order of a hash of the text,
     and at most FIT_TOKENS of their tokens, labelled by the patterns."""
-    some = df.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    some = some.orderBy(F.xxhash64("text"), "text").limit(FIT_TEXTS).mapInArrow(_samples, "row array<double>").limit(FIT_TOKENS)
-    rows = np.array([r[0] for r in some.collect()]).reshape(-1, len(SHAPES) + 2)
+    some = df.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    # hashes first, so that no task gathers texts from all others
+    cut = some.select("h").distinct().orderBy("h").limit(FIT_TEXTS).agg(F.max("h")).first()[0]
+    if cut is None:
+        return fit(np.zeros((0, len(SHAPES))), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    some = some.where(F.col("h") <= F.lit(cut)).groupBy("h").agg(F.min("text").alias("text"))
+    some = some.select("text").mapInArrow(_samples, "h long, row array<double>").orderBy("h", "row").limit(FIT_TOKENS)
+    rows = np.array([r[1] for r in some.collect()]).reshape(-1, len(SHAPES) + 2)
     return fit(rows[:, : len(SHAPES)], rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64))
 
 
