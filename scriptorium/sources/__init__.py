@@ -1 +1,45 @@
-"""See the modules of this package."""
+"""Sources by format; ``read_corpus`` reads a folder of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..model import Corpus
+from ..session import prepared
+
+FORMATS = ("coraxml", "trans", "bonnxml", "docx")
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_key, content) of all files under ``path``; the key is the file's name without its last ending."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("doc_key"), "content")
+
+
+def read_corpus(
+    spark: SparkSession, path: str, format: str = "trans", dialect: str | None = None, strict: bool = True, legacy: bool = False, store: str | None = None
+) -> Corpus:
+    """All documents under ``path`` (any file system that Spark reads); ValueError for an unknown format or dialect.
+
+    With ``store`` the tables are written there and read again; see ``Corpus.stored``.
+    """
+    from ..functions.dialects import dialect as known
+    from .bonnxml import read_bonnxml
+    from .coraxml import read_coraxml
+    from .docx import docx_texts
+    from .trans import read_trans
+
+    if format not in FORMATS:
+        raise ValueError(f"unknown format: {format}")
+    prepared(spark)
+    of = known(dialect).name
+    rows = files(spark, path)
+    if format == "coraxml":
+        corpus = read_coraxml(rows, of, strict, legacy)
+    elif format == "bonnxml":
+        corpus = read_bonnxml(rows, of, strict, legacy)
+    else:
+        texts = docx_texts(rows) if format == "docx" else rows.select("doc_key", F.decode("content", "UTF-8").alias("text"))
+        corpus = read_trans(texts, of, strict, legacy)
+    return corpus.stored(store) if store else corpus
