@@ -14,7 +14,7 @@ from ..model import MASK, is_a
 JOINS = ("UniverbSpace", "UniverbNewline", "Hyphen", "MultiverbNewline")
 
 
-class _Near:
+class Near:
     """The characters around position ``i`` of ``chars``; one of white space stands before the first and after the last."""
 
     def __init__(self, chars: Column, i: Column):
@@ -33,12 +33,12 @@ class _Near:
         return F.get(self.chars, self.i + by)["string"]
 
 
-def dipl_bound(near: _Near) -> Column:
+def dipl_bound(near: Near) -> Column:
     """A joiner before, or a joiner and its closing bracket before."""
     return (near.is_a(-1, *JOINS) & ~near.closing(0)) | (near.is_a(-2, *JOINS) & near.closing(-1))
 
 
-def anno_bound(near: _Near) -> Column:
+def anno_bound(near: Near) -> Column:
     """Word splits, punctuation at either end or unlike its neighbour, punctuation in brackets, and sentence marks."""
     blank = near.is_a(-2, "Whitespace") & ~near.is_a(-2, "LineBreak")
     punct = near.is_a(0, "Punct")
@@ -61,7 +61,7 @@ def bounded(chars: Column) -> Column:
     """The characters with dipl_bound, anno_bound and token_bound."""
 
     def flags(c: Column, i: Column) -> Column:
-        near = _Near(chars, i)
+        near = Near(chars, i)
         return c.withField("dipl_bound", dipl_bound(near)).withField("anno_bound", anno_bound(near))
 
     flagged = F.transform(chars, flags)

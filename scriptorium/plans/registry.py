@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import table_queries, text_queries  # noqa: F401  the tables register with the texts' queries
+
+QUERIES = text_queries.QUERIES
+ORACLE = text_queries.ORACLE
 FLAGSHIP = "anno_tokens"
