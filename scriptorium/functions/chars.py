@@ -12,11 +12,20 @@ from .replacements import ACCENTED, PLAIN
 SIGNS = {**dict.fromkeys(".;!?:,/", "Punct"), "=": "Hyphen", "#": "UniverbSpace", "|": "MultiverbSpace", "\n": "LineBreak", " ": "Whitespace"}
 
 
+_ORDER = "".join(SIGNS)
+
+
+def _looked_up(place: Column, values: list) -> Column:
+    """The value for the sign at ``place`` of SIGNS, counted from 1; the first value for 0, which is any other sign."""
+    return F.get(F.array(*map(F.lit, values)), place)
+
+
+def _place(char: Column) -> Column:
+    return F.instr(F.lit(_ORDER), char)
+
+
 def sign_class(char: Column) -> Column:
-    out = F.lit("TextChar")
-    for cls in dict.fromkeys(SIGNS.values()):
-        out = F.when(char.isin([s for s, c in SIGNS.items() if c == cls]), cls).otherwise(out)
-    return out
+    return _looked_up(_place(char), ["TextChar", *SIGNS.values()])
 
 
 def simple(text: Column) -> Column:
@@ -26,19 +35,19 @@ def simple(text: Column) -> Column:
 
 
 def signs(token: Column) -> Column:
-    """The characters of a token as an array of structs, like the parsers'; one pass over its code points."""
-
-    def made(c: Column, i: Column) -> Column:
-        cls = sign_class(c)
-        mask = F.lit(MASK["TextChar"]).cast("long")
-        for name in dict.fromkeys(SIGNS.values()):
-            mask = F.when(cls == name, F.lit(MASK[name]).cast("long")).otherwise(mask)
-        meta = cls.isin("UniverbSpace", "MultiverbSpace")
-        shown = F.when(meta, "").otherwise(c)
+    """The characters of a token as an array of structs, like the parsers'; one lookup for each code point."""
+    kinds = ["TextChar", *SIGNS.values()]
+    shown = [k not in ("UniverbSpace", "MultiverbSpace") for k in kinds]
+    noted = [s and k != "Hyphen" for s, k in zip(shown, kinds, strict=True)]
+
+    def made(x: Column, i: Column) -> Column:
+        c, at = x["c"], x["at"]
         return F.struct(
-            i.cast("int").alias("pos"), cls.alias("cls"), mask.alias("mask"), c.alias("string"), shown.alias("dipl_utf"),
-            F.when(cls == "Hyphen", "").otherwise(shown).alias("anno_utf"), F.when(cls == "Hyphen", "").otherwise(simple(shown)).alias("anno_simple"),
+            i.cast("int").alias("pos"), _looked_up(at, kinds).alias("cls"), _looked_up(at, [MASK[k] for k in kinds]).cast("long").alias("mask"),
+            c.alias("string"), F.when(_looked_up(at, shown), c).otherwise("").alias("dipl_utf"),
+            F.when(_looked_up(at, noted), c).otherwise("").alias("anno_utf"), F.when(_looked_up(at, noted), simple(c)).otherwise("").alias("anno_simple"),
             F.lit(None).cast("boolean").alias("opening"), F.lit(None).cast("string").alias("size"),
         )
 
-    return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), made)
+    found = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.struct(c.alias("c"), _place(c).alias("at")))
+    return F.transform(found, made)

@@ -15,22 +15,38 @@ JOINS = ("UniverbSpace", "UniverbNewline", "Hyphen", "MultiverbNewline")
 
 
 class Near:
-    """The characters around position ``i`` of ``chars``; one of white space stands before the first and after the last."""
+    """What rules ask about a character's neighbours; ``w`` holds their masks and the like, fetched once by ``around``."""
 
-    def __init__(self, chars: Column, i: Column):
-        self.chars, self.i = chars, i
+    NAMES = {-2: "b2", -1: "b1", 0: "at", 1: "a1", 2: "a2"}
 
-    def mask(self, by: int) -> Column:
-        return F.coalesce(F.get(self.chars, self.i + by)["mask"], F.lit(MASK["Whitespace"]).cast("long"))
+    def __init__(self, w: Column):
+        self.w = w
 
     def is_a(self, by: int, *names: str) -> Column:
-        return is_a(self.mask(by), *names)
+        return is_a(self.w[self.NAMES[by]], *names)
 
     def closing(self, by: int) -> Column:
-        return self.is_a(by, "Bracket") & ~F.coalesce(F.get(self.chars, self.i + by)["opening"], F.lit(True))
+        return self.w["closes" if by == 0 else "closed"]
 
-    def string(self, by: int) -> Column:
-        return F.get(self.chars, self.i + by)["string"]
+    @property
+    def unlike(self) -> Column:
+        """Is the character before written otherwise?"""
+        return self.w["unlike"]
+
+
+def around(chars: Column) -> Column:
+    """For each character the masks of the two on either side; white space stands before the first and after the last."""
+    blank = F.lit(MASK["Whitespace"]).cast("long")
+
+    def closing(c: Column) -> Column:
+        return F.coalesce(is_a(c["mask"], "Bracket") & ~F.coalesce(c["opening"], F.lit(True)), F.lit(False))
+
+    def made(c: Column, i: Column) -> Column:
+        masks = [F.coalesce(F.get(chars, i + by)["mask"], blank).alias(name) for by, name in Near.NAMES.items()]
+        before = F.get(chars, i - 1)
+        return F.struct(*masks, closing(c).alias("closes"), closing(before).alias("closed"), F.coalesce(before["string"] != c["string"], F.lit(False)).alias("unlike"))
+
+    return F.transform(chars, made)
 
 
 def dipl_bound(near: Near) -> Column:
@@ -45,28 +61,27 @@ def anno_bound(near: Near) -> Column:
     split = near.is_a(-1, "MultiverbSpace", "MultiverbNewline")
     initial = blank & near.is_a(-1, "Punct") & ~punct
     final = (near.is_a(-1, "TextChar") | near.closing(-1)) & punct & ~near.is_a(1, "TextChar", "Joiner", "UniverbSpace")
-    unlike = near.is_a(-1, "Punct") & punct & (near.string(-1) != near.string(0))
+    unlike = near.is_a(-1, "Punct") & punct & near.unlike
     linked = near.is_a(-1, "ParticleLink") & punct
     inside = near.is_a(0, "Bracket") & near.is_a(1, "Punct") & near.is_a(2, "Bracket")
     after_quote = near.is_a(-2, "Whitespace", "MultiverbSpace") & near.is_a(-1, "QuotationMark")
     opening_quote = near.is_a(-1, "Whitespace", "MultiverbSpace") & near.is_a(0, "QuotationMark")
     mark = near.is_a(0, "SentBound") & ~opening_quote & ~near.is_a(1, "MultiverbSpace", "MultiverbNewline")
-    out = split
-    for rule in (initial, final, unlike, linked, inside, after_quote, mark):
-        out = out | rule
-    return F.coalesce(out, F.lit(False))
+    return split | initial | final | unlike | linked | inside | after_quote | mark
 
 
 def bounded(chars: Column) -> Column:
     """The characters with dipl_bound, anno_bound and token_bound."""
-
-    def flags(c: Column, i: Column) -> Column:
-        near = Near(chars, i)
-        return c.withField("dipl_bound", dipl_bound(near)).withField("anno_bound", anno_bound(near))
-
-    flagged = F.transform(chars, flags)
-    last = lambda c, i: c.withField("token_bound", (i == F.size(chars) - 1) & ~c["dipl_bound"] & ~c["anno_bound"])
-    return F.transform(flagged, last)
+    flags = F.transform(around(chars), lambda w: F.struct(dipl_bound(Near(w)).alias("dipl"), anno_bound(Near(w)).alias("anno")))
+    last = F.size(chars) - 1
+    pairs = F.arrays_zip(chars.alias("c"), flags.alias("f"))
+    return F.transform(
+        pairs,
+        lambda p, i: p["c"]
+        .withField("dipl_bound", p["f"]["dipl"])
+        .withField("anno_bound", p["f"]["anno"])
+        .withField("token_bound", (i == last) & ~p["f"]["dipl"] & ~p["f"]["anno"]),
+    )
 
 
 def carried(chars: Column) -> Column:
@@ -116,15 +131,21 @@ def has(chars: Column, *names: str) -> Column:
     return F.exists(chars, lambda c: is_a(c["mask"], *names))
 
 
-def pieces(chars: Column, bound: str) -> Column:
-    """Arrays of characters between bounds; white space is left out, and so are empty pieces.
+def starts(chars: Column, bound: str) -> Column:
+    """Where pieces begin: at the first character and at each that has the bound; then the end."""
+    at = F.filter(F.transform(chars, lambda c, i: F.when(c[bound] | (i == 0), i)), lambda i: i.isNotNull())
+    return F.concat(at, F.array(F.size(chars)))
 
-    A piece begins at each character that has the bound. The pieces' numbers are a running count of bounds.
-    """
-    starts = F.filter(F.transform(chars, lambda c, i: F.when(c[bound] | (i == 0), i)), lambda i: i.isNotNull())
-    ends = lambda k: F.coalesce(F.get(starts, k + 1), F.size(chars))
-    cut = F.transform(starts, lambda s, k: keep(F.slice(chars, s + 1, ends(k) - s), "Whitespace", drop=True))
-    return F.filter(cut, lambda p: F.size(p) > 0)
+
+def cut(chars: Column, at: Column) -> Column:
+    """Arrays of characters between the places ``at``; white space is left out, and so are empty pieces."""
+    spans = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+    parts = F.transform(spans, lambda x: keep(F.slice(chars, x["s"] + 1, x["e"] - x["s"]), "Whitespace", drop=True))
+    return F.filter(parts, lambda p: F.size(p) > 0)
+
+
+def pieces(chars: Column, bound: str) -> Column:
+    return cut(chars, starts(chars, bound))
 
 
 def dipl_pieces(chars: Column) -> Column:
@@ -133,23 +154,25 @@ def dipl_pieces(chars: Column) -> Column:
 
 def anno_pieces(chars: Column) -> Column:
     """No pieces at all if nothing is left to annotate, as when the whole token is struck out."""
-    return F.filter(pieces(chars, "anno_bound"), lambda p: form(chars, "anno_utf") != "")
+    made = pieces(chars, "anno_bound")
+    return F.when(F.exists(chars, lambda c: c["anno_utf"] != ""), made).otherwise(F.slice(made, 1, 0))
 
 
 def tokenised(df: DataFrame, chars: str = "chars", carry: bool = False) -> DataFrame:
     """``df`` with bounds on ``chars`` and the arrays ``dipls`` (trans, utf, breaks, chars) and ``annos`` (trans, utf,
     simple, chars); ``breaks`` counts the line breaks of the token before the piece."""
-    flagged = df.withColumn(chars, (carried if carry else bounded)(F.col(chars)))
     c = F.col(chars)
+    flagged = df.withColumn(chars, (carried if carry else bounded)(c))
+    flagged = flagged.withColumn("_dipls", dipl_pieces(c)).withColumn("_annos", anno_pieces(c))
     breaks = lambda p: F.size(F.filter(c, lambda x: is_a(x["mask"], "LineBreak") & (x["pos"] < F.get(p, F.lit(0))["pos"])))
     dipls = F.transform(
-        dipl_pieces(c),
+        "_dipls",
         lambda p: F.struct(form(p, "string").alias("trans"), form(p, "dipl_utf").alias("utf"), breaks(p).alias("breaks"), p.alias("chars")),
     )
     annos = F.transform(
-        anno_pieces(c),
+        "_annos",
         lambda p: F.struct(
             form(p, "string").alias("trans"), form(p, "anno_utf").alias("utf"), form(p, "anno_simple").alias("simple"), p.alias("chars")
         ),
     )
-    return flagged.withColumn("dipls", dipls).withColumn("annos", annos)
+    return flagged.withColumn("dipls", dipls).withColumn("annos", annos).drop("_dipls", "_annos")

@@ -18,13 +18,17 @@ MASTER_REDI = f"(?U){COMMENT}|{OPEN}|{CLOSE}|{_REDI}{_JOIN}{_REDI}|{_REDI}|{SECO
 
 
 def kind_of(chunk: Column) -> Column:
-    """The kind of a chunk; the alternatives differ in shape, so the match itself says which one it was."""
+    """The kind of a chunk; the alternatives differ in shape, so the match itself says which one it was.
+
+    Most chunks are told by their first sign, without a pattern.
+    """
+    first = F.substring(chunk, 1, 1)
     return (
-        F.when(chunk.rlike(f"^{COMMENT}$"), "comment")
+        F.when(~first.isin(" ", "\t", "\n", "+", "@", "{"), "token")
+        .when(first.isin(" ", "\t", "\n"), F.when(F.contains(chunk, F.lit("\n")), "newline").otherwise("space"))
+        .when(chunk.rlike(f"^{COMMENT}$"), "comment")
         .when(chunk.rlike(f"^{OPEN}$"), "open")
         .when(chunk.rlike(f"^{CLOSE}$"), "close")
-        .when(chunk.rlike(r"^[ \t]*\n[ \t]*$"), "newline")
-        .when(chunk.rlike(r"^[ \t]$"), "space")
         .when(chunk.rlike(r"^\{[^}*÷]+\}$") & ~chunk.rlike(r"^\{\d\d?\}$"), "second")
         .otherwise("token")
     )
@@ -43,7 +47,7 @@ def chunks(df: DataFrame, key: str, text: str, redi: bool = False) -> DataFrame:
     found = df.select(key, F.posexplode(chunk_array(F.col(text), redi)).alias("chunk_ord", "raw"))
     kind = kind_of(F.col("raw"))
     if not redi:  # without the exception for numbers in braces
-        kind = F.when(F.col("raw").rlike(f"^{SECOND}$"), "second").otherwise(kind)
+        kind = F.when(F.col("raw").startswith("{"), "second").otherwise(kind)
     rows = found.withColumn("_kind", kind)
     return rows.select(
         key, "chunk_ord",

@@ -155,21 +155,25 @@ NORM_TYPES = {"f": "inflection", "s": "semantic", "x": "extinct"}
 ANSELM_POS = {"PDN": "PDS", "PIN": "PIS"}
 
 
-def ref_convert(tags: Column) -> Column:
-    return merge(merge(tags, "pos", "lemmapos", "pos", "<"), "pos", "morph", "pos", ".")
+def changed(df: DataFrame, *changes: Callable[[Column], Column], tags: str = "tags") -> DataFrame:
+    """The changes one after the other, each in a step of its own: nested expressions would be written out many times."""
+    for change in changes:
+        df = df.withColumn(tags, change(F.col(tags)))
+    return df
 
 
-def ref_lemma(tags: Column, link: bool = False) -> Column:
-    """posLemma from pos, lemmaId from lemma, and the address of the entry, by its number or else by the lemma."""
-    out = split(tags, "pos", "pos", "posLemma", "<")
-    out = split(out, "lemma", "lemma", "lemmaId", " ")
-    number = F.regexp_extract(get(out, "lemmaId"), r"(?U)(\w+)", 1)
+REF_CONVERT = [lambda t: merge(t, "pos", "lemmapos", "pos", "<"), lambda t: merge(t, "pos", "morph", "pos", ".")]
+
+
+def lemma_address(tags: Column, link: bool = False) -> Column:
+    """The address of the lemma's entry, by its number or else by the lemma."""
+    number = F.regexp_extract(get(tags, "lemmaId"), r"(?U)(\w+)", 1)
     by = F.when(number.isNotNull(), "lemid").otherwise("lemma")
-    entry = F.coalesce(number, F.trim(get(out, "lemma")))
+    entry = F.coalesce(number, F.trim(get(tags, "lemma")))
     address = F.concat(F.lit(f"{DICTIONARY}?"), by, F.lit("="), entry)
     if link:
         address = F.concat(F.lit("<a href='"), address, F.lit("'>"), entry, F.lit("</a>"))
-    return F.when(entry.isNotNull(), put(out, "lemmaURL", address)).otherwise(out)
+    return F.when(entry.isNotNull(), put(tags, "lemmaURL", address)).otherwise(tags)
 
 
 def irregular_verbs(tags: Column, irregular: dict[str, list[str]] | None = None) -> Column:
@@ -187,23 +191,28 @@ def anno_type(tags: Column, checked: Column) -> Column:
     return put(tags, "annoType", F.when(checked, "man").otherwise("auto"))
 
 
-def ref_postprocess(tags: Column, checked: Column, link: bool = False) -> Column:
-    return anno_type(irregular_verbs(ref_lemma(tags, link)), checked)
+def ref_postprocess(df: DataFrame, tags: str = "tags", checked: str = "checked", link: bool = False) -> DataFrame:
+    """posLemma from pos, lemmaId from lemma, addresses, irregular verbs, and who made the annotation."""
+    return changed(
+        df, lambda t: split(t, "pos", "pos", "posLemma", "<"), lambda t: split(t, "lemma", "lemma", "lemmaId", " "),
+        lambda t: lemma_address(t, link), irregular_verbs, lambda t: anno_type(t, F.col(checked)), tags=tags,
+    )
 
 
-def anselm_postprocess(tags: Column) -> Column:
-    out = remove(remove(tags, "comment"), "boundary")
-    out = fill(out, "morph", UNSET)
-    norm = get(out, "norm")
-    out = F.when(~F.map_contains_key(out, "norm_broad") & norm.isNotNull(), put(out, "norm_broad", norm)).otherwise(out)
-    return recode(recode(out, "norm_type", NORM_TYPES), "pos", ANSELM_POS)
+def _broad(tags: Column) -> Column:
+    norm = get(tags, "norm")
+    return F.when(~F.map_contains_key(tags, "norm_broad") & norm.isNotNull(), put(tags, "norm_broad", norm)).otherwise(tags)
 
 
-def prepare_for_upload(tags: Column) -> Column:
-    """The inverse for the editor: short norm types, no unset morph, no norm_broad that repeats norm."""
-    out = recode(tags, "norm_type", {v: k for k, v in NORM_TYPES.items()})
-    out = remove(out, "morph", F.lit(UNSET))
-    return remove(out, "norm_broad", get(out, "norm"))
+ANSELM_POSTPROCESS = [
+    lambda t: remove(t, "comment"), lambda t: remove(t, "boundary"), lambda t: fill(t, "morph", UNSET), _broad,
+    lambda t: recode(t, "norm_type", NORM_TYPES), lambda t: recode(t, "pos", ANSELM_POS),
+]
+#: The inverse for the editor: short norm types, no unset morph, no norm_broad that repeats norm.
+PREPARE_FOR_UPLOAD = [
+    lambda t: recode(t, "norm_type", {v: k for k, v in NORM_TYPES.items()}), lambda t: remove(t, "morph", F.lit(UNSET)),
+    lambda t: remove(t, "norm_broad", get(t, "norm")),
+]
 
 
 def pipeline(*steps: Callable[[Corpus], Corpus]) -> Callable[[Corpus], Corpus]:
@@ -217,9 +226,32 @@ def pipeline(*steps: Callable[[Corpus], Corpus]) -> Callable[[Corpus], Corpus]:
     return run
 
 
-def on_tags(change: Callable[..., Column], *more: str) -> Callable[[Corpus], Corpus]:
-    """A step that changes the tags of all annos by an expression of the tags and further columns."""
-    return lambda c: c.having(annos=c.annos.withColumn("tags", change(F.col("tags"), *map(F.col, more))))
+def on_tags(*changes: Callable[[Column], Column]) -> Callable[[Corpus], Corpus]:
+    """A step that changes the tags of all annos."""
+    return lambda c: c.having(annos=changed(c.annos, *changes))
+
+
+def on_words(*changes: Callable[[Column], Column]) -> Callable[[Corpus], Corpus]:
+    """A step that changes each token's annos in order (verbation_tags, punct_fold, punct_pos): gathered, changed, numbered."""
+
+    def step(c: Corpus) -> Corpus:
+        from pyspark.sql import Window
+
+        names = [n for n in c.annos.columns if n not in ("doc_key", "tok_ord")]
+        words = c.annos.groupBy("doc_key", "tok_ord").agg(F.array_sort(F.collect_list(F.struct("anno_in_tok", F.struct(*names).alias("a"))), _by_place).alias("w"))
+        words = words.withColumn("w", F.transform("w", lambda x: x["a"]))
+        for change in changes:
+            words = words.withColumn("w", change(F.col("w")))
+        rows = words.select("doc_key", "tok_ord", F.posexplode("w").alias("k", "a")).select("doc_key", "tok_ord", "k", "a.*")
+        order = Window.partitionBy("doc_key").orderBy("tok_ord", "k")
+        rows = rows.withColumn("anno_in_tok", F.col("k") + 1).withColumn("anno_ord", F.row_number().over(order).cast("int")).drop("k")
+        return c.having(annos=rows.select(*c.annos.columns))
+
+    return step
+
+
+def _by_place(a: Column, b: Column) -> Column:
+    return a["anno_in_tok"] - b["anno_in_tok"]
 
 
 def unchanged(corpus: Corpus) -> Corpus:

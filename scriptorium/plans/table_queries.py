@@ -212,8 +212,8 @@ def ref_annotation(spark: SparkSession, d: str) -> DataFrame:
         F.lit("morph"), F.when(size % 5 == 0, "a.b.c.d.*").otherwise("a.b.*"),
     )
     parts = spark.read.parquet(f"{d}/part.parquet").withColumn("tags", tags)
-    done = parts.withColumn("t", modify.ref_postprocess(F.col("tags"), size % 2 == 0))
-    get = lambda n: modify.get(F.col("t"), n)
+    done = modify.ref_postprocess(parts.withColumn("checked", size % 2 == 0))
+    get = lambda n: modify.get(F.col("tags"), n)
     return done.select("p_partkey", get("morph").alias("morph"), get("lemmaURL").alias("url"), get("annoType").alias("annoType"))
 
 

@@ -85,7 +85,7 @@ def chunk_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, token, n): each distinct token of a document with its count."""
     stream = chunks.chunks(documents(spark, d), "doc_id", "text").where("kind = 'token'")
-    return stream.groupBy("doc_id", F.col("content").alias("token")).agg(F.count("*").alias("n"))
+    return stream.groupBy("doc_id", F.col("raw").alias("token")).agg(F.count("*").alias("n"))
 
 
 def _bounded(tokens: DataFrame) -> DataFrame:
@@ -132,17 +132,16 @@ FROM tokens JOIN flags USING (token) GROUP BY doc_id
 def bounds_by_rule(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
     distinct = tokens.select(F.col("token").alias("_t")).distinct().withColumn("chars", signs.signs(F.col("_t")))
-    near = lambda i: bounds.Near(F.col("chars"), i)
     rules = {
         "n_initial": lambda m: m.is_a(-2, "Whitespace") & ~m.is_a(-2, "LineBreak") & m.is_a(-1, "Punct") & ~m.is_a(0, "Punct"),
         "n_final": lambda m: m.is_a(-1, "TextChar") & m.is_a(0, "Punct") & ~m.is_a(1, "TextChar", "Joiner", "UniverbSpace"),
-        "n_unlike": lambda m: m.is_a(-1, "Punct") & m.is_a(0, "Punct") & (m.string(-1) != m.string(0)),
+        "n_unlike": lambda m: m.is_a(-1, "Punct") & m.is_a(0, "Punct") & m.unlike,
         "n_split": lambda m: m.is_a(-1, "MultiverbSpace", "MultiverbNewline"),
         "n_dipl": bounds.dipl_bound,
     }
-    places = F.sequence(F.lit(0), F.size("chars") - 1)
-    count = lambda rule: F.size(F.filter(places, lambda i: F.coalesce(rule(near(i)), F.lit(False))))
-    counted = distinct.select("_t", *[count(r).alias(k) for k, r in rules.items()])
+    seen = distinct.withColumn("near", bounds.around(F.col("chars")))
+    count = lambda rule: F.size(F.filter("near", lambda w: rule(bounds.Near(w))))
+    counted = seen.select("_t", *[count(r).alias(k) for k, r in rules.items()])
     met = tokens.join(counted, F.col("token") == F.col("_t"))
     return met.groupBy("doc_id").agg(*[F.sum(F.col("n") * F.col(k)).cast("long").alias(k) for k in rules])
 
