@@ -83,12 +83,10 @@ def preprocessed(lines: list[str]) -> list[str]:
     out, rest = [], ""
     for line in lines:
         line = re.sub(r"\|{2,}", "|", re.sub(r" *\| *", "|", f"{rest}{line}".strip()))
-        m = re.search(r"(.*(?:\(=\)|=\||=))([^\s=|]+)$", line)
-        rest = ""
-        if m and " " not in m[2] and m[1].endswith(("=", "=|", "(=)")) and not m[1].endswith(" ="):
-            line, rest = m[1], m[2] + " "
-        out.append(line)
-    if rest and out:
+        m = re.search(r"(\S(?:\(=\)|=\||=))([^\s=|]+)$", line)
+        rest = m[2] + " " if m else ""
+        out.append(line[: m.end(1)] if m else line)
+    if rest:
         out[-1] += rest.strip()
     return out
 

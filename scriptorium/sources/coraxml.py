@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dialects import dialect, parsed
 from ..model import Corpus, shift_tag
 from ..operators import bounds, headers, layout, validate
+from ..session import checkpointed
 
 _ELEMENT = "array<struct<ord:int,id:string,name:string,side:string,range:string>>"
 SCAN = (
@@ -84,7 +85,7 @@ def read_coraxml(files: DataFrame, of: str = "plain", strict: bool = True, legac
     from the part alone, and the document is not valid if ``strict`` (unless the dialect is tokenised anew).
     """
     key, options = "doc_key", dialect(of).options
-    docs = scan(files, options.get("dipl_tag", "dipl"), options.get("anno_tag", "mod"))
+    docs = checkpointed(scan(files, options.get("dipl_tag", "dipl"), options.get("anno_tag", "mod")))
     element = lambda table: docs.select(key, F.explode(table).alias("e")).select(key, "e.*")
     items = element("items")
     ends = element("lines").select(key, layout.parse_range(F.col("range"))["last"].alias("end")).where("end is not null")
@@ -100,7 +101,7 @@ def read_coraxml(files: DataFrame, of: str = "plain", strict: bool = True, legac
     made = bounds.tokenised(parsed(tokens.withColumnRenamed("given", "trans"), of), carry=dialect(of).carried)
     made = made.withColumn("errors", validate.token_errors(legacy=legacy)).withColumnsRenamed({"trans": "given", "xml_trans": "trans"})
     made = made.withColumn("given_dipls", F.transform("xml_dipls", lambda d: d["trans"])).withColumn("given_annos", F.transform("xml_annos", lambda a: a["trans"]))
-    made = validate.against_parse(made)
+    made = checkpointed(validate.against_parse(made))  # all tables of tokens and their parts come from it
     words = made.select(key, F.col("ord").alias("item_ord"), "tok_ord", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("t"), "tok_ord")).alias("token_id"), "trans", "errors", "chars")
 
     def parts(xml: str, parse: str, fields: list[str]) -> DataFrame:
@@ -113,7 +114,7 @@ def read_coraxml(files: DataFrame, of: str = "plain", strict: bool = True, legac
         order = F.row_number().over(Window.partitionBy(key).orderBy("tok_ord", "k")).cast("int")
         return rows.select(key, "tok_ord", (F.col("k") + 1).alias("k"), order.alias("n"), *[F.col(f"x.{f}").alias(f) for f in fields], "chars")
 
-    dipls = parts("xml_dipls", "dipls", ["id", "trans"]).withColumnsRenamed({"k": "dipl_in_tok", "n": "dipl_ord"})
+    dipls = checkpointed(parts("xml_dipls", "dipls", ["id", "trans"])).withColumnsRenamed({"k": "dipl_in_tok", "n": "dipl_ord"})
     dipls = dipls.withColumn("dipl_id", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("d"), "dipl_ord"))).drop("id")
     dipls = dipls.withColumn("utf", bounds.form(bounds.keep(F.col("chars"), "Whitespace", drop=True), "dipl_utf"))
     annos = parts("xml_annos", "annos", ["id", "trans", "checked", "tags", "flags"]).withColumnsRenamed({"k": "anno_in_tok", "n": "anno_ord"})

@@ -9,6 +9,7 @@ from ..functions.dialects import dialect, parsed
 from ..model import Corpus, joined, shift_tag
 from ..operators import bounds, chunks, headers, layout
 from ..operators.validate import token_errors
+from ..session import checkpointed
 
 
 def text_lines(texts: DataFrame) -> DataFrame:
@@ -60,6 +61,7 @@ def _spans(marks: Column) -> Column:
 def token_tables(tokens: DataFrame, of: str, legacy: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tokens, dipls, annos) for rows doc_key, item_ord, tok_ord, token_id, trans, base_line: parsed, bounded, split, numbered."""
     made = bounds.tokenised(parsed(tokens, of), carry=dialect(of).carried).withColumn("errors", token_errors(legacy=legacy))
+    made = checkpointed(made)  # three tables come from it
     word = made.select("doc_key", "item_ord", "tok_ord", "token_id", bounds.trans(F.col("chars")).alias("trans"), "errors", "chars", "base_line", "dipls", "annos")
     number = lambda name: F.row_number().over(Window.partitionBy("doc_key").orderBy("tok_ord", name)).cast("int")
     dipls = word.select("doc_key", "tok_ord", "base_line", F.posexplode("dipls").alias("k", "d")).select(
@@ -97,6 +99,8 @@ def read_trans(texts: DataFrame, of: str = "plain", strict: bool = True, legacy:
         .withColumn("tok_ord", F.sum(is_token).over(w).cast("int"))
         .withColumn("item_ord", F.sum(is_item).over(w).cast("int"))
     )
+    placed = checkpointed(placed)
+    stream = placed.select(*stream.columns)
     tokens = placed.where("kind = 'token'").select(
         key, "item_ord", "tok_ord", F.concat(F.lit("t"), "tok_ord").alias("token_id"), F.col("content").alias("trans"), "base_line"
     )
