@@ -51,9 +51,10 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
         # reduceat runs to the next start; white space adds nothing
         first, last = kind[buf[starts]].astype(np.int64), kind[buf[ends - 1]].astype(np.int64)
         h = word_hashes(buf, starts, ends)
+        place = np.arange(len(h)) - np.repeat(own[:-1], np.diff(own))  # in its own text
         same = np.zeros(len(h), np.int64)
-        same[1:] |= h[1:] == h[:-1]
-        same[2:] |= (h[2:] == h[:-2]) * 2
+        same[1:] |= (h[1:] == h[:-1]) & (place[1:] >= 1)
+        same[2:] |= ((h[2:] == h[:-2]) & (place[2:] >= 2)) * 2
         long = np.minimum(ends - starts, 24) // 4
         shape = (((shape * 64 + first) * 64 + last) * 8 + long) * 4 + same
     pairs = mixed((shape[:-1].astype(np.uint64) << np.uint64(32)) + shape[1:].astype(np.uint64)) if len(shape) > 1 else np.zeros(0, np.uint64)
@@ -104,7 +105,7 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def _weigh(ratio: np.ndarray, keys: list[str]):
+def _weigh(ratio: np.ndarray, keys: list[str], into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.round(ratio * (1 << 24)).astype(np.int64)  # sums of whole numbers don't depend on the batch
         for batch in slices(batches):
@@ -112,15 +113,15 @@ def _weigh(ratio: np.ndarray, keys: list[str]):
             for (grams, at), base in zip(features(*flat(batch.column("text"))), (0, BUCKETS), strict=True):
                 sums = np.concatenate([[0], np.cumsum(whole[base + grams])])
                 weight += (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1) / (1 << 24)
-            yield pa.record_batch([*[batch.column(k) for k in keys], pa.array(weight)], [*keys, "weight"])
+            yield pa.record_batch([*[batch.column(k) for k in keys], pa.array(weight)], [*keys, into])
 
     return run
 
 
-def weigh(df: DataFrame, ratio: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``weight``: the mean log ratio of each family's n-grams. A text without any has weight 0."""
+def weigh(df: DataFrame, ratio: np.ndarray, keep: list[str], into: str = "weight") -> DataFrame:
+    """The columns ``keep`` and ``into``: the mean log ratio of each family's n-grams. A text without any has weight 0."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_weigh(ratio, keep), f"{kinds}, weight double")
+    return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_weigh(ratio, keep, into), f"{kinds}, {into} double")
 
 
 def threshold(weights: np.ndarray, good: np.ndarray) -> float:
@@ -138,10 +139,10 @@ def threshold(weights: np.ndarray, good: np.ndarray) -> float:
     return float((edges[best] + edges[best + 1]) / 2)
 
 
-def _noisy(names: list[str], seed: int) -> Column:
+def _noisy(names: list[str], seed: int, weight: str = "weight") -> Column:
     """Weight plus Gumbel noise; from a hash of the key, so reruns agree."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *names), 12) + 0.5) / F.lit(float(1 << 52))
-    return F.col("weight") - F.lit(TEMPERATURE) * F.log(-F.log(unit))
+    return F.col(weight) - F.lit(TEMPERATURE) * F.log(-F.log(unit))
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str) -> tuple[np.ndarray, float]:
@@ -187,7 +188,7 @@ def kept(df: DataFrame, labels: DataFrame, key: str, seed: int = 5) -> DataFrame
     ranked = rank_in_group(keyed.withColumn("_least", -F.col("noisy")), [], ["_least", "_pos"], "_rank")
     last = ranked.where(F.col("_rank") == k - 1).select("noisy").first()
     least = last[0] if last else float("inf")
-    return weigh(df, ratio, df.columns).where(_noisy([key], seed) >= F.lit(least)).select(*df.columns)
+    return weigh(df, ratio, df.columns, "_weight").where(_noisy([key], seed, "_weight") >= F.lit(least)).select(*df.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
