@@ -186,7 +186,7 @@ def tag_recode(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_TAGGED}
-SELECT p_partkey, CASE WHEN morph IS NULL THEN pos ELSE pos || '.' || morph END AS both, NULL::VARCHAR AS pos, CASE WHEN morph IS NULL THEN NULL END AS morph FROM t""")
+SELECT p_partkey, CASE WHEN morph IS NULL THEN pos ELSE pos || '.' || morph END AS both, NULL::VARCHAR AS pos, CAST(NULL AS VARCHAR) AS morph FROM t""")
 def tag_merge(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_tagged(spark, d), modify.merge(F.col("tags"), "pos", "morph", "both"), "both", "pos", "morph")
 

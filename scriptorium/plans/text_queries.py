@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import chars as signs
 from ..model import joined
-from ..operators import bounds, chunks, headers, layout, validate
-from ..sources.trans import text_lines
+from ..operators import bounds, chunks, headers, layout, modify, validate
+from ..session import prepared
+from ..sources.trans import read_trans, text_lines
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -311,3 +312,51 @@ def xml_depth(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("page_id").agg(
         F.count("*").alias("n_tags"), F.count_if(closing).alias("n_closing"), F.count_distinct(name).alias("n_names"), F.max("depth").alias("deepest")
     )
+
+
+@query(f"""
+WITH lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS ord FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS l FROM documents)),
+bodies AS (SELECT doc_id, string_agg(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY ord) AS text FROM lines WHERE line <> '' GROUP BY doc_id),
+{_CHUNKS.strip().replace("FROM documents", "FROM bodies")},
+placed AS (SELECT doc_id, ord, kind, raw, 1 + coalesce(sum(length(raw) - length(replace(raw, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM chunks)
+SELECT d.doc_id, count(DISTINCT CASE WHEN kind = 'token' THEN line END) AS n_lines, count(*) FILTER (WHERE kind = 'token') AS n_tokens, count(*) FILTER (WHERE kind = 'token') AS n_annos,
+  CAST(coalesce(sum(length(replace(raw, chr(10), ''))) FILTER (WHERE kind = 'token'), 0) AS BIGINT) AS n_chars
+FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id
+""")
+def trans_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """All documents read as transcriptions into the tables of a corpus, in the plain dialect; what the tables hold."""
+    prepared(spark)
+    corpus = read_trans(documents(spark, d).select(F.col("doc_id").cast("string").alias("doc_key"), "text"), "plain", strict=False)
+    lines = corpus.lines.groupBy("doc_key").agg(F.count("*").alias("n_lines"))
+    dipls = corpus.dipls.groupBy("doc_key").agg(F.count("*").alias("n_tokens"), F.sum(F.length("utf")).cast("long").alias("n_chars"))
+    annos = corpus.annos.groupBy("doc_key").agg(F.count("*").alias("n_annos"))
+    rows = corpus.documents.select("doc_key").join(lines, "doc_key", "left").join(dipls, "doc_key", "left").join(annos, "doc_key", "left")
+    return rows.select(F.col("doc_key").cast("long").alias("doc_id"), *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_lines", "n_tokens", "n_annos", "n_chars")])
+
+
+@query(r"""
+SELECT doc_id, CAST(w AS INTEGER) AS tokens, CASE WHEN w >= 2 THEN 'MS1' END AS first, CASE WHEN w >= 2 THEN 'MS1' END AS second, CASE WHEN w >= 4 THEN 'MS2' END AS third
+FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS w FROM documents)
+""")
+def verbation_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of split words: each document has one word split into as many parts as its language's number."""
+    parts = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).when(F.col("lang") == "fr", 3).otherwise(4)
+    rows = documents(spark, d).select("doc_id", F.array_join(F.array_repeat(F.lit("ab"), parts), "|").alias("word"))
+    empty = lambda a: a.withField("tags", F.expr("cast(map() as map<string,string>)"))
+    made = bounds.tokenised(rows.withColumn("chars", signs.signs(F.col("word"))))
+    made = made.withColumn("annos", F.transform("annos", empty)).withColumn("annos", modify.verbation_tags(F.col("annos")))
+    tag = lambda k: modify.get(F.get("annos", F.lit(k))["tags"], "token_type")
+    return made.select("doc_id", F.size("annos").alias("tokens"), tag(0).alias("first"), tag(1).alias("second"), tag(2).alias("third"))
+
+
+@query(f"""
+WITH {_CHUNKS}, {_SIGNS}
+SELECT doc_id, CAST(sum(n) FILTER (WHERE len(list_filter(k, lambda x: x = 'P')) > 0) AS BIGINT) AS n_punct, CAST(sum(n) AS BIGINT) AS n_tokens FROM tokens JOIN cls USING (token) GROUP BY doc_id
+""")
+def punct_pos(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens that would get the part of speech of punctuation."""
+    tokens = _tokens(spark, d).withColumn("chars", signs.signs(F.col("token")))
+    one = F.array(F.struct("chars", F.create_map(F.lit("pos"), F.lit("--")).alias("tags")))
+    tagged = tokens.withColumn("a", modify.punct_pos(one))
+    hit = modify.get(F.get("a", F.lit(0))["tags"], "pos") == "$("
+    return tagged.groupBy("doc_id").agg(F.sum(F.when(hit, F.col("n"))).alias("n_punct"), F.sum("n").alias("n_tokens"))

@@ -98,8 +98,8 @@ def read_coraxml(files: DataFrame, of: str = "plain", strict: bool = True, legac
     )
     tokens = tokens.withColumn("given", F.regexp_replace(F.array_join(text, ""), r"^\s+|\s+$", "")).drop("ends")
     tokens = tokens.withColumnsRenamed({"dipls": "xml_dipls", "annos": "xml_annos", "trans": "xml_trans"})
-    made = bounds.tokenised(parsed(tokens.withColumnRenamed("given", "trans"), of), carry=dialect(of).carried)
-    made = made.withColumn("errors", validate.token_errors(legacy=legacy)).withColumnsRenamed({"trans": "given", "xml_trans": "trans"})
+    split = lambda t: bounds.tokenised(t, carry=dialect(of).carried).withColumn("errors", validate.token_errors(legacy=legacy))
+    made = parsed(tokens, of, "given", then=split).withColumnRenamed("xml_trans", "trans")
     made = made.withColumn("given_dipls", F.transform("xml_dipls", lambda d: d["trans"])).withColumn("given_annos", F.transform("xml_annos", lambda a: a["trans"]))
     made = checkpointed(validate.against_parse(made))  # all tables of tokens and their parts come from it
     words = made.select(key, F.col("ord").alias("item_ord"), "tok_ord", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("t"), "tok_ord")).alias("token_id"), "trans", "errors", "chars")

@@ -60,8 +60,8 @@ def _spans(marks: Column) -> Column:
 
 def token_tables(tokens: DataFrame, of: str, legacy: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tokens, dipls, annos) for rows doc_key, item_ord, tok_ord, token_id, trans, base_line: parsed, bounded, split, numbered."""
-    made = bounds.tokenised(parsed(tokens, of), carry=dialect(of).carried).withColumn("errors", token_errors(legacy=legacy))
-    made = checkpointed(made)  # three tables come from it
+    split = lambda t: bounds.tokenised(t, carry=dialect(of).carried).withColumn("errors", token_errors(legacy=legacy))
+    made = checkpointed(parsed(tokens, of, then=split))  # three tables come from it
     word = made.select("doc_key", "item_ord", "tok_ord", "token_id", bounds.trans(F.col("chars")).alias("trans"), "errors", "chars", "base_line", "dipls", "annos")
     number = lambda name: F.row_number().over(Window.partitionBy("doc_key").orderBy("tok_ord", name)).cast("int")
     dipls = word.select("doc_key", "tok_ord", "base_line", F.posexplode("dipls").alias("k", "d")).select(
