@@ -136,7 +136,7 @@ def reference_header(documents: DataFrame, notes: DataFrame, abbreviations: Data
     becomes its place of writing, and notes (sigle prefix, note) and abbreviations (abbreviation, sigle prefix) are looked
     up by the first four characters of the corpus sigle; without an entry the value is a dash.
     """
-    lines = F.filter(F.transform(F.split(F.trim("header_string"), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.trim("header_string"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = documents.withColumn("_lines", lines)
     values = {new: _value(F.col("_lines"), old) for old, new in RENAMED}
     rows = rows.withColumn("_v", F.struct(*[v.alias(k) for k, v in values.items()])).withColumn("_d", decoded_sigle(F.col("_v.corpus-sigle")))

@@ -62,7 +62,7 @@ def split(tags: Column, source: str, first: str, second: str, sep: str = ".") ->
     The source goes, unless it is one of the two results.
     """
     value = get(tags, source)
-    parts = F.filter(F.transform(F.split(value, F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E"))), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(value, F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E"))), lambda x: F.trim(x)), lambda x: x != "")
     rest = tags if source in (first, second) else remove(tags, source)
     two = put(put(rest, first, parts[0]), second, F.get(parts, F.lit(1)))
     return F.when(value.isNull(), tags).when(F.size(parts) >= 2, two).otherwise(put(rest, first, value))
