@@ -62,12 +62,13 @@ def jump_hash(key: Column, *counts: int) -> Column:
 def shard(df: DataFrame, key: str, shards: int, carry: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` with ``shard``, ``grown_shard`` (with one shard more) and ``slot`` (gapless from 0 in a shard).
 
-    Only ``key`` and the columns in ``carry`` are kept, so other columns' names can't clash. A null key counts as one
-    more key of its own; rows with equal keys go to the same shard. Slots follow the key, then the carried columns,
+    Only ``key`` and the columns in ``carry`` are kept, so other columns' names can't clash. Whole numbers are keys as they
+    are, other types by a 64-bit hash; a null key goes where -1 goes; rows with equal keys go to the same shard. Slots follow the key, then the carried columns,
     then the order of the scan. An empty table gives an empty one.
     """
     names = [c for c in carry or [] if c != key]
-    keyed = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.xxhash64(F.col(key)))
+    whole = df.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    keyed = F.coalesce(F.col(key).cast("long") if whole else F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.lit(-1).cast("long"))
     base = (
         df.select(key, *names, F.monotonically_increasing_id().alias("_pos"))
         .withColumn("_to", jump_hash(keyed, shards, shards + 1))
@@ -89,4 +90,21 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_sharding": op8_sharding}
-ORACLE: dict[str, str] = {}
+#: The CRC from its table, the chain of jumps as a recursion over 128-bit products.
+ORACLE = {
+    "op8_sharding": r"""
+WITH RECURSIVE
+crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+sized AS (SELECT doc_id, length(h) // 2 + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)),
+   lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32 FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), crc_table),
+jumps AS (
+  SELECT doc_id, CASE WHEN doc_id < 0 THEN doc_id + 18446744073709551616::HUGEINT ELSE doc_id::HUGEINT END AS key, 0::BIGINT AS place, 0 AS eight, 0 AS nine FROM sized
+  UNION ALL
+  SELECT doc_id, k, j, CASE WHEN j < 8 THEN j::INTEGER ELSE eight END, CASE WHEN j < 9 THEN j::INTEGER ELSE nine END
+  FROM (SELECT doc_id, k, eight, nine, least(floor((place + 1) * (2147483648.0::DOUBLE / ((k >> 33) + 1)::DOUBLE)), 9)::BIGINT AS j
+    FROM (SELECT doc_id, (key * 2862933555777941757 + 1) % 18446744073709551616::HUGEINT AS k, place, eight, nine FROM jumps WHERE place < 9))
+)
+SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, j.eight AS shard, row_number() OVER (PARTITION BY j.eight ORDER BY s.doc_id, s.size, s.text_crc32) - 1 AS slot, j.nine AS grown_shard
+FROM sized s JOIN (SELECT DISTINCT doc_id, eight, nine FROM jumps WHERE place = 9) j ON s.doc_id = j.doc_id
+"""
+}
