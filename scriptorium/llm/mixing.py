@@ -107,7 +107,7 @@ def mix(df: DataFrame, key: str, carry: list[str] | None = None, block: int = BL
     sources = checkpointed(source_targets(sizes))
     slots = schedule(sources, block)
     line = running_total(
-        rows.withColumn("_order", F.xxhash64(F.lit(seed), F.col(key))), ["source"], ["_order", key, "size", *names, "_pos"], "size", "begin"
+        rows.withColumn("_order", F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), "UTF-8"))), ["source"], ["_order", key, "size", *names, "_pos"], "size", "begin"
     )
     line = checkpointed(line)
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
@@ -167,4 +167,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_mixing": op7_mixing}
-ORACLE: dict[str, str] = {}
+#: What the schedule comes to: whole laps of a source's line, and a lap up to its remainder.
+ORACLE = {
+    "op7_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, source_size * 3.0::DOUBLE AS cap,
+  CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM l WHERE level * weight <= cap)) AS target FROM l),
+p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target + 1e-6) AS BIGINT) AS n,
+  CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('7:' || d.doc_id), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, source,
+  CASE WHEN source_size = 0 THEN 0 ELSE (n // source_size) * size + greatest(0, least(start + size, n % source_size) - start) END AS taken FROM p
+"""
+}
