@@ -177,4 +177,22 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_licenses": op2_licenses}
-ORACLE: dict[str, str] = {}
+_TEMPLATES = ", ".join(f"({t}, '{label}', {t < len(BASE)}, '{text}')" for t, (label, text) in enumerate([*BASE, *NOTICES]))
+#: The same votes, from the words themselves instead of their hashes.
+ORACLE = {
+    "op2_licenses": rf"""
+WITH templates AS (SELECT t, label, base, string_split(text, ' ') AS w FROM (VALUES {_TEMPLATES}) v(t, label, base, text)),
+grams AS (SELECT t, label, base, len(w) - 2 AS n, place, w[place + 1] || ' ' || w[place + 2] || ' ' || w[place + 3] AS g FROM (SELECT *, unnest(range(len(w) - 2)) AS place FROM templates)),
+texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+said AS (SELECT doc_id, place, w[place + 1] || ' ' || w[place + 2] || ' ' || w[place + 3] AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS place FROM texts WHERE len(w) > 2)),
+votes AS (SELECT doc_id, t, label, base, n, said.place - grams.place AS diagonal, list(DISTINCT grams.place) AS places, min(said.place) AS first FROM said JOIN grams USING (g) GROUP BY ALL),
+fresh AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) > {APART}, true) THEN 1 ELSE 0 END AS f FROM votes),
+spans AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span FROM fresh),
+merged AS (SELECT doc_id, label, base, n, min(first) AS first, len(list_distinct(flatten(list(places)))) AS met, max(len(places)) = n AS whole FROM spans GROUP BY doc_id, t, label, base, n, span),
+kept AS (SELECT *, met / n AS share FROM merged WHERE CASE WHEN base THEN whole ELSE met / n >= CASE WHEN n > {SHORT} THEN {SHARE} ELSE 1.0 END END)
+SELECT texts.doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) FILTER (WHERE base) AS n_base, CAST(min(first) FILTER (WHERE base) AS BIGINT) AS first_word,
+  CAST(max(first) FILTER (WHERE base) AS BIGINT) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0)::DOUBLE AS score
+FROM texts LEFT JOIN kept ON texts.doc_id = kept.doc_id GROUP BY texts.doc_id, w
+"""
+}
