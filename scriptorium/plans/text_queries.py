@@ -156,12 +156,15 @@ SELECT lang, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(n * annos) AS BIGINT)
 FROM tokens JOIN counted USING (token) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang
 """)
 def anno_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Annotatable tokens and their mean length by language: text to chunks to characters to bounds to pieces."""
-    tokens = _tokens(spark, d)
-    pieces = _bounded(tokens).select("_t", F.size("annos").alias("annos"), F.aggregate("annos", F.lit(0), lambda a, x: a + F.length(x["utf"])).alias("chars"))
-    langs = documents(spark, d).select(F.col("doc_id").alias("_d"), "lang")
-    met = tokens.join(pieces, F.col("token") == F.col("_t")).join(langs, F.col("doc_id") == F.col("_d"))
-    return met.groupBy("lang").agg(
+    """Annotatable tokens and their mean length by language: text to chunks to characters to bounds to pieces.
+
+    One scan and one shuffle of counted tokens; each token of a language is split once, and nothing is joined.
+    """
+    stream = chunks.chunks(documents(spark, d), "lang", "text").where("kind = 'token'")
+    tokens = stream.groupBy("lang", F.col("raw").alias("token")).agg(F.count("*").alias("n"))
+    made = bounds.tokenised(tokens.withColumn("chars", signs.signs(F.col("token"))))
+    pieces = made.select("lang", "n", F.size("annos").alias("annos"), F.aggregate("annos", F.lit(0), lambda a, x: a + F.length(x["utf"])).alias("chars"))
+    return pieces.groupBy("lang").agg(
         F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("annos")).cast("long").alias("n_annos"),
         F.sum(F.col("n") * F.col("chars")).cast("long").alias("n_chars"),
         F.round(F.sum(F.col("n") * F.col("chars")) / F.sum(F.col("n") * F.col("annos")), 6).alias("mean_length"),
