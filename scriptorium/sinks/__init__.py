@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Corpus
-from .coraxml import to_coraxml
+from .dualxml import to_dualxml
 from .gate import to_gate_json
 from .markdown import to_markdown
 from .tei import to_tei
 from .trans import to_trans
 
-FORMATS = {"coraxml": (to_coraxml, "xml"), "trans": (to_trans, "txt"), "gatejson": (to_gate_json, "json"), "tei": (to_tei, "xml"), "markdown": (to_markdown, "md")}
+#: Names of formats; what writes them, and the ending of their files.
+FORMATS = {"coraxml": (to_dualxml, "xml"), "trans": (to_trans, "txt"), "gatejson": (to_gate_json, "json"), "tei": (to_tei, "xml"), "markdown": (to_markdown, "md")}
 
 
 def exported(corpus: Corpus, format: str = "coraxml", **options) -> DataFrame:

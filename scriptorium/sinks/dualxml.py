@@ -1,4 +1,4 @@
-"""CoraXML: one text per document, put together from the texts of its elements in order."""
+"""dual-token XML: one text per document, put together from the texts of its elements in order."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..operators.layout import range_text
 from .common import KEY, attributes, escaped, header_text, layout_ranges
 
 
-def to_coraxml(c: Corpus, dipl_tag: str = "dipl", anno_tag: str = "mod", simple: str = "ascii") -> DataFrame:
+def to_dualxml(c: Corpus, dipl_tag: str = "dipl", anno_tag: str = "mod", simple: str = "ascii") -> DataFrame:
     pages, columns, lines = layout_ranges(c)
     page_xml = pages.select(
         KEY, F.struct("page_ord", F.lit(0).alias("b"), F.lit(0).alias("c")).alias("o"),

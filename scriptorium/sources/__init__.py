@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import Corpus
 from ..session import prepared
 
+#: Names of formats.
 FORMATS = ("coraxml", "trans", "bonnxml", "docx")
 
 
@@ -26,7 +27,7 @@ def read_corpus(
     """
     from ..functions.dialects import dialect as known
     from .bonnxml import read_bonnxml
-    from .coraxml import read_coraxml
+    from .dualxml import read_dualxml
     from .docx import docx_texts
     from .trans import read_trans
 
@@ -36,7 +37,7 @@ def read_corpus(
     of = known(dialect).name
     rows = files(spark, path)
     if format == "coraxml":
-        corpus = read_coraxml(rows, of, strict, legacy)
+        corpus = read_dualxml(rows, of, strict, legacy)
     elif format == "bonnxml":
         corpus = read_bonnxml(rows, of, strict, legacy)
     else:

@@ -1,4 +1,4 @@
-"""CoraXML files: layout with ranges, tokens with diplomatic and annotatable parts, comments between them, shift marks.
+"""dual-token XML files: layout with ranges, tokens with diplomatic and annotatable parts, comments between them, shift marks.
 
 A reader of rows groups children by their names and so loses the order of tokens and comments; so one pass over each
 file's tree, in Arrow batches, makes one nested row per document. All checks and joins are DataFrame operators.
@@ -77,7 +77,7 @@ def scan(files: DataFrame, dipl_tag: str = "dipl", anno_tag: str = "mod") -> Dat
     return files.select("doc_key", "content").mapInPandas(run, SCAN)
 
 
-def read_coraxml(files: DataFrame, of: str = "plain", strict: bool = True, legacy: bool = False) -> Corpus:
+def read_dualxml(files: DataFrame, of: str = "plain", strict: bool = True, legacy: bool = False) -> Corpus:
     """A corpus from ``files`` (doc_key, content).
 
     A token is parsed as its diplomatic parts one after the other, with a line break where one of them ends a line. The

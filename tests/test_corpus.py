@@ -14,7 +14,7 @@ from scriptorium.sinks import exported
 from scriptorium.sinks.trans import editor_json
 from scriptorium.sources import read_corpus
 from scriptorium.sources.bonnxml import aligned, preprocessed, read_bonnxml
-from scriptorium.sources.coraxml import read_coraxml
+from scriptorium.sources.dualxml import read_dualxml
 from scriptorium.sources.docx import docx_text
 from scriptorium.sources.trans import read_trans
 
@@ -56,22 +56,22 @@ def test_trans_round_trip(spark, corpus):
     assert "foo bar test ." in simple
 
 
-def test_coraxml_round_trip(spark, corpus, tmp_path):
+def test_dualxml_round_trip(spark, corpus, tmp_path):
     first = exported(corpus, "coraxml").where("doc_key = 'd1'").first().text
     files = spark.createDataFrame([("d1", first), ("bad", "<no")], "doc_key string, content string")
-    again = read_coraxml(files, "anselm").stored(str(tmp_path))
+    again = read_dualxml(files, "anselm").stored(str(tmp_path))
     assert exported(again, "coraxml").collect()[0].text == first
     assert {(r.doc_key, r.code) for r in again.diagnostics.collect()} == {("bad", "not_xml")}
 
 
-def test_coraxml_strict(spark, tmp_path):
+def test_dualxml_strict(spark, tmp_path):
     xml = (
         '<text><cora-header sigle="S" name="N"/><header>a:b</header><layoutinfo><page id="p1" no="1" range="c1"/><column id="c1" range="l1"/>'
         '<line id="l1" name="1" range="d1..d2"/></layoutinfo><shifttags><fm range="t9"/></shifttags><token id="t1" trans="foobar">'
         '<dipl id="d1" trans="foo"/><dipl id="d2" trans="bar"/><mod id="m1" trans="foobar" checked="y"><pos tag="NN"/><cora-flag name="z"/></mod></token></text>'
     )
     files = spark.createDataFrame([("x", xml)], "doc_key string, content string")
-    strict, loose = read_coraxml(files, "anselm").stored(f"{tmp_path}/a"), read_coraxml(files, "anselm", strict=False).stored(f"{tmp_path}/b")
+    strict, loose = read_dualxml(files, "anselm").stored(f"{tmp_path}/a"), read_dualxml(files, "anselm", strict=False).stored(f"{tmp_path}/b")
     assert not strict.documents.first().valid and loose.documents.first().valid
     assert "err_nr_dipl" in loose.tokens.first().errors
     assert [d.trans for d in loose.dipls.orderBy("dipl_ord").collect()] == ["foo", "bar"]
