@@ -91,13 +91,23 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def shuffled(df: DataFrame, key: str, seed: int) -> Column:
+    """A number that scatters the keys: for whole numbers two rounds modulo 2^32, which any SQL can repeat; else a hash."""
+    if df.schema[key].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        return F.xxhash64(F.lit(seed), F.col(key))
+    size = F.lit(1 << 32)
+    h = (F.pmod(F.col(key).cast("long"), F.lit(1 << 31)) * 1597334677 + seed) % size
+    h = h.bitwiseXOR(F.shiftright(h, 15)) * 1103515245 % size
+    return h.bitwiseXOR(F.shiftright(h, 16))
+
+
 def mix(df: DataFrame, key: str, carry: list[str] | None = None, block: int = BLOCK, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(documents, slots) for rows of ``df`` with ``key``, source and size (number of words).
 
     documents: key, the carried columns, size, source, source_size, target, ``taken``, the words that the mix takes from
     the document, repeats counted, and ``copies``, how often it takes the first word. slots: slot (the order of the mix), source, block, words, ``pieces`` of which
-    hold each document's stretch: see ``schedule``. The documents of a source stand in a shuffled line (hash of the key
-    and seed; ties by the columns), cut into blocks of equal words; a slot takes the next block of its source. Null
+    hold each document's stretch: see ``schedule``. The documents of a source stand in a shuffled line (by the key and
+    seed; ties by the columns), cut into blocks of equal words; a slot takes the next block of its source. Null
     sources are one source, the last. Documents without words take part with 0. A hot source's line is summed by ranges.
     """
     names = [c for c in carry or [] if c not in (key, "source", "size")]
@@ -107,7 +117,7 @@ def mix(df: DataFrame, key: str, carry: list[str] | None = None, block: int = BL
     sources = checkpointed(source_targets(sizes))
     slots = schedule(sources, block)
     line = running_total(
-        rows.withColumn("_order", F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), "UTF-8"))), ["source"], ["_order", key, "size", *names, "_pos"], "size", "begin"
+        rows.withColumn("_order", shuffled(rows, key, seed)), ["source"], ["_order", key, "size", *names, "_pos"], "size", "begin"
     )
     line = checkpointed(line)
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
@@ -178,8 +188,9 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OV
   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM l WHERE level * weight <= cap)) AS target FROM l),
 p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target + 1e-6) AS BIGINT) AS n,
-  CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('7:' || d.doc_id), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY xor(h, h >> 16), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM (SELECT *, xor(g, g >> 15) * 1103515245 % 4294967296 AS h FROM (SELECT *, ((doc_id % 2147483648 + 2147483648) % 2147483648 * 1597334677 + 7) % 4294967296 AS g FROM d)) d
+  JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, source,
   CASE WHEN source_size = 0 THEN 0 ELSE (n // source_size) * size + greatest(0, least(start + size, n % source_size) - start) END AS taken FROM p
 """
