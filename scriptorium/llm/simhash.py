@@ -77,13 +77,13 @@ def minima(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def _fingerprints(width: int, lanes: int, repeats: bool, bands: tuple[int, int] | None):
+def _fingerprints(width: int, lanes: int, repeats: bool, bands: tuple[int, int] | None, named: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             buf, offsets = flat(batch.column("text"))
             buf = lowered(buf)
             starts, ends, at = words(~spaces(buf), offsets)
-            data, out, keys = buf.tobytes(), [], []
+            data, out, keys, names = buf.tobytes(), [], [], []
             for i in range(batch.num_rows):
                 base, own = offsets[i], slice(at[i], at[i + 1])
                 hashes = shingle_hashes(data[base : offsets[i + 1]], starts[own] - base, ends[own] - base, width)
@@ -91,9 +91,15 @@ def _fingerprints(width: int, lanes: int, repeats: bool, bands: tuple[int, int]
                 out.append(majority(hashes, lanes))
                 if bands:
                     keys.append(minima(hashes, *bands))
+                if named:
+                    names.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED))
             own = batch.select([c for c in batch.schema.names if c != "text"])
-            made = [_lists(out, lanes), *([_lists(keys, bands[0])] if bands else [])]
-            yield pa.record_batch([*own.columns, *made], [*own.schema.names, "fp", *(["bands"] if bands else [])])
+            made = {"fp": _lists(out, lanes)}
+            if bands:
+                made["bands"] = _lists(keys, bands[0])
+            if named:
+                made["node"] = pa.array(np.array(names, np.uint64).view(np.int64))
+            yield pa.record_batch([*own.columns, *made.values()], [*own.schema.names, *made])
 
     return run
 
@@ -104,17 +110,25 @@ def _lists(rows: list[np.ndarray], width: int) -> pa.ListArray:
 
 
 def fingerprints(
-    df: DataFrame, keep: list[str], text: str = "text", width: int = 3, lanes: int = 1, repeats: bool = True, bands: tuple[int, int] | None = None
+    df: DataFrame,
+    keep: list[str],
+    text: str = "text",
+    width: int = 3,
+    lanes: int = 1,
+    repeats: bool = True,
+    bands: tuple[int, int] | None = None,
+    named: bool = False,
 ) -> DataFrame:
     """The columns ``keep`` and ``fp``: an array of ``lanes`` longs, the SimHash of the text's shingles of ``width`` words.
 
     A-Z counts as a-z; words are runs of other characters than ASCII white space. A text with fewer words is one
     shingle; a null text or one without words has fingerprint zero. Without ``repeats`` a shingle counts once.
-    With ``bands`` (number, rows of each) there is also ``bands``, the keys of MinHash bands of the same shingles.
+    With ``bands`` (number, rows of each) there is also ``bands``, the keys of MinHash bands of the same shingles; if it
+    is to be ``named``, also ``node``, a hash of the whole set of shingles.
     """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    kinds += ", fp array<long>" + ", bands array<long>" * bool(bands)
-    return df.select(*keep, F.col(text).alias("text")).mapInArrow(_fingerprints(width, lanes, repeats, bands), kinds)
+    kinds += ", fp array<long>" + ", bands array<long>" * bool(bands) + ", node long" * named
+    return df.select(*keep, F.col(text).alias("text")).mapInArrow(_fingerprints(width, lanes, repeats, bands, named), kinds)
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -211,8 +225,8 @@ def spanning(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[n
     return np.concatenate(a), np.concatenate(b)
 
 
-def _cells(radius: int, lanes: int):
-    def links(ids: np.ndarray, fps: np.ndarray, parts: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _linked(radius: int):
+    def links(ids: np.ndarray, fps: np.ndarray, parts: np.ndarray, roots: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(ids) == 2:  # most cells: one pair, no planes needed
             if parts[0] != parts[1] or same:
                 if int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= radius:
@@ -228,18 +242,60 @@ def _cells(radius: int, lanes: int):
             a, b = spanning(fps[order][:cut], fps[order][cut:], radius)
             yield own[a], own[b]
 
+    return links
+
+
+def _apart(radius: int, low: int, high: int | None):
+    """Pairs of different groups within the radius whose places in the cell are from ``low`` to below ``high`` apart.
+
+    Places in the other block are counted from the own place on, round. They are the same in each round, so rounds of
+    adjoining ranges cover each pair. The open range at the end is compared bit-sliced.
+    """
+
+    def links(ids: np.ndarray, fps: np.ndarray, parts: np.ndarray, roots: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if (roots == roots[0]).all():
+            return
+        order = np.argsort(parts, kind="stable")
+        ids, fps, roots = ids[order], fps[order], roots[order]
+        cut = 0 if same else int(np.searchsorted(parts[order], parts.max()))
+        n = len(ids) - cut
+        if high is not None:
+            for o in range(low, min(high, n)) if same else range(low - 1, min(high - 1, n)):
+                q = np.arange(n - o if same else cut)
+                c = q + o if same else cut + (q + o) % n
+                q, c = (x[roots[q] != roots[c]] for x in (q, c))
+                near = np.bitwise_count(fps[q] ^ fps[c]).sum(axis=1) <= radius
+                yield ids[q[near]], ids[c[near]]
+            return
+        planes = planes_of(fps[cut:])
+        lanes = np.zeros(planes.shape[1] * 64, np.uint8)
+        for q in range(n if same else cut):
+            first = (q + low) >> 6 if same else 0
+            lanes[:n] = roots[cut:] != roots[q]
+            if same:
+                lanes[: q + low] = 0
+            if lanes[first << 6 :].any():
+                live = np.packbits(lanes[first << 6 :], bitorder="little").view(np.uint64)
+                near = within(fps[q], planes[:, first:], radius, live)
+                found = cut + np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")) + (first << 6)
+                yield np.full(len(found), ids[q]), ids[found]
+
+    return links
+
+
+def _cells(links, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(cell: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            keys, ids, fps, part = cell
+            keys, ids, fps, part, roots = cell
             heads = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
             tails = np.append(heads[1:], len(keys))
             for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
                 if t - h > 1:
                     i, j = keys[h, 2], keys[h, 3]
                     if i == j or part[h:t].min() != part[h:t].max():
-                        yield from links(ids[h:t], fps[h:t], part[h:t], bool(i == j))
+                        yield from links(ids[h:t], fps[h:t], part[h:t], roots[h:t], bool(i == j))
 
         def batch_of(found: list) -> pa.RecordBatch:
             a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
@@ -252,18 +308,19 @@ def _cells(radius: int, lanes: int):
             col = {n: batch.column(n) for n in batch.schema.names}
             keys = np.stack([col[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("tab", "key", "i", "j")], axis=1)
             fps = col["fp"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
-            held.append((keys, col["node"].to_numpy(zero_copy_only=False), fps, col["part"].to_numpy(zero_copy_only=False)))
+            ids, part, roots = (col[n].to_numpy(zero_copy_only=False) for n in ("node", "part", "root"))
+            held.append((keys, ids, fps, part, roots))
             last = np.flatnonzero((keys != keys[-1]).any(axis=1))
             if not len(last) and sum(len(h[0]) for h in held) < 50 * BLOCK:
                 continue  # one cell so far; cells are bounded
-            whole = tuple(np.concatenate([h[i] for h in held]) for i in range(4))
+            whole = tuple(np.concatenate([h[i] for h in held]) for i in range(5))
             open_ = len(whole[0]) - (len(keys) - (last[-1] + 1 if len(last) else 0))
             found = list(flush(tuple(x[:open_] for x in whole))) if open_ else []
             held = [tuple(x[open_:] for x in whole)]
             if found:
                 yield batch_of(found)
         if held:
-            yield batch_of(list(flush(tuple(np.concatenate([h[i] for h in held]) for i in range(4)))))
+            yield batch_of(list(flush(tuple(np.concatenate([h[i] for h in held]) for i in range(5)))))
 
     return run
 
@@ -295,65 +352,140 @@ def table_keys(nodes: DataFrame, tables: list[list[tuple[int, int, int]]]) -> Da
     return nodes.select("node", F.explode(keyed).alias("k")).select("node", "k.tab", "k.key")
 
 
-def link(nodes: DataFrame, keyed: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
-    """Links (a, b) between ``nodes`` (node, fp) that meet in ``keyed`` (node, tab, key) and lie within the radius.
+def link(nodes: DataFrame, keyed: DataFrame, links, lanes: int = 1, over: int = 1) -> DataFrame:
+    """Links (a, b) that ``links`` finds between ``nodes`` (node, root, fp) that meet in ``keyed`` (node, tab, key).
+
+    Only keys of more than ``over`` nodes count.
 
     Keys of more than BLOCK nodes are split into blocks, and each pair of blocks is a cell of its own. Rows whose key is
     theirs alone never leave the JVM, and fingerprints are joined to the others only.
     """
-    counts = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
+    counts = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > over)
     counts = counts.select(F.col("tab").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     met = keyed.join(counts, (F.col("tab") == F.col("_t")) & (F.col("key") == F.col("_k"))).select("node", "tab", "key", "blocks")
-    met = met.join(nodes.select(F.col("node").alias("_n"), "fp"), F.col("node") == F.col("_n"))
+    met = met.join(nodes.select(F.col("node").alias("_n"), "root", "fp"), F.col("node") == F.col("_n"))
     part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = met.withColumn("part", part).select("node", "fp", "tab", "key", "part", F.explode(other).alias("other"))
-    cells = cells.select("node", "fp", "tab", "key", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    cells = met.withColumn("part", part).select("node", "root", "fp", "tab", "key", "part", F.explode(other).alias("other"))
+    cells = cells.select("node", "root", "fp", "tab", "key", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     return (
         cells.repartition("tab", "key", "i", "j")
         .sortWithinPartitions("tab", "key", "i", "j", "node")
-        .mapInArrow(_cells(radius, lanes), "a long, b long")
+        .mapInArrow(_cells(links, lanes), "a long, b long")
     )
 
 
-def classes(prints: DataFrame, key: str, radius: int, lanes: int = 1, tables: list[list[tuple[int, int, int]]] | None = None) -> DataFrame:
+def classes(prints: DataFrame, key: str, radius: int, tables: list[list[tuple[int, int, int]]], lanes: int = 1) -> DataFrame:
     """Rows of ``prints`` (key, fp, more) with ``root``, which is equal in a class, and ``class``, its smallest key.
 
-    Rows with equal fingerprints are one node. Nodes meet in ``tables`` of their bits, or else by the column ``bands``.
+    Rows with equal fingerprints are one node. Nodes meet in ``tables`` of their bits.
     The keys must be longs; rows with a null key are compared like others, and a class of such rows alone has class null.
     """
     none = (1 << 63) - 1
     prints = checkpointed(prints)
     least = F.coalesce(F.col(key), F.lit(none))
-    bands = [] if tables else [F.min("bands").alias("bands")]
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min(least).alias("least"), *bands).withColumn("node", F.xxhash64("fp")))
-    keyed = table_keys(nodes, tables) if tables else nodes.select("node", F.posexplode("bands").alias("tab", "key"))
-    found = components(link(nodes, keyed, radius, lanes))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(least).alias("least")).withColumn("node", F.xxhash64("fp")))
+    found = components(link(nodes.withColumn("root", F.col("node")), table_keys(nodes, tables), _linked(radius), lanes))
     placed = nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     placed = checkpointed(placed.select("fp", "least", F.coalesce("root", "node").alias("root")))
     names = placed.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("class"))
     by_print = placed.join(names, F.col("root") == F.col("_r"))
     by_print = by_print.select(F.col("fp").alias("_fp"), "root", F.when(F.col("class") < none, F.col("class")).alias("class"))
-    return prints.drop("bands").join(by_print, F.col("fp") == F.col("_fp")).drop("_fp")
+    return prints.join(by_print, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 #: For near-duplicates: words in a shingle, 64-bit parts of a fingerprint, and MinHash bands and rows by which they meet.
-NEAR = {"width": 5, "lanes": 8, "bands": (16, 5)}
-#: Differing bits of 512 at a Jaccard index of 0.8: 512 / pi * acos(2 * 0.8 / 1.8), and less than a deviation of slack.
-NEAR_RADIUS = 82
+NEAR = {"width": 5, "lanes": 8, "bands": (20, 4)}
+#: Differing bits of 512 up to which the exact index is asked for. At an index of 0.8 or more a bit differs with chance
+#: 0.1875 at most (sets of 4 and 5, where even counts tie; 0.152 for large sets): 96 bits and six deviations of 8.8.
+NEAR_RADIUS = 150
+#: Rounds in which a cell gives its pairs, by how many places they are apart; small cells are through after the first.
+ROUNDS = [(1, 3), (3, 17), (17, None)]
+#: Up to so many texts that pairs ask for are told to all executors; more are joined by a shuffle of the texts.
+TOLD = 100_000
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            buf, offsets = flat(batch.column("text"))
+            buf = lowered(buf)
+            starts, ends, at = words(~spaces(buf), offsets)
+            data, rows = buf.tobytes(), []
+            for i in range(batch.num_rows):
+                base, own = offsets[i], slice(at[i], at[i + 1])
+                rows.append(np.unique(shingle_hashes(data[base : offsets[i + 1]], starts[own] - base, ends[own] - base, width)))
+            ends_ = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(ends_, pa.array(np.concatenate(rows).view(np.int64)))
+            yield pa.record_batch([batch.column("node"), sets], ["node", "shingles"])
+
+    return run
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets have a Jaccard index of 4/5 or more, in whole numbers."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        left, right = batch.column("left"), batch.column("right")
+        for i in range(batch.num_rows):
+            x, y = (np.asarray(c[i].values) for c in (left, right))
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = 5 * both >= 4 * (len(x) + len(y) - both)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose exact index is 0.8 or more; only the texts that a pair asks for are hashed again."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct()
+    asked = nodes.join(asked, F.col("node") == F.col("_n")).select("node", F.col("best._key").alias("_k"), F.col("best._hash").alias("_h"))
+    asked = checkpointed(asked)
+    asked = F.broadcast(asked) if asked.count() <= TOLD else asked
+    texts = rows.select("_key", "_hash", F.col(text).alias("text")).join(asked, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")))
+    sets = texts.select("node", "text").mapInArrow(_sets(NEAR["width"]), "node long, shingles array<long>")
+    sets = checkpointed(sets.dropDuplicates(["node"]))  # rows may be repeated
+    left = sets.select(F.col("node").alias("_a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("_b"), F.col("shingles").alias("right"))
+    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    return both.select("a", "b", "left", "right").mapInArrow(_similar, "a long, b long")
+
+
+def similar_groups(nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """``nodes`` (node, best, fp, bands) with ``root``, equal in a component of links of an exact index of 0.8 or more.
+
+    Pairs that share a band and lie within NEAR_RADIUS are asked for. A large cell is gone through in rounds: once the
+    first pairs of each node have joined a crowd of copies, only pairs of nodes still apart are asked for.
+    """
+    keyed = nodes.select("node", F.posexplode("bands").alias("tab", "key"))
+    grouped, links = nodes.select("node", "fp", F.col("node").alias("root")), None
+    for low, high in ROUNDS:
+        if low > 1 and keyed.groupBy("tab", "key").count().where(F.col("count") > low).isEmpty():
+            break
+        pairs = link(grouped, keyed, _apart(NEAR_RADIUS, low, high), NEAR["lanes"], low)
+        pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if pairs.isEmpty():
+            continue
+        found = checkpointed(_confirmed(pairs, nodes, rows, text))
+        links = found if links is None else links.unionByName(found)
+        roots = components(links).withColumnRenamed("node", "_n")
+        grouped = nodes.join(roots, F.col("node") == F.col("_n"), "left")
+        grouped = checkpointed(grouped.select("node", "fp", F.coalesce("root", "node").alias("root")))
+    return nodes.join(grouped.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n")).drop("_n")
 
 
 def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` without near copies: of texts linked at a similarity of 0.8 or more the one with the smallest key stays.
 
-    Similarity is the Jaccard index of sets of five-word shingles, estimated from 512 bits. Null keys come last; equal
+    Similarity is the Jaccard index of sets of five-word shingles: texts meet by MinHash bands, are compared bit-sliced
+    within a wide radius, and what is left is confirmed by the sets themselves. Null keys come last; equal
     keys go by the text's hash, and of equal rows one stays. Null and empty texts are copies of each other.
     """
     none = (1 << 63) - 1
     rows = df.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(none)), "_hash": F.xxhash64(text)})
-    prints = fingerprints(rows, ["_key", "_hash"], text, repeats=False, **NEAR)
-    placed = classes(prints, "_key", NEAR_RADIUS, NEAR["lanes"])
-    best = placed.groupBy("root").agg(F.min(F.struct("_key", "_hash")).alias("b")).select(F.col("b._key").alias("_k"), F.col("b._hash").alias("_h"))
+    prints = fingerprints(rows, ["_key", "_hash"], text, repeats=False, named=True, **NEAR)
+    least = F.min(F.struct("_key", "_hash")).alias("best")
+    nodes = checkpointed(prints.groupBy("node").agg(least, F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    best = similar_groups(nodes, rows, text).groupBy("root").agg(F.min("best").alias("b")).select(F.col("b._key").alias("_k"), F.col("b._hash").alias("_h"))
     kept = rows.join(best.distinct(), (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")))
     first = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_key"))
     return kept.withColumn("_first", first).where("_first = 1").select(*df.columns)
