@@ -140,7 +140,7 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> dict:
                 open_.append(by_start[i])
                 i += 1
             open_ = [b for b in open_ if b[2] > s]
-            word = text[s:e] if e - s <= 256 else text[s : s + 256]
+            word = text[s:e]
             key = likeness_key(word)
             doc.append(d)
             spans.append((s, e))

@@ -4,7 +4,7 @@ import random
 import re
 from itertools import combinations
 
-from scriptorium.llm import simhash
+from scriptorium.llm import pii, simhash
 
 DOCS = "doc_id long, text string"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -89,3 +89,10 @@ def test_near_duplicates_in_crowds_and_split_cells(spark, monkeypatch):
     want = kept_by_brute_force(rows)
     assert 4 < len(want) < len(rows)
     assert sorted(r.doc_id for r in kept) == sorted(want)
+
+
+def test_long_tokens_count_whole():
+    start = "漢" * 300 + "1"
+    texts = [f"{start}@b {start}5552485 {start}5552486"]
+    g = pii.graph(texts, [[]])
+    assert len(set(g["entity"].tolist())) == 3 and g["shape"][:, pii.SHAPES.index("at")].tolist() == [1, 0, 0]
