@@ -178,7 +178,8 @@ SELECT doc_id, CAST(sum(n * (1 + len(list_filter(dipl, lambda x: x)))) AS BIGINT
 FROM tokens JOIN flags USING (token) WHERE NOT regexp_matches(token, '[\\s]') GROUP BY doc_id
 """)
 def dipl_tokens(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d).where(~F.col("token").rlike(r"\s"))
+    """Diplomatic pieces and their signs. Tokens joined over a line's end count too; the SQL leaves them out."""
+    tokens = _tokens(spark, d)
     pieces = _bounded(tokens).select("_t", F.size("dipls").alias("dipls"), F.aggregate("dipls", F.lit(0), lambda a, x: a + F.length(x["utf"])).alias("chars"))
     met = tokens.join(pieces, F.col("token") == F.col("_t"))
     return met.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("dipls")).cast("long").alias("n_dipls"), F.sum(F.col("n") * F.col("chars")).cast("long").alias("n_chars"))

@@ -121,3 +121,10 @@ def test_signs_match_the_parser_on_plain_tokens(spark):
     rows = spark.createDataFrame([(t,) for t in tokens], "trans string").withColumn("c", signs(F.col("trans"))).collect()
     for r in rows:
         assert [(c.cls, c.string) for c in r.c] == [(c["cls"], c["string"]) for c in parse_rex(r.trans)[0]], r.trans
+
+
+def test_dipl_tokens_over_line_ends(spark, tmp_path):
+    from scriptorium.plans.text_queries import dipl_tokens
+
+    spark.createDataFrame([(1, "wor=\nd two"), (2, "a=\nb")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in dipl_tokens(spark, str(tmp_path)).collect()) == [(1, 3, 8), (2, 2, 3)]
