@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
 Vectors are scaled to length 1, where the largest cosine is the smallest distance. A block of vectors has one sorted array
-for each of many random projections. A query's windows are centred on its own projections; virtual rehashing widens all
-of them from round to round by a factor. A vector that has been inside THRESHOLD of the windows is verified: its exact
-cosine is computed. The search ends when a vector nearer than the k-th verified one would, with the chance CONFIDENCE,
-have been verified by now. There is no limit on the vectors verified.
+for each of many single projections. A query's windows are centred on its own projections; virtual rehashing widens all
+of them from round to round. A vector that is inside THRESHOLD of the windows is verified: its exact cosine is computed.
+The search ends when a vector nearer than the k-th verified one would, with the chance CONFIDENCE, have been verified by
+now. There is no limit on the vectors verified.
+
+The projections are the axes of turned coordinate systems. Such projections of one vector have a fixed sum of squares, so
+the number of windows that hold a vector tells its distance more sharply than independent projections would.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb, erf, sqrt
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,140 +22,185 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed, prepared
 
-PROJECTIONS = 80
-THRESHOLD = 46
-#: Half a window's width in the first round, and its growth from round to round.
-FIRST, GROWTH = 0.3, 1.25
-CONFIDENCE = 0.98
-#: Vectors in a block, and queries in a group: each pair of a block and a group is one cell.
-BLOCK, GROUP = 8192, 1024
+PROJECTIONS = 192
+THRESHOLD = 116
+#: Growth of the windows from round to round, once vectors at the usual distance of two begin to be verified; before that
+#: windows double.
+GROWTH = 1.1
+CONFIDENCE = 0.9
+#: Vectors in a block; below 2^16, as places in a block have 16 bits.
+BLOCK = 32_768
+#: Vectors whose windows are counted at a time, so that what is counted stays in a core's cache.
+STRIPE = 4096
 
 
-def reach(half: float, m: int = PROJECTIONS, least: int = THRESHOLD, sure: float = CONFIDENCE) -> float:
-    """The largest distance at which a vector is verified with probability ``sure`` when windows are ``half`` wide.
+def projections(d: int, m: int = PROJECTIONS, seed: int = 3) -> np.ndarray:
+    """(d, m): the axes of as many randomly turned coordinate systems as are needed."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(-(-m // d))], axis=1)[:, :m]
 
-    A difference of length s has a normal projection of deviation s, so the windows it falls in are binomial.
-    """
 
-    def found(s: float) -> float:
-        p = erf(half / s / sqrt(2))
-        return sum(comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(least, m + 1))
+@cache
+def scales(d: int, m: int = PROJECTIONS, least: int = THRESHOLD, sure: float = CONFIDENCE) -> tuple[float, float]:
+    """(sure, rare): two vectors at distance s are verified once windows are s times this wide to either side, with the
+    chance ``sure`` and with a chance of one in a hundred.
 
-    lo, hi = 0.0, 4.0
-    for _ in range(40):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if found(mid) >= sure else (lo, mid)
-    return lo
+    They are verified when the ``least``-th smallest of the projections of their difference fits; its quantiles come from
+    directions drawn at random.
+    """
+    directions = np.random.default_rng(11).standard_normal((4000, d))
+    directions /= np.linalg.norm(directions, axis=1)[:, None]
+    needed = np.sort(np.abs(directions @ projections(d, m)), axis=1)[:, least - 1]
+    return float(np.quantile(needed, sure)), float(np.quantile(needed, 0.01))
 
 
-def widths() -> list[tuple[float, float]]:
-    """(half width, reach) of each round, until any two unit vectors are within reach; the last windows hold all."""
-    out, half = [], FIRST
-    while not out or out[-1][1] < 2.0:
-        out.append((half, reach(half)))
-        half *= GROWTH
-    return [*out, (np.inf, np.inf)]
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that neither huge nor tiny components leave the doubles' range; cosines stay."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponent[:, None])
 
 
 class Index:
     """Sorted projections of a block of vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 3):
-        order = np.lexsort((ids,))
-        self.ids, self.vectors = ids[order], vectors[order]
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.rows, self.ids, self.vectors = rows, ids, scaled(vectors)
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
-        self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
-        values = (self.vectors / self.norms[:, None]) @ self.lines
-        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32).T.copy()
-        self.sorted = np.take_along_axis(values.T, self.order, axis=1)
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, rounds: list[tuple[float, float]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each query (positions, cosines) of the k best verified vectors; vectors with the id in ``own`` don't count."""
-        scale = np.sqrt((queries * queries).sum(axis=1))
-        at = (queries / scale[:, None]) @ self.lines
+        unit = self.vectors / self.norms[:, None]
+        n, d = unit.shape
+        self.lines = projections(d)
+        values = (unit @ self.lines).T
+        order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, order, axis=1)
+        self.places = np.empty(values.shape, np.uint16)
+        np.put_along_axis(self.places, order, np.arange(n, dtype=np.uint16)[None], axis=1)
+        # the usual distance of two vectors of the block
+        self.usual = float(np.sqrt(max(2 - 2 * (unit.mean(axis=0) ** 2).sum(), 1e-12)))
+        self.verified = 0
+
+    def collisions(self, at: np.ndarray, half: float) -> np.ndarray:
+        """For each vector the number of windows that hold it: those are ranges of places in the sorted arrays."""
+        low = np.array([s.searchsorted(a - half, "left") for s, a in zip(self.sorted, at, strict=True)])
+        high = np.array([s.searchsorted(a + half, "right") for s, a in zip(self.sorted, at, strict=True)])
+        low, size = low.astype(np.uint16)[:, None], (high - low).astype(np.uint16)[:, None]
         n = len(self.ids)
-        spans = [
-            (np.stack([np.searchsorted(s, c - h, "left") for s, c in zip(self.sorted, at.T, strict=True)]),
-             np.stack([np.searchsorted(s, c + h, "right") for s, c in zip(self.sorted, at.T, strict=True)]))
-            for h, _ in rounds
-        ]
-        for q in range(len(queries)):
-            hits = np.zeros(n, np.int16)
-            best = np.zeros(0, np.int64)
-            cosines = np.zeros(0)
-            left = right = None
-            for (_, far), (los, his) in zip(rounds, spans, strict=True):
-                lo, hi = los[:, q], his[:, q]
-                if left is None:
-                    parts = [o[a:b] for o, a, b in zip(self.order, lo, hi, strict=True)]
-                else:
-                    parts = [o[a:b] for o, a, b in zip(self.order, lo, left, strict=True)]
-                    parts += [o[a:b] for o, a, b in zip(self.order, right, hi, strict=True)]
-                left, right = lo, hi
-                fresh = np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-                before = hits
-                hits = before + fresh
-                over = np.flatnonzero((hits >= THRESHOLD) & (before < THRESHOLD))
-                if len(over):
-                    over = over[self.ids[over] != own[q]]
-                    # row by row, so equal vectors have equal cosines in any block
-                    dots = (self.vectors[over] * queries[q]).sum(axis=1) / (self.norms[over] * scale[q])
-                    best, cosines = np.concatenate([best, over]), np.concatenate([cosines, dots])
-                    keep = np.lexsort((self.ids[best], -cosines))[:k]
-                    best, cosines = best[keep], cosines[keep]
-                if len(best) == min(k, n) and sqrt(max(0.0, 2 - 2 * cosines[-1])) <= far:
-                    break
-            yield np.full(len(best), q), best, cosines
+        out = np.empty(n, np.uint8)
+        for a in range(0, n, STRIPE):
+            inside = (self.places[:, a : a + STRIPE] - low) < size
+            np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8, out=out[a : a + STRIPE])
+        return out
+
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, cosines) of the k best verified vectors; the row ``own`` doesn't count."""
+        query = scaled(query[None])[0]
+        length = np.sqrt((query * query).sum())
+        at = (query / length) @ self.lines
+        sure, rare = scales(len(query))
+        start = self.usual * rare  # from here on vectors at the usual distance begin to be verified
+        half = start / 16
+        others = len(self.ids) - int(own in self._place)
+        seen = np.zeros(len(self.ids), bool)
+        best, cosines = np.zeros(0, np.int64), np.zeros(0)
+        while True:
+            fresh = np.flatnonzero((self.collisions(at, half) >= THRESHOLD) & ~seen)
+            seen[fresh] = True
+            fresh = fresh[self.rows[fresh] != own]
+            self.verified += len(fresh)
+            if len(fresh):
+                # row by row, so equal vectors have equal cosines in any block
+                dots = (self.vectors[fresh] * query).sum(axis=1) / (self.norms[fresh] * length)
+                best, cosines = np.concatenate([best, fresh]), np.concatenate([cosines, dots])
+                keep = np.lexsort((self.rows[best], self.ids[best], -cosines))[:k]
+                best, cosines = best[keep], cosines[keep]
+            wider = half * (2 if half < start else GROWTH)
+            if len(best) == min(k, others):
+                needed = sure * np.sqrt(max(0.0, 2 - 2 * cosines[-1])) if others > k else 0.0
+                if needed <= half or not others:
+                    return best, cosines
+                wider = min(wider, needed)
+            elif half > 2:  # the windows hold all
+                return best, cosines
+            half = wider
+
+    @property
+    def _place(self) -> set:
+        if not hasattr(self, "_own"):
+            self._own = set(self.rows.tolist())
+        return self._own
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v): vectors as doubles. Those null, empty, zero or with null or non-finite components, and null ids, take
-    no part. Of rows that share an id the least vector counts."""
-    v = F.col(vector).cast("array<double>")
+    """(row, vec_id, v) for each row that takes part: ``row`` tells rows apart that share an id, each of which counts.
+
+    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, take no part.
+    Components stay floats or become doubles.
+    """
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & good)
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-
+    return checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
 
-def _searched(k: int):
-    rounds = widths()
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        nothing = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return nothing
+FOUND = "asked long, query_id long, vec_id long, row long, score double"
 
-        def of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            c = t.column("v").combine_chunks()
-            return t.column("vec_id").to_numpy(), c.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
-        (query_ids, queries), (ids, vectors) = of(left), of(right)
-        index = Index(ids, vectors)
-        found = list(index.search(queries, query_ids, k, rounds))
-        q, at, score = (np.concatenate([f[i] for f in found]) for i in range(3))
-        return pa.table([pa.array(query_ids[q]), pa.array(index.ids[at.astype(np.int64)]), pa.array(score)], names)
+def _searched(k: int):
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def matrix(b: pa.RecordBatch) -> np.ndarray:
+        return b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell, the vectors of a cell's block before its queries."""
+        cell, held, index = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "block", "part", "asks")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if lo == hi:
+                    continue
+                piece, now, asks = batch.slice(lo, hi - lo), tuple(keys[lo, :3].tolist()), keys[lo, 3]
+                if now != cell:
+                    cell, held, index = now, [], None
+                rows, ids, vectors = (piece.column("row").to_numpy(), piece.column("vec_id").to_numpy(), matrix(piece))
+                if not asks:
+                    held.append((rows, ids, vectors))
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    index, held = Index(*(np.concatenate([h[i] for h in held]) for i in range(3))), []
+                found = [index.search(v, r, k) for r, v in zip(rows.tolist(), vectors, strict=True)]
+                q = np.repeat(np.arange(len(rows)), [len(f[0]) for f in found])
+                at, score = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                yield pa.record_batch([pa.array(x) for x in (rows[q], ids[q], index.ids[at], index.rows[at], score)], names)
 
     return run
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found to each row of ``rows`` (vec_id, v) where ``is_query``.
+    """(query_id, rank, vec_id, score): the k nearest found to each row of ``rows`` (see ``usable``) where ``is_query``.
 
-    All rows are indexed, in hashed blocks of about BLOCK; the queries form hashed groups of about GROUP. Each pair of a
-    block and a group is a cell of bounded size; blocks keep the k best only, which are merged by query. Equal cosines
-    rank by vec_id. Vectors of another length than the query's are no candidates.
+    Every row is indexed, in hashed blocks of about BLOCK. A block is indexed once and all queries are streamed past it; only
+    where there are fewer blocks than cores, a block is indexed in several cells, each with a part of the queries. Blocks
+    keep the k best only, which are merged by query. Equal cosines rank by vec_id. Vectors of another length than the
+    query's are no candidates. Rows that share an id are candidates, and queries, of their own; an empty table or a query
+    without candidates gives no row.
     """
-    rows = checkpointed(rows.withColumn("dim", F.size("v")))
-    n, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-asked // GROUP))
-    at = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(parts))
-    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    queries = rows.where(is_query).select("vec_id", "v", "dim", at(1, groups).alias("g"), every(blocks).alias("b"))
-    base = rows.select("vec_id", "v", "dim", at(2, blocks).alias("b"), every(groups).alias("g"))
-    cell = ["dim", "b", "g"]
-    found = queries.groupBy(*cell).cogroup(base.groupBy(*cell)).applyInArrow(_searched(k), "query_id long, vec_id long, score double")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    spark = rows.sparkSession
+    rows = rows.withColumn("dim", F.size("v"))
+    n = rows.count()
+    blocks = max(1, -(-n // BLOCK))
+    parts = -(-spark.sparkContext.defaultParallelism // blocks)
+    at = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    base = rows.select("row", "vec_id", "v", "dim", at(2, blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("asks"))
+    queries = rows.where(is_query).select("row", "vec_id", "v", "dim", every(blocks).alias("block"), at(1, parts).alias("part"), F.lit(1).alias("asks"))
+    cell = ["dim", "block", "part"]
+    dealt = base.unionByName(queries).repartition(blocks * parts, *cell).sortWithinPartitions(*cell, "asks", "row")
+    found = dealt.mapInArrow(_searched(k), FOUND)
+    by_query = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
