@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -11,6 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+#: Arrow batches are bounded by records and bytes, so that texts of any length leave room in a worker: (setting, Spark's own
+#: value, ours). A value that the user has set is left alone.
+ARROW = [
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304"),
+]
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package, and keeps Arrow batches of long texts small.
 
@@ -20,7 +29,9 @@ def prepared(spark: SparkSession) -> SparkSession:
     paths = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, default, ours in ARROW:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
     return spark
 
 
@@ -42,14 +53,34 @@ def local_session(app: str = "scriptorium", cores: str = "8", memory: str = "8g"
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all machines share.
 
-    Only where none is set (tests on one machine) a temporary one is used.
+    Only on one machine (a local master, as in tests) a temporary one stands in; on a cluster a missing one is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scriptorium-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scriptorium-"))
     return sc.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Takes a folder of intermediate tables away, on any file system that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores put before them until none is the name of a column, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a copy in the shared folder."""
     shared_folder(df.sparkSession)
