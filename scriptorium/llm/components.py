@@ -5,7 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, unused
+
+#: A key with more rows than HUB is dealt to a task for each HUB of its rows; the HUBS largest ones are told to all executors.
+#: Any other key has less than a HUBS-th of all rows.
+HUB, HUBS = 256, 10_000
+
+
+def hub_join(many: DataFrame, key: str, one: DataFrame, other: str) -> DataFrame:
+    """``many`` joined to the row of ``one`` whose ``other`` is its ``key``, though some keys hold a large share of ``many``.
+
+    ``many`` should be cheap to read twice (a checkpoint): its large keys are counted first, and their rows are salted.
+    """
+    hub, parts, salt, salts = unused([*many.columns, *one.columns], "_hub", "_parts", "_salt", "_salts")
+    large = many.groupBy(F.col(key).alias(hub)).agg(F.ceil(F.count("*") / HUB).cast("int").alias(parts)).where(F.col(parts) > 1)
+    large = checkpointed(large.orderBy(F.desc(parts), hub).limit(HUBS))
+    if large.isEmpty():
+        return many.join(one, F.col(key) == F.col(other))
+    dealt = many.join(F.broadcast(large), F.col(key) == F.col(hub), "left")
+    mixed = F.pmod(F.xxhash64(*many.columns), F.coalesce(F.col(parts), F.lit(1))).cast("int")
+    dealt = dealt.withColumn(salt, mixed).drop(hub, parts)
+    spread = one.join(F.broadcast(large), F.col(other) == F.col(hub), "left")
+    spread = spread.withColumn(salts, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(hub, parts)
+    return dealt.join(spread, (F.col(key) == F.col(other)) & (F.col(salt) == F.col(salts))).drop(salt, salts)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,13 +35,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds (Kiveris et al. 2014): each round points a node's larger, then its smaller
     neighbours to the smallest one it knows, which ends in one star per component after few rounds. A round is grouped
-    minima, combined before the shuffle, and an equi-join that adaptive execution may split at a hub; no node's
-    neighbours are collected.
+    minima, combined before the shuffle, and an equi-join in which hubs are salted; no node's neighbours are collected.
     """
 
     def star(both: DataFrame, keep_larger: bool) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("_a", "m").alias("m"))
-        pairs = both.join(least, F.col("a") == F.col("_a"))
+        pairs = hub_join(both, "a", least, "_a")
         if keep_larger:
             out = pairs.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -35,7 +56,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both, True)
+        large = checkpointed(star(both, True))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         now = checkpointed(star(down, False))
         after = state(now)

@@ -24,7 +24,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Pieces of the batches with about ``most`` bytes of text; a longer text is a piece of its own."""
     for batch in batches:
         n = batch.num_rows

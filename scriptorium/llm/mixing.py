@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, prepared
+from ..session import checkpointed, prepared, unused
 from .ranking import rank_in_group, running_total
 
 #: The weights dealt to the sources in order, and how often a source may repeat.
@@ -152,16 +152,20 @@ def mixed_rows(df: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """The rows of ``df`` (key, source, text) as the mix takes them: each as often as slots take its first word.
 
     A row comes up to REPEATS times; sources' words come to their targets but for the texts at the ends of their lines.
-    Rows are told apart by the key and the text's hash. Texts without words are not taken.
+    Rows are told apart by the key and the text's hash, and those equal in both are taken as one row with all their copies.
+    Texts without words (null, empty) are not taken. Null keys and null sources are a key and a source. Other columns may
+    have any name.
     """
-    rows = df.withColumns({"_hash": F.xxhash64("text"), "_key": F.col(key)})
-    sized = rows.select("_key", "_hash", "source", word_count(F.col("text")).alias("size"))
-    documents, _ = mix(sized, "_key", ["_hash"], block)
-    copies = documents.groupBy(F.col("_key").alias("_k"), F.col("_hash").alias("_h")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    first = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_key"))
-    met = rows.join(copies, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")))
-    once = met.withColumn("_first", first).where("_first = 1")
-    return once.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(*df.columns)
+    own, text_hash, many, copy, first = unused(df.columns, "_own", "_hash", "_many", "_copy", "_first")
+    rows = df.withColumns({text_hash: F.xxhash64("text"), own: F.col(key)})
+    sized = rows.select(own, text_hash, "source", word_count(F.col("text")).alias("size"))
+    documents, _ = mix(sized, own, [text_hash], block)
+    k, h = unused(rows.columns, "_k", "_h")
+    copies = documents.groupBy(F.col(own).alias(k), F.col(text_hash).alias(h)).agg(F.sum("copies").alias(many)).where(F.col(many) > 0)
+    line = F.row_number().over(Window.partitionBy(own, text_hash).orderBy(own))
+    met = rows.join(copies, F.col(own).eqNullSafe(F.col(k)) & (F.col(text_hash) == F.col(h)))
+    once = met.withColumn(first, line).where(F.col(first) == 1)
+    return once.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col(many).cast("int"))).alias(copy)).select(*df.columns)
 
 
 def word_count(text: Column) -> Column:

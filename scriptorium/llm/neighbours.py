@@ -24,12 +24,12 @@ from ..session import checkpointed, prepared
 
 PROJECTIONS = 192
 THRESHOLD = 116
-#: Growth of the windows from round to round, once vectors at the usual distance of two begin to be verified; before that
-#: windows double.
+#: Windows begin at an eighth of the width at which vectors at the usual distance of two begin to be verified; then come that
+#: width and growth by this factor.
 GROWTH = 1.1
-CONFIDENCE = 0.9
-#: Vectors in a block; below 2^16, as places in a block have 16 bits.
-BLOCK = 32_768
+CONFIDENCE, RARE = 0.9, 0.002
+#: Vectors in a block. A sorted array has PAGES pages, and windows hold whole pages.
+BLOCK, PAGES = 32_768, 256
 #: Vectors whose windows are counted at a time, so that what is counted stays in a core's cache.
 STRIPE = 4096
 
@@ -43,7 +43,7 @@ def projections(d: int, m: int = PROJECTIONS, seed: int = 3) -> np.ndarray:
 @cache
 def scales(d: int, m: int = PROJECTIONS, least: int = THRESHOLD, sure: float = CONFIDENCE) -> tuple[float, float]:
     """(sure, rare): two vectors at distance s are verified once windows are s times this wide to either side, with the
-    chance ``sure`` and with a chance of one in a hundred.
+    chance ``sure`` and with the chance ``RARE``.
 
     They are verified when the ``least``-th smallest of the projections of their difference fits; its quantiles come from
     directions drawn at random.
@@ -51,7 +51,7 @@ def scales(d: int, m: int = PROJECTIONS, least: int = THRESHOLD, sure: float = C
     directions = np.random.default_rng(11).standard_normal((4000, d))
     directions /= np.linalg.norm(directions, axis=1)[:, None]
     needed = np.sort(np.abs(directions @ projections(d, m)), axis=1)[:, least - 1]
-    return float(np.quantile(needed, sure)), float(np.quantile(needed, 0.01))
+    return float(np.quantile(needed, sure)), float(np.quantile(needed, RARE))
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -69,64 +69,79 @@ class Index:
         unit = self.vectors / self.norms[:, None]
         n, d = unit.shape
         self.lines = projections(d)
-        values = (unit @ self.lines).T
-        order = np.argsort(values, axis=1, kind="stable")
+        values = np.ascontiguousarray((unit @ self.lines).T.astype(np.float32))
+        order = np.argsort(values, axis=1)
         self.sorted = np.take_along_axis(values, order, axis=1)
-        self.places = np.empty(values.shape, np.uint16)
-        np.put_along_axis(self.places, order, np.arange(n, dtype=np.uint16)[None], axis=1)
+        self.size = -(-n // PAGES)
+        pages = np.empty(values.shape, np.uint8)
+        np.put_along_axis(pages, order, (np.arange(n) // self.size).astype(np.uint8)[None], axis=1)
+        self.pages = [np.ascontiguousarray(pages[:, a : a + STRIPE]) for a in range(0, n, STRIPE)]
         # the usual distance of two vectors of the block
         self.usual = float(np.sqrt(max(2 - 2 * (unit.mean(axis=0) ** 2).sum(), 1e-12)))
         self.verified = 0
 
-    def collisions(self, at: np.ndarray, half: float) -> np.ndarray:
-        """For each vector the number of windows that hold it: those are ranges of places in the sorted arrays."""
-        low = np.array([s.searchsorted(a - half, "left") for s, a in zip(self.sorted, at, strict=True)])
-        high = np.array([s.searchsorted(a + half, "right") for s, a in zip(self.sorted, at, strict=True)])
-        low, size = low.astype(np.uint16)[:, None], (high - low).astype(np.uint16)[:, None]
-        n = len(self.ids)
-        out = np.empty(n, np.uint8)
-        for a in range(0, n, STRIPE):
-            inside = (self.places[:, a : a + STRIPE] - low) < size
-            np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8, out=out[a : a + STRIPE])
+    def windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """First and last page of each window, for queries with the projections ``at`` (queries, projections)."""
+        half = np.float32(half)
+        first = np.stack([s.searchsorted(a - half, "left") for s, a in zip(self.sorted, at.T, strict=True)], axis=1)
+        last = np.stack([s.searchsorted(a + half, "right") for s, a in zip(self.sorted, at.T, strict=True)], axis=1) - 1
+        # an empty window becomes the page that it would stand in
+        first, last = np.minimum(first, len(self.ids) - 1) // self.size, np.maximum(last, 0) // self.size
+        return first, np.maximum(first, last)
+
+    def collisions(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each vector the number of windows that hold it."""
+        first, more = first.astype(np.uint8)[:, None], (last - first).astype(np.uint8)[:, None]
+        out = np.empty(len(self.ids), np.uint8)
+        at = 0
+        for stripe in self.pages:
+            inside = (stripe - first) <= more  # below the first page the difference wraps round
+            np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8, out=out[at : at + stripe.shape[1]])
+            at += stripe.shape[1]
         return out
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, cosines) of the k best verified vectors; the row ``own`` doesn't count."""
-        query = scaled(query[None])[0]
-        length = np.sqrt((query * query).sum())
-        at = (query / length) @ self.lines
-        sure, rare = scales(len(query))
+    def search(self, queries: np.ndarray, own: list[int], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (positions, cosines) of the k best verified vectors; the row ``own`` doesn't count."""
+        queries = scaled(queries)
+        lengths = np.sqrt((queries * queries).sum(axis=1))
+        at = ((queries / lengths[:, None]) @ self.lines).astype(np.float32)
+        sure, rare = scales(queries.shape[1])
         start = self.usual * rare  # from here on vectors at the usual distance begin to be verified
-        half = start / 16
-        others = len(self.ids) - int(own in self._place)
-        seen = np.zeros(len(self.ids), bool)
-        best, cosines = np.zeros(0, np.int64), np.zeros(0)
-        while True:
-            fresh = np.flatnonzero((self.collisions(at, half) >= THRESHOLD) & ~seen)
-            seen[fresh] = True
-            fresh = fresh[self.rows[fresh] != own]
-            self.verified += len(fresh)
-            if len(fresh):
-                # row by row, so equal vectors have equal cosines in any block
-                dots = (self.vectors[fresh] * query).sum(axis=1) / (self.norms[fresh] * length)
-                best, cosines = np.concatenate([best, fresh]), np.concatenate([cosines, dots])
-                keep = np.lexsort((self.rows[best], self.ids[best], -cosines))[:k]
-                best, cosines = best[keep], cosines[keep]
-            wider = half * (2 if half < start else GROWTH)
-            if len(best) == min(k, others):
-                needed = sure * np.sqrt(max(0.0, 2 - 2 * cosines[-1])) if others > k else 0.0
-                if needed <= half or not others:
-                    return best, cosines
-                wider = min(wider, needed)
-            elif half > 2:  # the windows hold all
-                return best, cosines
-            half = wider
-
-    @property
-    def _place(self) -> set:
-        if not hasattr(self, "_own"):
-            self._own = set(self.rows.tolist())
-        return self._own
+        early = [(half, self.windows(at, half)) for half in (start / 8, start)]
+        rows = set(self.rows.tolist())
+        out = []
+        for q in range(len(queries)):
+            others = len(self.ids) - (own[q] in rows)
+            seen = np.zeros(len(self.ids), bool)
+            best, cosines = np.zeros(0, np.int64), np.zeros(0)
+            rounds = [(half, first[q], last[q]) for half, (first, last) in early]
+            while True:
+                if rounds:
+                    half, first, last = rounds.pop(0)
+                else:
+                    first, last = (w[0] for w in self.windows(at[q : q + 1], half))
+                fresh = np.flatnonzero((self.collisions(first, last) >= THRESHOLD) & ~seen)
+                seen[fresh] = True
+                fresh = fresh[self.rows[fresh] != own[q]]
+                self.verified += len(fresh)
+                if len(fresh):
+                    # row by row, so equal vectors have equal cosines in any block
+                    dots = (self.vectors[fresh] * queries[q]).sum(axis=1) / (self.norms[fresh] * lengths[q])
+                    best, cosines = np.concatenate([best, fresh]), np.concatenate([cosines, dots])
+                    keep = np.lexsort((self.rows[best], self.ids[best], -cosines))[:k]
+                    best, cosines = best[keep], cosines[keep]
+                wider = GROWTH * half
+                if len(best) == min(k, others):  # all, or the k best: how wide windows must be to have met any better one
+                    needed = sure * np.sqrt(max(0.0, 2 - 2 * cosines[-1])) if others > k else 0.0
+                    if needed <= half:
+                        break
+                    wider = min(wider, needed)
+                if not rounds:
+                    if half > 2:  # the windows hold all
+                        break
+                    half = max(wider, start)
+            out.append((best, cosines))
+        return out
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -171,7 +186,7 @@ def _searched(k: int):
                     if not held:
                         continue
                     index, held = Index(*(np.concatenate([h[i] for h in held]) for i in range(3))), []
-                found = [index.search(v, r, k) for r, v in zip(rows.tolist(), vectors, strict=True)]
+                found = index.search(vectors, rows.tolist(), k)
                 q = np.repeat(np.arange(len(rows)), [len(f[0]) for f in found])
                 at, score = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                 yield pa.record_batch([pa.array(x) for x in (rows[q], ids[q], index.ids[at], index.rows[at], score)], names)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, prepared
+from ..session import checkpointed, prepared, unused
 from .flat import flat, mixed, slices, spaces, word_hashes, words
 from .ranking import rank_in_group
 
@@ -24,8 +24,6 @@ BUCKETS = 1 << 16
 SHAPES = 1 << 12
 #: Labelled texts that the target model and the threshold are fitted on at most, by the order of a hash of the key.
 LABELLED = 20_000
-#: Scale of the noise against the weights: small, so it only decides about texts near the threshold.
-TEMPERATURE = 0.002
 
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -140,59 +138,68 @@ def threshold(weights: np.ndarray, good: np.ndarray) -> float:
 
 
 def _noisy(names: list[str], seed: int, weight: str = "weight") -> Column:
-    """Weight plus Gumbel noise; from a hash of the key, so reruns agree."""
+    """Log weight plus standard Gumbel noise, from a hash of the key, so reruns agree; of repeated keys all have the same noise."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *names), 12) + 0.5) / F.lit(float(1 << 52))
-    return F.col(weight) - F.lit(TEMPERATURE) * F.log(-F.log(unit))
+    return F.col(weight) - F.log(-F.log(unit))
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str) -> tuple[np.ndarray, float]:
     """(log ratios, threshold) for ``df`` (key, text) and ``labels`` (key, quality).
 
-    LABELLED bounds the labelled texts (an order by a hash of the key, so the sample is spread and repeatable); the raw
-    model counts all texts. Without labels of both kinds the threshold lets all pass.
+    LABELLED bounds the labelled texts (an order by a hash of the key, so the sample is spread and repeatable; of rows that
+    share a key the least text counts); the raw model counts all texts. Without labels of both kinds the threshold lets all
+    pass.
     """
-    some = labels.where("quality in (0, 1)").where(F.col(key).isNotNull()).groupBy(key).agg(F.max("quality").cast("int").alias("quality"))
-    some = some.orderBy(F.xxhash64(key), key).limit(LABELLED).withColumnRenamed(key, "_key")
+    mark, of = unused(df.columns, "_mark", "_of")
+    some = labels.where("quality in (0, 1)").where(F.col(key).isNotNull()).groupBy(F.col(key).alias(of)).agg(F.max("quality").cast("int").alias(mark))
+    some = some.orderBy(F.xxhash64(of), of).limit(LABELLED)
     texts = df.select(key, "text")
-    chosen = texts.join(F.broadcast(some), F.col(key) == F.col("_key")).select("text", "quality")  # LABELLED pairs at most
+    chosen = texts.join(F.broadcast(some), F.col(key) == F.col(of))  # LABELLED pairs at most
+    # of rows that share a key one text, so LABELLED bounds the texts as well
+    chosen = chosen.groupBy(of).agg(F.min("text").alias("text"), F.max(mark).alias("quality"))
     by_class, raw = counts(chosen, labelled=True), counts(texts)[0]
     ratio = log_ratio(by_class[1], raw)
     marks = weigh(chosen, ratio, ["quality"]).toArrow()
     return ratio, threshold(marks["weight"].to_numpy(), marks["quality"].to_numpy() == 1)
 
 
+def _least_kept(keyed: DataFrame, noisy: str, weight: str, cut: float) -> float:
+    """The k-th largest key, where k is the number of weights above ``cut``."""
+    k = keyed.where(F.col(weight) > F.lit(cut)).count()
+    down, pos, rank = unused(keyed.columns, "_down", "_pos", "_rank")
+    numbered = keyed.select(noisy).withColumn(down, -F.col(noisy)).withColumn(pos, F.monotonically_increasing_id())
+    last = rank_in_group(numbered, [], [down, pos], rank).where(F.col(rank) == k - 1).select(noisy).first()
+    return last[0] if last else float("inf")
+
+
 def resample(df: DataFrame, labels: DataFrame, key: str, carry: list[str] | None = None, seed: int = 5) -> DataFrame:
     """(key, carried columns, weight, noisy, keep) for each row of ``df`` (key, text); ``labels`` has key and quality.
 
-    Weights, k and ranks cover all texts; see ``fit``. Null texts are empty; texts too short for an n-gram have weight
-    0. Ties rank by the key and the carried columns. Repeated rows rank each.
+    Weights, k and ranks cover all texts; see ``fit``. Null texts are empty; texts too short for an n-gram have log weight
+    0. Rows whose key is equal to the k-th are all kept; such ties come from repeated rows only. A null key is a key.
+    The columns weight, noisy and keep may not be carried. An empty table gives none.
     """
     names = [key, *[c for c in carry or [] if c != key]]
     ratio, cut = fit(df, labels, key)
-    weighed = weigh(df, ratio, names).withColumn("noisy", _noisy([key], seed))
-    keyed = checkpointed(weighed.withColumn("_pos", F.monotonically_increasing_id()))
-    k = keyed.where(F.col("weight") > F.lit(cut)).count()
-    ranked = rank_in_group(keyed.withColumn("_least", -F.col("noisy")), [], ["_least", *names, "_pos"], "_rank")
-    return ranked.select(*names, "weight", "noisy", (F.col("_rank") < k).alias("keep"))
+    keyed = checkpointed(weigh(df, ratio, names).withColumn("noisy", _noisy([key], seed)))
+    return keyed.withColumn("keep", F.col("noisy") >= F.lit(_least_kept(keyed, "noisy", "weight", cut)))
 
 
 def kept(df: DataFrame, labels: DataFrame, key: str, seed: int = 5) -> DataFrame:
-    """The rows of ``df`` that the resampling keeps; the same as ``resample``'s, but for equal keys at the k-th place.
+    """The rows of ``df`` that ``resample`` keeps, whatever its other columns are called.
 
-    The k-th largest key is found from the ranks; a second pass then weighs the rows again and filters by it, so that no
-    text is shuffled.
+    The k-th largest key is found from the weights alone; a second pass then weighs the rows again and filters by it, so
+    that no text is shuffled.
     """
+    weight, noisy = unused(df.columns, "_weight", "_noisy")
     ratio, cut = fit(df, labels, key)
-    keyed = checkpointed(weigh(df, ratio, [key]).withColumn("noisy", _noisy([key], seed)).withColumn("_pos", F.monotonically_increasing_id()))
-    k = keyed.where(F.col("weight") > F.lit(cut)).count()
-    ranked = rank_in_group(keyed.withColumn("_least", -F.col("noisy")), [], ["_least", "_pos"], "_rank")
-    last = ranked.where(F.col("_rank") == k - 1).select("noisy").first()
-    least = last[0] if last else float("inf")
-    return weigh(df, ratio, df.columns, "_weight").where(_noisy([key], seed, "_weight") >= F.lit(least)).select(*df.columns)
+    keyed = checkpointed(weigh(df, ratio, [key], weight).withColumn(noisy, _noisy([key], seed, weight)))
+    least = _least_kept(keyed, noisy, weight, cut)
+    return weigh(df, ratio, df.columns, weight).where(_noisy([key], seed, weight) >= F.lit(least)).select(*df.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: the log weight, the noisy key and whether the resampling keeps the document."""
+    """All documents: the log weight, the noisy key and whether the resampling keeps the document; see ``resample``."""
     prepared(spark)
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return resample(docs, labels, "doc_id").select("doc_id", F.col("weight").alias("log_weight"), "noisy", "keep")

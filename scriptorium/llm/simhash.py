@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, prepared
-from .components import components
+from ..session import checkpointed, prepared, unused
+from .components import components, hub_join
 from .flat import flat, lowered, mixed, slices, spaces, words
 
 #: Fingerprints that one cell compares at most with as many; hot keys are split into pairs of such blocks.
@@ -389,7 +389,7 @@ def classes(prints: DataFrame, key: str, radius: int, tables: list[list[tuple[in
     placed = nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     placed = checkpointed(placed.select("fp", "least", F.coalesce("root", "node").alias("root")))
     names = placed.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("class"))
-    by_print = placed.join(names, F.col("root") == F.col("_r"))
+    by_print = hub_join(placed, "root", names, "_r")
     by_print = by_print.select(F.col("fp").alias("_fp"), "root", F.when(F.col("class") < none, F.col("class")).alias("class"))
     return prints.join(by_print, F.col("fp") == F.col("_fp")).drop("_fp")
 
@@ -478,17 +478,21 @@ def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Similarity is the Jaccard index of sets of five-word shingles: texts meet by MinHash bands, are compared bit-sliced
     within a wide radius, and what is left is confirmed by the sets themselves. Null keys come last; equal
-    keys go by the text's hash, and of equal rows one stays. Null and empty texts are copies of each other.
+    keys go by the text's hash, and of equal rows one stays. Null and empty texts are copies of each other. Columns may have
+    any name; an empty table stays empty.
     """
     none = (1 << 63) - 1
-    rows = df.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(none)), "_hash": F.xxhash64(text)})
-    prints = fingerprints(rows, ["_key", "_hash"], text, repeats=False, named=True, **NEAR)
+    own, told, first = unused(df.columns, "_own", "_told", "_first")
+    rows = df.withColumns({own: F.coalesce(F.col(key).cast("long"), F.lit(none)), told: F.xxhash64(text)})
+    bare = rows.select(F.col(own).alias("_key"), F.col(told).alias("_hash"), F.col(text).alias("text"))
+    prints = fingerprints(bare, ["_key", "_hash"], "text", repeats=False, named=True, **NEAR)
     least = F.min(F.struct("_key", "_hash")).alias("best")
     nodes = checkpointed(prints.groupBy("node").agg(least, F.min("fp").alias("fp"), F.min("bands").alias("bands")))
-    best = similar_groups(nodes, rows, text).groupBy("root").agg(F.min("best").alias("b")).select(F.col("b._key").alias("_k"), F.col("b._hash").alias("_h"))
-    kept = rows.join(best.distinct(), (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")))
-    first = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_key"))
-    return kept.withColumn("_first", first).where("_first = 1").select(*df.columns)
+    k, h = unused(rows.columns, "_k", "_h")
+    best = similar_groups(nodes, bare, "text").groupBy("root").agg(F.min("best").alias("b")).select(F.col("b._key").alias(k), F.col("b._hash").alias(h))
+    kept = rows.join(best.distinct(), (F.col(own) == F.col(k)) & (F.col(told) == F.col(h)))
+    place = F.row_number().over(Window.partitionBy(own, told).orderBy(own))
+    return kept.withColumn(first, place).where(F.col(first) == 1).select(*df.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
