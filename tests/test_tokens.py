@@ -1,11 +1,14 @@
 """Golden tokens through dialects, bounds and checks, and a sequential walk against the bounds by position."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.chars import signs
 from scriptorium.functions.dialects import dialect, parse_ren, parse_rex, parsed
-from scriptorium.functions.replacements import replacements
+from scriptorium.functions.replacements import ACCENTED, PLAIN, REPLACEMENTS
 from scriptorium.model import BIT
 from scriptorium.operators import bounds
 from scriptorium.operators.validate import token_errors
@@ -109,9 +112,26 @@ def test_ren(spark):
 
 
 def test_table_of_replacements():
-    table = replacements()
-    assert table[0] == (r"\\&99", "□", "{99}") and table[1][1] == "⑩" and table[26][1] == "㉟"
-    assert ("æ", "æ", "ae") in table and (r"[\\%]a".replace("a", "[aäâáà]"), "ͣ", "a") in table
+    """The table's rows by the rules that make them."""
+    assert len(REPLACEMENTS) == 171 and len({p for p, _, _ in REPLACEMENTS}) == 170  # one pattern comes twice; the first counts
+    circled = lambda n: chr(0x2460 + n - 1) if n <= 20 else chr(0x3251 + n - 21)
+    numbers = [*range(10, 36), *range(1, 10)]
+    assert REPLACEMENTS[:36] == [(r"\\&99", "□", "{99}"), *[(rf"\\&{n}", circled(n), f"{{{n}}}") for n in numbers]]
+    rows = {p: (form, simple) for p, form, simple in REPLACEMENTS}
+    for vowels, small in (("äöüaeiouvwy", True), ("ÄÖÜAEIOUVWY", False)):
+        of = str.lower if small else str.upper
+        for n in "nm":
+            assert rows[rf"^{of(n)}\\-"] == (f"{n}\u0304", of(f"e{n}")) == rows[rf"(?<=[^{vowels}]){of(n)}\\-"]
+        nasal = of("nm")
+        assert rows[rf"(?<=[{vowels}])\\-(?=[{nasal}])"] == ("\u0304", "") and rows[rf"(?<=[{vowels}])\\-(?![{nasal}])"] == ("\u0304", of("n"))
+        before = f"(?<![{vowels}])" if small else "(?<=[BCDFGHJKLMNPQRSTWXZ])"
+        assert rows[rf"{before}\\-(?=[{nasal}])"] == ("\u0304", of("e")) and rows[rf"{before}\\-(?![{nasal}])"] == ("\u0304", of("en"))
+    for letter, at in zip("aeiou", range(0x363, 0x368), strict=True):
+        (pattern,) = [p for p in rows if re.fullmatch(r"\[\\\\%\]\[.*\]", p) and p[6] == letter]
+        assert rows[pattern] == (chr(at), letter)
+    assert ("æ", "æ", "ae") in REPLACEMENTS and len(ACCENTED) == len(PLAIN) == 32
+    for c, simple in zip(ACCENTED, PLAIN, strict=True):
+        assert unicodedata.normalize("NFD", c)[0] == simple and rows[c] == (c, simple)
     with pytest.raises(ValueError):
         dialect("none")
 
