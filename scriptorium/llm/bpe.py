@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepared
+from .flat import slices
 
 #: States of the transducer and words whose ids are remembered in a worker; when full, the memory starts anew.
 STATES = 200_000
@@ -361,7 +362,7 @@ def encoder(path: str) -> tuple[Encoder, np.ndarray]:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.frombuffer(b"".join(enc.parts(t or "")), "<u4").astype(np.int32) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
@@ -388,7 +389,7 @@ def _decode(path: str):
 def _digest(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, clean = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 ids, said, n = hashlib.sha256(), hashlib.sha256(), 0
@@ -414,7 +415,8 @@ def _typed(df: DataFrame, names: list[str]) -> str:
 def encode(df: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of ``df`` and ``ids`` (array<int>) of the text by the rank file at ``path``. Null: no ids.
 
-    ``path`` must be readable on all executors. Other columns are not read; one named ids can't be kept. No shuffle.
+    ``path`` must be readable on all executors. Other columns are not read; one named ids can't be kept. Repeated rows, and ties of any kind, are encoded each; an empty
+    table gives none. A text is read whole and encoded in parts, so a long one takes its own length of memory. No shuffle.
     """
     rows = df.select(*keep, F.col(text).alias("text"))
     return rows.mapInArrow(_encode(path), f"{_typed(df, keep)}, ids array<int>")
@@ -426,7 +428,10 @@ def decode(df: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
 
 def round_trip(df: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and the number and digests of ids and of what they decode to, chunk by chunk."""
+    """The columns ``keep`` and the number and digests of ids and of what they decode to, chunk by chunk.
+
+    Null texts are empty, repeated rows count each, an empty table gives none.
+    """
     rows = df.select(*keep, F.col(text).alias("text"))
     return rows.mapInArrow(_digest(path), f"{_typed(df, keep)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

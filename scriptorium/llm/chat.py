@@ -74,16 +74,15 @@ def format_turns(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by conversation and turn; one conversation may reach over several batches."""
-    carried: list = []  # of the conversation not ended yet: id, [bytes], turns, code points, spans
-
-    def ended() -> pa.RecordBatch:
-        key, data, turns, _, spans = carried
-        carried.clear()
-        return _batch([key], [turns], np.frombuffer(b"".join(data), np.uint8), np.array([0, sum(map(len, data))]), [spans])
+    """Rows arrive sorted by conversation and turn; one conversation may reach over several batches.
 
+    The conversations that begin and end within a batch are a stretch of the buffer that was assembled for it, and leave as
+    such; only what the batch's ends cut off is carried on.
+    """
+    carried = _Open()
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
         ids = batch.column("conv_id")
         roles = batch.column("role").cast(pa.large_string()).fill_null("")
@@ -91,48 +90,71 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         data, offsets, points, ahead, own = format_turns(roles, texts)
         value, absent = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
         fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (absent[1:] != absent[:-1])])
-        heads = np.flatnonzero(fresh)
-        tails = np.append(heads[1:], len(value))
+        cuts = np.append(np.flatnonzero(fresh), n)  # where conversations begin, and the end
+        before = np.cumsum(points) - points
+        begin = before - np.repeat(before[cuts[:-1]], np.diff(cuts)) + ahead
         loss = np.asarray(pc.equal(roles, "assistant").to_numpy(zero_copy_only=False), bool)
-        for head, tail in zip(heads.tolist(), tails.tolist(), strict=True):
-            key = ids[head].as_py()
-            if carried and carried[0] != key:
-                yield ended()
-            if not carried:
-                carried[:] = [key, [], 0, 0, []]
-            begin = carried[3] + np.cumsum(points[head:tail]) - points[head:tail] + ahead[head:tail]
-            mask = loss[head:tail]
-            carried[4] += [{"start": s, "end": e} for s, e in zip(begin[mask].tolist(), (begin + own[head:tail])[mask].tolist(), strict=True)]
-            carried[1].append(data[offsets[head] : offsets[tail]].tobytes())
-            carried[2] += tail - head
-            carried[3] += int(points[head:tail].sum())
-    if carried:
-        yield ended()
-
-
-def _batch(keys: list, turns: list, data: np.ndarray, offsets: np.ndarray, spans: list) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    texts = pa.Array.from_buffers(pa.large_string(), len(keys), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+        first, last = 0, len(cuts) - 2
+
+        def keep(i: int) -> None:
+            lo, hi = cuts[i], cuts[i + 1]
+            mask = loss[lo:hi]
+            carried.add(data[offsets[lo] : offsets[hi]].tobytes(), int(hi - lo), int(points[lo:hi].sum()), begin[lo:hi][mask], own[lo:hi][mask])
+
+        if carried.turns:
+            if carried.key == ids[0].as_py():
+                keep(0)
+                first = 1
+            if first <= last:
+                yield carried.ended()
+        if first < last:
+            lo, hi = cuts[first], cuts[last]
+            mask = loss[lo:hi]
+            spans = np.concatenate([[0], np.cumsum(mask)])[cuts[first : last + 1] - lo]
+            heads = offsets[cuts[first : last + 1]]
+            yield _batch(
+                ids.take(pa.array(cuts[first:last])), np.diff(cuts[first : last + 1]), data[heads[0] : heads[-1]], heads - heads[0],
+                spans, begin[lo:hi][mask], (begin + own)[lo:hi][mask],
+            )
+        if first <= last:
+            carried.key = ids[int(cuts[last])].as_py()
+            keep(last)
+    if carried.turns:
+        yield carried.ended()
+
+
+class _Open:
+    """The conversation that has not ended yet."""
+
+    def __init__(self):
+        self.key = None
+        self.turns = self.points = 0
+        self.data: list[bytes] = []
+        self.spans: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, data: bytes, turns: int, points: int, begin: np.ndarray, own: np.ndarray) -> None:
+        self.spans.append((begin + self.points, begin + self.points + own))
+        self.data.append(data)
+        self.turns += turns
+        self.points += points
+
+    def ended(self) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(self.data), np.uint8)
+        starts, ends = (np.concatenate([s[i] for s in self.spans]) for i in (0, 1))
+        out = _batch(pa.array([self.key], pa.int64()), np.array([self.turns]), data, np.array([0, len(data)]), np.array([0, len(starts)]), starts, ends)
+        self.__init__()
+        return out
+
+
+def _batch(keys: pa.Array, turns: np.ndarray, data: np.ndarray, offsets: np.ndarray, spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    texts = pa.Array.from_buffers(pa.large_string(), len(keys), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    pairs = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["start", "end"])
+    lists = pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pairs)
     return pa.record_batch(
-        [pa.array(keys, pa.int64()), pa.array(turns, pa.int64()), texts.cast(pa.string()), pa.array(spans, kind)],
-        ["conv_id", "n_turns", "formatted", "loss_spans"],
+        [keys, pa.array(turns.astype(np.int64)), texts.cast(pa.string()), lists], ["conv_id", "n_turns", "formatted", "loss_spans"]
     )
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small batches of finished conversations, put together again."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in _conversations(batches):
-        held.append(b)
-        size += b.nbytes
-        if size > 4 << 20 or len(held) >= 500:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def format_chat(df: DataFrame) -> DataFrame:
     """One row per conversation of ``df`` (conv_id, turn, role, text): the formatted text and its loss mask.
 
@@ -142,7 +164,7 @@ def format_chat(df: DataFrame) -> DataFrame:
     """
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_whole, FORMATTED)
+    return dealt.select("conv_id", "role", "text").mapInArrow(_conversations, FORMATTED)
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str, int]]:

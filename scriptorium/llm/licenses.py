@@ -1,8 +1,9 @@
 """License scans by diagonal voting.
 
-Every rolling k-gram of words of every text is hashed. The hashes are joined to the k-grams of the templates; a hit votes
-for the diagonal (place in the text minus place in the template). Votes are summed by diagonal, neighbouring diagonals are
-merged, so that words left out or put in don't break a span, and spans are verified by their words.
+Every rolling k-gram of words of every text is hashed, and Spark joins all the hashes to the k-grams of the templates; a hit
+votes for the diagonal (place in the text minus place in the template). Votes are summed by diagonal, neighbouring diagonals
+are merged, so that words left out or put in don't break a span, and spans are verified by their words, which come along
+with the hashes that a template has too.
 """
 
 from __future__ import annotations
@@ -25,22 +26,29 @@ BASE = [
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 ]
-#: Longer notices that give further labels; most of their k-grams must stand together.
+#: Headers of licenses and longer notices that give further labels; most of their k-grams must stand together.
 NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
     ("gpl-2", "licensed under the gnu general public license version 2"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("lgpl", "under the terms of the gnu lesser general public license"),
     ("agpl-3", "gnu affero general public license version 3"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("all-rights-reserved", "all rights reserved"),
 ]
 #: A merged span counts if it holds this share of its template's k-grams, or all of up to SHORT (else versions that differ
@@ -80,41 +88,48 @@ def template_grams() -> list[tuple[int, str, bool, int, int, int, str]]:
     return out
 
 
+def _strings(parts: list[bytes], at: np.ndarray, n: int) -> pa.Array:
+    """n strings, null but for those ``at`` the given places."""
+    there = np.zeros(n, bool)
+    there[at] = True
+    lengths = np.zeros(n, np.int64)
+    lengths[at] = [len(x) for x in parts]
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    valid = np.packbits(there, bitorder="little")
+    return pa.Array.from_buffers(pa.string(), n, [pa.py_buffer(valid), pa.py_buffer(offsets), pa.py_buffer(b"".join(parts))])
+
+
 def _scan(keys: list[str]):
     wanted = np.unique(np.array([g[5] for g in template_grams()], np.int64).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = np.zeros(1 << 16, bool)
-        sieve[(wanted >> np.uint64(48)).astype(np.int64)] = True
         uid = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             buf, offsets = flat(batch.column("text"))
             buf = lowered(buf)
             starts, ends, at = words(word_mask(buf), offsets)
             grams = gram_hashes(word_hashes(buf, starts, ends))
-            maybe = np.flatnonzero(sieve[(grams >> np.uint64(48)).astype(np.int64)])
-            hits = maybe[np.isin(grams[maybe], wanted)]
-            doc = np.searchsorted(at, hits, "right") - 1
-            inside = hits + K <= at[doc + 1]
-            hits, doc = hits[inside], doc[inside]
             n = batch.num_rows
-            ids = np.arange(uid, uid + n)
-            uid += n
-            said = [" ".join(buf[s:e].tobytes().decode() for s, e in zip(starts[h : h + K], ends[h : h + K], strict=True)) for h in hits]
-            # one row for the text, with its count of words, and one for each hit
-            rows = [batch.column(k).take(pa.array(np.concatenate([np.arange(n), doc]))) for k in keys]
-            m = len(hits)
+            doc = np.repeat(np.arange(n), np.diff(at))[: len(grams)]
+            inside = np.flatnonzero(np.arange(len(grams)) + K <= at[doc + 1])
+            # each text's list begins with a place that stands for the text itself, without a hash
+            size = np.bincount(doc[inside], minlength=n) + 1
+            lists = np.concatenate([[0], np.cumsum(size)])
+            where = np.arange(len(inside)) + doc[inside] + 1
+            hashes, known = np.zeros(lists[-1], np.int64), np.ones(lists[-1], bool)
+            hashes[where] = grams[inside].view(np.int64)
+            known[where] = False
+            said = np.flatnonzero(np.isin(grams[inside], wanted))
+            texts = [b" ".join([buf[s:e].tobytes() for s, e in zip(starts[h : h + K], ends[h : h + K], strict=True)]) for h in inside[said].tolist()]
+            cells = pa.StructArray.from_arrays([pa.array(hashes, mask=known), _strings(texts, where[said], int(lists[-1]))], ["gram", "said"])
             yield pa.record_batch(
                 [
-                    *rows,
-                    pa.array(np.concatenate([ids, ids[doc]])),
-                    pa.array(np.concatenate([np.diff(at), np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), hits - at[doc]]), mask=np.arange(n + m) < n),
-                    pa.array(np.concatenate([np.zeros(n, np.uint64), grams[hits]]).view(np.int64), mask=np.arange(n + m) < n),
-                    pa.array([None] * n + said, pa.string()),
+                    *[batch.column(k) for k in keys], pa.array(np.arange(uid, uid + n)), pa.array(np.diff(at)),
+                    pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), cells),
                 ],
-                [*keys, "uid", "n_words", "place", "gram", "said"],
-            )
+                [*keys, "uid", "n_words", "grams"],
+            )
+            uid += n
 
     return run
 
@@ -124,17 +139,21 @@ def scan(df: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFr
     share, whole: a verified span's first and last word, the share of its template's k-grams, and whether all of them
     stand on one diagonal.
 
-    Null texts are empty; repeated rows are texts of their own; only ``key`` and the text are read. The scan's rows (one
-    per text and one per hit, without the texts) are checkpointed, so all that follows sees the same ``uid``. The
-    templates are constants of this module, so their k-grams (some hundreds) may be broadcast.
+    Null texts are empty; repeated rows are texts of their own; only ``key`` and the text are read; an empty table gives no
+    rows. All k-grams of all texts are joined to the templates', which are constants of this module (some hundreds of rows,
+    so they may be broadcast). What the join leaves, a row for each text and one for each hit, is checkpointed, so all that
+    follows sees the same ``uid``.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, uid long, n_words long, place long, gram long, said string"
-    found = checkpointed(df.select(F.col(key), F.col(text).alias("text")).mapInArrow(_scan([key]), schema))
-    texts = found.where("n_words is not null").select(key, "uid", "n_words")
+    schema = f"`{key}` {kind}, uid long, n_words long, grams array<struct<gram:long,said:string>>"
+    rows = df.select(F.col(key), F.col(text).alias("text")).mapInArrow(_scan([key]), schema)
+    rows = rows.select(key, "uid", "n_words", F.posexplode("grams").alias("pos", "g")).select(key, "uid", "n_words", "pos", "g.gram", "g.said")
     grams = spark.createDataFrame(template_grams(), "template int, label string, base boolean, n_grams int, at int, hash long, should string")
-    hits = found.where("place is not null").join(F.broadcast(grams), (F.col("gram") == F.col("hash")) & (F.col("said") == F.col("should")))
+    found = rows.join(F.broadcast(grams), (F.col("gram") == F.col("hash")) & (F.col("said") == F.col("should")), "left")
+    found = checkpointed(found.where((F.col("pos") == 0) | F.col("template").isNotNull()).drop("gram", "said", "hash", "should"))
+    texts = found.where("pos = 0").select(key, "uid", "n_words")
+    hits = found.where("pos > 0").withColumn("place", F.col("pos").cast("long") - 1)
     hits = hits.withColumn("diagonal", F.col("place") - F.col("at"))
     votes = hits.groupBy("uid", "template", "label", "base", "n_grams", "diagonal").agg(
         F.collect_set("at").alias("ats"), F.min("place").alias("first"), F.max("place").alias("last")

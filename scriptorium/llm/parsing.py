@@ -26,6 +26,8 @@ from .flat import mixed
 SLOTS = 64
 #: Levels whose phrases are left out of the sketch, as short phrases are shared by all texts of a language.
 SKIP = 2
+#: Code points in a range of keys, and ranges at most: each sends its first key to the driver.
+RANGE, MOST_RANGES = 1 << 23, 10_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -185,15 +187,17 @@ def neighbours(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Rows (key, text, bucket, ghost) such that, sorted by bucket, ghost and descending key, each row that is no ghost is
     followed by the row with the next smaller key, the last by the first.
 
-    Keys are cut into ranges at approximate quantiles (a bounded number of them, found from the keys alone); the first row
-    of each range is also sent, as a ghost, to the end of the range before. Equal keys follow the text's hash, which then
-    decides the next one. A null key counts as the smallest.
+    Keys are cut into ranges of about RANGE code points, MOST_RANGES at most, at approximate quantiles; the first row of each
+    range is also sent, as a ghost, to the end of the range before. Rows with equal keys stand in one range; they follow the
+    text's hash, which then decides the next one, and equal rows follow each other. A null key counts as the smallest, a null
+    text as empty; other columns are not read. A single row follows itself; an empty table stays empty.
     """
     spark = df.sparkSession
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(
         F.col(key), F.coalesce(F.col(key), F.lit(-(1 << 63))).alias("_at"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE)))
     quantiles = [(i + 1) / ranges for i in range(ranges - 1)]
     cuts = rows.agg(F.percentile_approx("_at", F.array(*map(F.lit, quantiles)), F.lit(20 * ranges))).first()[0] if ranges > 1 else []
     rows = rows.withColumn("bucket", -_bucket(F.col("_at"), sorted(set(cuts or []))))
@@ -209,7 +213,8 @@ def neighbours(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         .select(key, "_at", "text", F.col("to").alias("bucket"), F.lit(True).alias("ghost"))
     )
     both = rows.select(key, "_at", "text", "bucket", F.lit(False).alias("ghost")).unionByName(ghost)
-    dealt = both.repartition("bucket").sortWithinPartitions("bucket", "ghost", F.desc("_at"), F.desc(F.xxhash64("text")))
+    # a range is a partition of its own, whatever the session's settings are
+    dealt = both.repartitionById(ranges, -F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.desc("_at"), F.desc(F.xxhash64("text")))
     return dealt.select(key, "text", "bucket", "ghost")
 
 

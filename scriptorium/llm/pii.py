@@ -4,7 +4,8 @@ Patterns give the base spans. The field labels the tokens that hold digits or @
 potentials of shape, chain potentials between adjoining tokens, and skip potentials: equal or similar tokens of a document
 (same last seven digits, same address apart from case) are tied to one entity node, so a group of n has n edges. Loopy
 message passing lets a mention that no pattern knows (a number without its prefix, say) take the label of one that a
-pattern does know. Tokens in base spans are held to their kind; base spans always stay.
+pattern does know. All three are fitted together by pseudo-likelihood on tokens that the patterns label. Tokens in base
+spans are held to their kind; base spans always stay.
 """
 
 from __future__ import annotations
@@ -156,24 +157,70 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> dict:
     }
 
 
-def fit(shapes: np.ndarray, labels: np.ndarray, before: np.ndarray, steps: int = 300) -> dict[str, np.ndarray]:
-    """Potentials from labelled tokens; ``before`` is the label of the adjoining token before, or -1.
+#: Strength of the penalty on the weights, and what skip potentials are without evidence: agreement is favoured a little.
+PENALTY = 1e-3
+AGREEMENT = 2.0
 
-    Shape weights maximise the labels' likelihood with a small penalty; chain potentials are smoothed log ratios of
-    pairs; the skip potentials favour agreement.
+
+def _ties(k: int) -> np.ndarray:
+    """(5, k, k): which entries of the skip potentials are one number: both O, one or the other O, the same, another kind."""
+    y, z = np.indices((k, k))
+    return np.stack([(y == 0) & (z == 0), (y == 0) & (z > 0), (y > 0) & (z == 0), (y > 0) & (y == z), (y > 0) & (z > 0) & (y != z)]).astype(float)
+
+
+def observed(g: dict) -> np.ndarray:
+    """(tokens, 4) for fitting: each token's label, and the labels of the one before, the one after and its entity, or -1.
+
+    A token that no pattern knows has the kind of the known mentions that it is tied to, else O. An entity's label, as seen
+    from one mention, is that of most of the others.
+    """
+    k, n = len(KINDS) + 1, len(g["doc"])
+    tied = g["entity"] >= 0
+
+    def votes(label: np.ndarray) -> np.ndarray:
+        out = np.zeros((g["entities"] + 1, k))  # the last row is for tokens of no entity
+        np.add.at(out, g["entity"][tied], np.eye(k)[label[tied]])
+        return out[g["entity"]]
+
+    known = votes(g["held"])
+    known[:, 0] = 0
+    label = np.where((g["held"] == 0) & tied & known.any(axis=1), known.argmax(axis=1), g["held"])
+    others = votes(label) - np.eye(k)[label] * tied[:, None]
+    entity = np.where(others.any(axis=1), others.argmax(axis=1), -1)
+    before = np.where(g["joined"], np.roll(label, 1), -1)
+    after = np.where(np.roll(g["joined"], -1), np.roll(label, -1), -1) if n else before
+    return np.column_stack([label, before, after, entity]).astype(np.int64)
+
+
+def fit(shapes: np.ndarray, seen: np.ndarray, steps: int = 400) -> dict[str, np.ndarray]:
+    """All potentials from labelled tokens (see ``observed``): those that make each label likeliest, given its neighbours'.
+
+    Ascent on the pseudo-likelihood with a small penalty. Tokens that have a neighbour of any kind also count a second
+    time without their shape, as if it told nothing, so the potentials between tokens are not left to the shapes. Skip
+    potentials are tied over the kinds, as mentions of any kind agree alike.
     """
-    n, k = len(labels), len(KINDS) + 1
-    weights = np.zeros((len(SHAPES), k))
-    target = np.eye(k)[labels]
+    k = len(KINDS) + 1
+    n = len(seen)
+    blind = shapes.copy()
+    blind[:, 1:] = 0
+    linked = (seen[:, 1:] >= 0).any(axis=1)
+    shapes, seen = np.concatenate([shapes, blind[linked]]), np.concatenate([seen, seen[linked]])
+    target = np.eye(k)[seen[:, 0]]
+    one = [np.where((seen[:, i] >= 0)[:, None], np.eye(k)[seen[:, i]], 0.0) for i in (1, 2, 3)]
+    weights, chain, ties = np.zeros((len(SHAPES), k)), np.zeros((k, k)), _ties(k)
+    tied = prior = AGREEMENT * np.array([1.0, 0, 0, 1, 0])
+    skip = np.tensordot(tied, ties, 1)
+    rate = 2.0 / max(1, len(seen))
     for _ in range(steps if n else 0):
-        score = shapes @ weights
+        score = shapes @ weights + one[0] @ chain + one[1] @ chain.T + one[2] @ skip.T
         p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        weights += 2.0 * (shapes.T @ (target - p) / n - 1e-3 * weights)
-    pairs = np.full((k, k), 0.5)
-    np.add.at(pairs, (before[before >= 0], labels[before >= 0]), 1.0)
-    ratio = np.log(pairs * pairs.sum() / (pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True)))
-    return {"shape": weights, "chain": np.clip(ratio, -2.0, 2.0), "skip": 2.0 * np.eye(k)}
+        off = target - p
+        weights += rate * (shapes.T @ off) - PENALTY * weights
+        chain += rate * (one[0].T @ off + off.T @ one[1]) - PENALTY * chain
+        tied = tied + rate * np.tensordot(ties, off.T @ one[2], 2) - PENALTY * (tied - prior)
+        skip = np.tensordot(tied, ties, 1)
+    return {"shape": weights, "chain": chain, "skip": skip}
 
 
 def _pass(table: np.ndarray, message: np.ndarray) -> np.ndarray:
@@ -243,8 +290,7 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         g = graph(texts, [base_spans(t) for t in texts])
-        before = np.where(g["joined"], np.roll(g["held"], 1), -1)
-        rows = np.column_stack([g["shape"], g["held"], before]) if len(g["doc"]) else np.zeros((0, len(SHAPES) + 2))
+        rows = np.column_stack([g["shape"], observed(g)]) if len(g["doc"]) else np.zeros((0, len(SHAPES) + 4))
         n = rows.shape[1]
         column = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, n, dtype=np.int32), pa.array(rows.ravel()))
         yield pa.record_batch([pa.array([zlib.crc32(texts[d].encode()) for d in g["doc"]], pa.int64()), column], ["h", "row"])
@@ -252,16 +298,17 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fitted(df: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
     """The field, fitted on a bounded sample: at most FIT_TEXTS texts with digits or @, by the order of a hash of the text,
-    and at most FIT_TOKENS of their tokens, labelled by the patterns."""
+    and at most FIT_TOKENS of their tokens, labelled by the patterns. Equal texts count once; a table without such texts
+    gives a field without weights."""
     some = df.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
     # hashes first, so that no task gathers texts from all others
     cut = some.select("h").distinct().orderBy("h").limit(FIT_TEXTS).agg(F.max("h")).first()[0]
     if cut is None:
-        return fit(np.zeros((0, len(SHAPES))), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return fit(np.zeros((0, len(SHAPES))), np.zeros((0, 4), np.int64))
     some = some.where(F.col("h") <= F.lit(cut)).groupBy("h").agg(F.min("text").alias("text"))
     some = some.select("text").mapInArrow(_samples, "h long, row array<double>").orderBy("h", "row").limit(FIT_TOKENS)
-    rows = np.array([r[1] for r in some.collect()]).reshape(-1, len(SHAPES) + 2)
-    return fit(rows[:, : len(SHAPES)], rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64))
+    rows = np.array([r[1] for r in some.collect()]).reshape(-1, len(SHAPES) + 4)
+    return fit(rows[:, : len(SHAPES)], rows[:, len(SHAPES) :].astype(np.int64))
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -282,7 +329,7 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
 
 def _find(model: dict[str, np.ndarray], redact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys = [c for c in batch.schema.names if c != "text"]
             whole = batch.column("text").to_pylist()
             texts = [t or "" for t in whole]
@@ -302,7 +349,7 @@ def _find(model: dict[str, np.ndarray], redact: bool):
 def find(df: DataFrame, keep: list[str], model: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """The columns ``keep``, the counts and digest of the base spans, and ``spans``: all of them. Null texts are empty.
 
-    Only ``keep`` and the text are read; repeated rows are found in each. No shuffle.
+    Only ``keep`` and the text are read; repeated rows are found in each; an empty table gives none. No shuffle.
     """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     counts = ", ".join(f"n_{k} long" for k in KINDS)

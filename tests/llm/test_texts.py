@@ -2,14 +2,18 @@
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import re
+import struct
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -131,6 +135,67 @@ def test_messages_settle_on_the_exact_marginals_of_a_chain():
     assert np.abs(got - np.array(want)).max() < 1e-6
 
 
+def exact(g, model):
+    """Marginals of the tokens by all labellings of tokens and entities."""
+    k, n, m = len(pii.KINDS) + 1, len(g["held"]), g["entities"]
+    u = g["shape"] @ model["shape"]
+    out = np.zeros((n, k))
+    for y in itertools.product(range(k), repeat=n):
+        if any(h and y[i] != h for i, h in enumerate(g["held"])):
+            continue
+        w = sum(u[i, y[i]] for i in range(n)) + sum(model["chain"][y[i - 1], y[i]] for i in range(1, n) if g["joined"][i])
+        total = np.exp(w)
+        for e in range(m):
+            total *= sum(np.exp(sum(model["skip"][y[i], z] for i in range(n) if g["entity"][i] == e)) for z in range(k))
+        out[range(n), y] += total
+    return out / out.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("entity,joined,near", [
+    ([0, -1, 0, -1, 1, 1], [0, 0, 0, 0, 0, 0], 1e-4),  # trees: exact
+    ([0, 0, 0, 1, 1, 1], [0, 0, 0, 1, 0, 0], 1e-4),
+    ([0, 1, 0, 1, -1, 0], [0, 1, 1, 1, 1, 0], 0.05),  # loops
+])
+def test_messages_against_all_labellings_with_entities(entity, joined, near):
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        k = len(pii.KINDS) + 1
+        model = {"shape": rng.normal(size=(len(pii.SHAPES), k)) / 2, "chain": rng.normal(size=(k, k)) / 2, "skip": rng.normal(size=(k, k)) / 2 + np.eye(k)}
+        g = {
+            "shape": rng.random((6, len(pii.SHAPES))), "held": np.array([0, 0, rng.integers(0, k), 0, 0, 0]), "joined": np.array(joined, bool),
+            "entity": np.array(entity), "entities": 2,
+        }
+        assert np.abs(pii.posterior(g, model, rounds=80) - exact(g, model)).max() < near
+
+
+def test_potentials_are_fitted_and_skip_edges_find_mentions(spark):
+    model = pii.fitted(spark.createDataFrame([(i, f"{t} again a{100 + i}.b@mail{(100 + i) % 9}.example.com") for i, t in enumerate(LINES)], DOCS))
+    kinds = range(1, len(pii.KINDS) + 1)
+    assert all(model["skip"][k, k] > pii.AGREEMENT and model["skip"][k, k] > model["skip"][0, k] + 1 for k in kinds)
+    assert np.abs(model["chain"]).max() > 0.5
+    text = "Ring +1 (988) 555-2485 today. It was 5552485 before, not 5552486."
+    at = text.index("5552485")
+    alone = model | {"skip": np.zeros_like(model["skip"])}
+    assert (3, at, at + 7) in pii.all_spans([text], model)[1][0] and (3, at, at + 7) not in pii.all_spans([text], alone)[1][0]
+    assert not any(s >= text.index("5552486") for _, s, _ in pii.all_spans([text], model)[1][0])
+
+
+def test_labels_and_neighbours_for_fitting():
+    texts = ["+1 988 555-2485 and 5552485, x@y.zz 12"]
+    g = pii.graph(texts, [pii.base_spans(t) for t in texts])
+    # label, before, after, entity of: +1, 988, 555-2485, 5552485 (tied to it), x@y.zz, 12
+    assert pii.observed(g).tolist() == [[4, -1, 4, -1], [4, 4, 4, -1], [4, 4, -1, 4], [4, -1, 1, 4], [1, 4, 0, -1], [0, 1, -1, -1]]
+
+
+def test_pii_of_long_tokens(spark):
+    """A token's digits, signs and key are those of the whole token."""
+    model = pii.fitted(spark.createDataFrame(list(enumerate(LINES)), DOCS))
+    for filler in ("x", "_", "é"):
+        found = [pii.all_spans([f"+1 (988) 555-2485 and {filler * n}5552485"], model)[1][0] for n in (200, 300, 5000)]
+        assert len({len(f) for f in found}) == 1
+    assert pii.likeness_key("x" * 400 + "5552485") == "5552485" and pii.shape("x" * 400 + "@")[1]
+
+
 def test_pii_frames(spark):
     df = spark.createDataFrame([(1, "a@b.cc", "s"), (2, None, "s"), (3, "", None), (1, "a@b.cc", "s")], f"{DOCS}, spans string")
     model = pii.fitted(df)
@@ -163,7 +228,7 @@ def test_chat_round_trip(spark):
 def test_chat_over_batches():
     n = 900
     batches = [pa.record_batch([pa.array([1] * n), pa.array(["user"] * n), pa.array(["x" * i for i in range(n)])], ["conv_id", "role", "text"])] * 3
-    (made,) = pa.Table.from_batches(list(chat._whole(iter(batches)))).to_pylist()
+    (made,) = pa.Table.from_batches(list(chat._conversations(iter(batches)))).to_pylist()
     assert made["n_turns"] == 3 * n and [t for _, t, _ in chat.parse(made["formatted"])] == ["x" * i for i in range(n)] * 3
 
 
@@ -277,6 +342,84 @@ def test_quality_on_held_out_labels(spark):
     assert {r.doc_id for r in quality.kept(docs, labels, "doc_id").collect()} == {i for i, k in made.items() if k}
 
 
+def plain_features(text):
+    """The buckets of both families, n-gram by n-gram."""
+    b = text.encode()
+    m32 = (1 << 32) - 1
+    three = [(((((b[i] * 0x9E3779B1 + b[i + 1]) & m32) * 0x85EBCA6B + b[i + 2]) & m32) * 0xC2B2AE35 & m32) >> 16 for i in range(len(b) - 2)]
+    kind = lambda c: 0 if c in range(9, 14) or c == 32 else 32 if c in b".," else 2 if 48 <= c < 58 else 4 if 65 <= c < 91 else 8 if 97 <= c < 123 else 16 if c >= 128 else 1 if 33 <= c < 127 else 0  # noqa: E731, E501
+    words = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    shapes = []
+    for i, w in enumerate(words):
+        union = 0
+        for c in w:
+            union |= kind(c)
+        same = (1 if i >= 1 and words[i - 1] == w else 0) | (2 if i >= 2 and words[i - 2] == w else 0)
+        shapes.append((((union * 64 + kind(w[0])) * 64 + kind(w[-1])) * 8 + min(len(w), 24) // 4) * 4 + same)
+
+    def mixed(h):
+        for _ in range(2):
+            h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & ((1 << 64) - 1)
+        return h ^ (h >> 32)
+
+    return three, [mixed((x << 32) + y) % quality.SHAPES for x, y in zip(shapes, shapes[1:], strict=False)]
+
+
+def test_quality_against_brute_force(spark):
+    docs, labels, rows = corpus(spark, 120)
+    extra = [(500, ""), (501, None), (502, "ab"), (503, "Ünï cödé, 12.5!"), (7, "a second text of seven")]
+    rng = random.Random(2)
+    extra += [(600 + i, " ".join(rng.choice(GOOD if rng.random() < 0.5 else JUNK).split()[rng.randrange(4)] for _ in range(12))) for i in range(80)]
+    docs = docs.unionByName(spark.createDataFrame(extra, DOCS))
+    texts = [(i, t) for i, t, _ in rows] + extra
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    least = {}
+    for i, t in texts:
+        if i in marks and t is not None:
+            least[i] = min(least.get(i, t), t)
+    raw, good = (np.zeros(quality.BUCKETS + quality.SHAPES) for _ in range(2))
+    for into, chosen in ((raw, [t for _, t in texts]), (good, [t for i, t in least.items() if marks[i] == 1])):
+        for t in chosen:
+            three, two = plain_features(t or "")
+            np.add.at(into, three, 1)
+            np.add.at(into, [quality.BUCKETS + x for x in two], 1)
+    ratio = quality.log_ratio(good, raw)
+
+    def weight(t):
+        three, two = plain_features(t or "")
+        return sum(float(np.mean(ratio[[base + x for x in grams]])) for grams, base in ((three, 0), (two, quality.BUCKETS)) if grams)
+
+    cut = quality.threshold(np.array([weight(t) for t in least.values()]), np.array([marks[i] == 1 for i in least]))
+    weights = [weight(t) for _, t in texts]
+
+    def noise(i):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", i), xxhash.xxh64_intdigest(struct.pack("<i", 5), 42))
+        return -math.log(-math.log(((h >> 12) + 0.5) / (1 << 52)))
+
+    noisy = [w + noise(i) for w, (i, _) in zip(weights, texts, strict=True)]
+    k = sum(w > cut for w in weights)
+    last = sorted(noisy, reverse=True)[k - 1]
+    want = sorted((i, round(w, 5), round(x, 5), x >= last) for (i, _), w, x in zip(texts, weights, noisy, strict=True))
+    made = quality.resample(docs, labels, "doc_id").collect()
+    assert sorted((r.doc_id, round(r.weight, 5), round(r.noisy, 5), r.keep) for r in made) == want
+    # the noise decides: texts above the threshold go, others stay in their place
+    assert any((w > cut) != (x >= last) for w, x in zip(weights, noisy, strict=True))
+
+
+def test_quality_ties_at_the_last_place_and_any_columns(spark):
+    docs, labels, _ = corpus(spark)
+    same = docs.where("doc_id = 1")
+    many = docs.unionByName(same).unionByName(same)
+    made = quality.resample(many, labels, "doc_id").collect()
+    assert len({r.keep for r in made if r.doc_id == 1}) == 1
+    clash = many.withColumn("_weight", F.lit("w")).withColumn("_noisy", F.lit(1)).withColumn("weight", F.lit(None).cast("int")).withColumn("_mark", F.lit(2))
+    kept = quality.kept(clash, labels, "doc_id")
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in made if r.keep)
+    assert {r._weight for r in kept.collect()} == {"w"}
+    long = docs.unionByName(spark.createDataFrame([(999, "the river runs by the hill " * 100_000)], DOCS))
+    assert 999 in {r.doc_id for r in quality.kept(long, labels, "doc_id").collect()}
+
+
 def test_quality_edges(spark):
     docs, labels, _ = corpus(spark)
     odd = docs.unionByName(spark.createDataFrame([(None, None), (900, ""), (901, "ab"), (0, "again again")], DOCS)).withColumn("weight", F.lit("x"))
