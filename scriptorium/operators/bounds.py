@@ -6,6 +6,8 @@ the array of a token's characters: no shuffle, no window, no Python. Islands bet
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +129,11 @@ def keep(chars: Column, *names: str, drop: bool = False) -> Column:
     return F.filter(chars, lambda c: is_a(c["mask"], *names) != F.lit(drop))
 
 
+def mapped(chars: Column, change: Callable[[Column], Column], where: Callable[[Column], Column]) -> Column:
+    """The characters with those changed of which ``where`` holds."""
+    return F.transform(chars, lambda c: F.when(where(c), change(c)).otherwise(c))
+
+
 def has(chars: Column, *names: str) -> Column:
     return F.exists(chars, lambda c: is_a(c["mask"], *names))
 

@@ -46,18 +46,47 @@ def read_side_table(spark: SparkSession, path: str, columns: list[str]) -> DataF
     return spark.read.csv(path, sep="\t", header=True, schema=", ".join(f"`{c}` string" for c in columns))
 
 
-def repaired(documents: DataFrame, metadata: DataFrame, beginnings: list[str] | None = None, add: bool = True, delete: bool = True) -> DataFrame:
-    """``documents`` (sigle, header_string) whose header lost listed lines and got the row of ``metadata`` of its sigle.
+def _kept_lines(text: Column, beginnings: list[str]) -> Column:
+    """The lines, trimmed, that are not empty and don't begin with one of the strings."""
+    pattern = "^(" + "|".join(quoted(b) for b in beginnings) + ")"
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
+    return F.filter(lines, lambda x: (x != "") & ~x.rlike(pattern))
+
+
+def _entries(table: DataFrame, columns: list[str]) -> DataFrame:
+    """(_sigle, _rows): for each value of the first column the lines ``column: value`` of its rows, the last row first."""
+    key = table.columns[0]
+    lines = F.array(*[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in columns])
+    rows = table.select(F.trim(F.col(f"`{key}`")).alias("_sigle"), lines.alias("lines"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.where("_sigle is not null").groupBy("_sigle").agg(F.sort_array(F.collect_list(F.struct("n", "lines")), asc=False).alias("_rows"))
+    return rows.withColumn("_rows", F.transform("_rows", lambda x: x["lines"]))
+
+
+def repaired(documents: DataFrame, metadata: DataFrame, beginnings: list[str] | None = None) -> DataFrame:
+    """``documents`` (sigle, header_string) with the header repaired where ``metadata`` knows the sigle, else as they were.
 
-    The first column of ``metadata`` is the sigle. Without a row only the lines go. Adaptive execution picks the join.
+    The first column of ``metadata`` is the sigle. The header loses the listed lines and gets the row's entries before all
+    others. Of several rows of one sigle each is put before what was there, so the last one comes first, and what earlier
+    ones brought loses listed lines too. A document stays one row. Adaptive execution picks the join.
     """
-    key, *more = metadata.columns
-    entry = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c), F.lit(""))) for c in metadata.columns])
-    rows = metadata.select(F.col(key).alias("_sigle"), entry.alias("_entry"))
-    body = without_lines(F.col("header_string"), beginnings or DROPPED) if delete else F.col("header_string")
-    met = documents.join(rows, F.col("sigle") == F.col("_sigle"), "left")
-    new = F.concat_ws("\n", F.col("_entry") if add else F.lit(None).cast("string"), F.nullif(body, F.lit("")))
-    return met.withColumn("header_string", new).drop("_sigle", "_entry")
+    listed = beginnings or DROPPED
+    met = documents.join(_entries(metadata, metadata.columns), F.col("sigle") == F.col("_sigle"), "left")
+    earlier = F.flatten(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))))
+    rest = _kept_lines(F.concat_ws("\n", F.array_join(earlier, "\n"), "header_string"), listed)
+    new = F.array_join(F.concat(F.get("_rows", F.lit(0)), rest), "\n")
+    return met.withColumn("header_string", F.when(F.col("_rows").isNotNull(), new).otherwise(F.col("header_string"))).drop("_sigle", "_rows")
+
+
+def changed_headers(documents: DataFrame, table: DataFrame | None = None, delete: bool = False, beginnings: list[str] | None = None) -> DataFrame:
+    """``documents`` (sigle, header_string) with listed lines deleted, if ``delete``, from all of them, and with the entries
+    of ``table`` put before the header where it knows the sigle: all columns but the first, which is the sigle; the last of
+    several rows counts."""
+    body = F.array_join(_kept_lines(F.col("header_string"), beginnings or DROPPED), "\n") if delete else F.col("header_string")
+    if table is None:
+        return documents.withColumn("header_string", body)
+    met = documents.join(_entries(table, table.columns[1:]), F.col("sigle") == F.col("_sigle"), "left")
+    entry = F.nullif(F.array_join(F.get("_rows", F.lit(0)), "\n"), F.lit(""))
+    return met.withColumn("header_string", F.concat_ws("\n", entry, F.nullif(body, F.lit("")))).drop("_sigle", "_rows")
 
 
 def looked_up(documents: DataFrame, table: DataFrame, value: str, digits: int = 4) -> DataFrame:
@@ -86,6 +115,7 @@ RENAMED = [
     ("Literatur", "literature"),
     (r"Ge[$s]amtumfang|Umfang\s*in\s*Wortformen\s*:|Umfang\s*in\s*Wortformen\s*\(*\s*insgesamt\s*\)*", "size"),
 ]
+#: What header keys of extents and sizes begin with.
 EXTENTS = {
     "extent_old": r"Auswahl\s*Bonner\s*Frnhd\.\s*Korpus",
     "extent_new": r"(Auswahl|Ergänzung)\s*Referenzkorpus",

@@ -17,10 +17,11 @@ def parse_bibinfo(text: Column) -> Column:
 
 
 def fill_bibinfo(lines: DataFrame, key: str, order: str, mark: str) -> DataFrame:
-    """``lines`` with PARTS, ``filled`` and ``malformed``, from the column ``mark``.
+    """``lines`` with PARTS, ``filled``, ``malformed`` and ``orphan``, from the column ``mark``.
 
     A line without a mark, or with a malformed one, goes on from the last good line: its parts, and its number plus the
-    distance, padded to two digits. A line before the first good one has nulls. Padding never cuts longer numbers.
+    distance, padded to two digits. A line before the first good one has nulls and is an orphan, as there is nothing to go on
+    from. Padding never cuts longer numbers.
     """
     w = Window.partitionBy(key).orderBy(order)
     good = parse_bibinfo(F.col(mark))
@@ -33,6 +34,7 @@ def fill_bibinfo(lines: DataFrame, key: str, order: str, mark: str) -> DataFrame
     rows = rows.select(
         *lines.columns, *[F.col(f"_last.{p}").alias(p) for p in PARTS[:-1]], line.alias("line"),
         F.col("_good").isNull().alias("filled"), (F.col(mark).isNotNull() & F.col("_good").isNull()).alias("malformed"),
+        F.col("_last").isNull().alias("orphan"),
     )
     return rows
 
@@ -122,10 +124,3 @@ def positional(left: DataFrame, right: DataFrame, key: str, left_order: str, rig
     """The k-th row of ``left`` with the k-th of ``right`` for each key; the longer side's rest is left out."""
     number = lambda df, order: df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order)))
     return number(left, left_order).join(number(right, right_order), [key, "_k"]).drop("_k")
-
-
-def offsets(rows: DataFrame, key: str, order: list[str], text: str, gap: int = 1) -> DataFrame:
-    """``rows`` with ``start`` and ``end``: where each text stands when all are joined with ``gap`` characters between."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(text) + gap).over(w), F.lit(0)).cast("long")
-    return rows.withColumn("start", start).withColumn("end", start + F.length(text))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import UNSET, Corpus, is_a
 from . import bounds
-
+from .headers import repaired
 
 
 def get(tags: Column, name: str) -> Column:
@@ -89,23 +90,24 @@ def punct_pos(annos: Column) -> Column:
 
 
 def verbation_tags(annos: Column) -> Column:
-    """The tag token_type: MS or ML and a number for both parts of a split word, US, UL and UH for each join.
+    """The tag token_type: MS or ML and a number for the parts of a split word, US, UL and UH for each join.
 
-    A fold over the annos: the second part of a pair does not begin another one, and the number goes up with each pair.
+    A fold over the annos. The first part of a pair has the number 1, the second the number of parts that were tagged up to
+    it; a second part does not begin another pair. What the tag had before stays in front.
     """
     join = lambda a: F.array_join(F.filter(F.transform(a["chars"], lambda c: F.when(is_a(c["mask"], "Hyphen"), "UH").when(is_a(c["mask"], "UniverbSpace"), "US").when(is_a(c["mask"], "UniverbNewline"), "UL")), lambda x: x.isNotNull()), " ")  # noqa: E731, E501
-    start = F.struct(F.slice(annos, 1, 0).alias("out"), F.lit("").alias("pending"), F.lit(1).alias("n"))
+    start = F.struct(F.slice(annos, 1, 0).alias("out"), F.lit("").alias("pending"), F.lit(0).alias("n"))
 
     def step(s: Column, a: Column) -> Column:
         kind = F.when(bounds.has(a["chars"], "MultiverbNewline"), "ML").when(bounds.has(a["chars"], "MultiverbSpace"), "MS").otherwise("")
         ends = s["pending"] != ""
-        mark = F.when(ends, F.concat(s["pending"], s["n"].cast("string"))).when(kind != "", F.concat(kind, s["n"].cast("string")))
+        mark = F.when(ends, F.concat(s["pending"], (s["n"] + 1).cast("string"))).when(kind != "", F.concat(kind, F.lit("1")))
         value = F.concat_ws(" ", mark, F.nullif(join(a), F.lit("")))
         tagged = F.when(value != "", append(a["tags"], "token_type", value)).otherwise(a["tags"])
         return F.struct(
             F.concat(s["out"], F.array(a.withField("tags", tagged))).alias("out"),
             F.when(ends, F.lit("")).otherwise(kind).alias("pending"),
-            (s["n"] + F.when(ends, 1).otherwise(0)).alias("n"),
+            (s["n"] + F.when(mark.isNotNull(), 1).otherwise(0)).alias("n"),
         )
 
     return F.aggregate(annos, start, step, lambda s: s["out"])
@@ -192,7 +194,7 @@ def anno_type(tags: Column, checked: Column) -> Column:
 
 
 def ref_postprocess(df: DataFrame, tags: str = "tags", checked: str = "checked", link: bool = False) -> DataFrame:
-    """posLemma from pos, lemmaId from lemma, addresses, irregular verbs, and who made the annotation."""
+    """posLemma from pos, lemmaId from lemma, addresses, irregular verbs, and who made the annotation: what concerns one anno."""
     return changed(
         df, lambda t: split(t, "pos", "pos", "posLemma", "<"), lambda t: split(t, "lemma", "lemma", "lemmaId", " "),
         lambda t: lemma_address(t, link), irregular_verbs, lambda t: anno_type(t, F.col(checked)), tags=tags,
@@ -235,8 +237,6 @@ def on_words(*changes: Callable[[Column], Column]) -> Callable[[Corpus], Corpus]
     """A step that changes each token's annos in order (verbation_tags, punct_fold, punct_pos): gathered, changed, numbered."""
 
     def step(c: Corpus) -> Corpus:
-        from pyspark.sql import Window
-
         names = [n for n in c.annos.columns if n not in ("doc_key", "tok_ord")]
         words = c.annos.groupBy("doc_key", "tok_ord").agg(F.array_sort(F.collect_list(F.struct("anno_in_tok", F.struct(*names).alias("a"))), _by_place).alias("w"))
         words = words.withColumn("w", F.transform("w", lambda x: x["a"]))
@@ -258,10 +258,47 @@ def unchanged(corpus: Corpus) -> Corpus:
     return corpus
 
 
+def without_flags(*names: str) -> Callable[[Corpus], Corpus]:
+    """A step that takes flags off all annos."""
+    return lambda c: c.having(annos=c.annos.withColumn("flags", functools.reduce(without_flag, names, F.col("flags"))))
+
+
+def marks_folded(tag: str = "punc") -> Callable[[Corpus], Corpus]:
+    """A step that folds sentence marks into a tag (see ``punct_fold``) and takes them out of tokens and dipls."""
+
+    def step(c: Corpus) -> Corpus:
+        fewer = lambda df: df.withColumn("chars", bounds.keep(F.col("chars"), "SentBound", drop=True))
+        tokens = fewer(c.tokens).withColumn("trans", bounds.trans(F.col("chars")))
+        dipls = fewer(c.dipls).withColumn("trans", bounds.trans(F.col("chars")))
+        dipls = dipls.withColumn("utf", bounds.form(bounds.keep(F.col("chars"), "Whitespace", drop=True), "dipl_utf"))
+        return on_words(lambda w: punct_fold(w, tag))(c).having(tokens=tokens, dipls=dipls)
+
+    return step
+
+
+def ref_converted(corpus: Corpus) -> Corpus:
+    """The whole first step of the reference corpus: pos, lemmapos and morph as one tag, marks as the tag boundary."""
+    return pipeline(on_tags(*REF_CONVERT), marks_folded("boundary"))(corpus)
+
+
+def ref_finished(corpus: Corpus, link: bool = False) -> Corpus:
+    """The whole last step of the reference corpus: the tags of each anno, then verbation tags, then marks as the tag punc."""
+    tagged = corpus.having(annos=ref_postprocess(corpus.annos, link=link))
+    return pipeline(on_words(verbation_tags), marks_folded())(tagged)
+
+
+def anselm_finished(corpus: Corpus) -> Corpus:
+    """The whole step on tokens of the Anselm corpus: tags, the flag boundary, verbation tags, punctuation."""
+    return pipeline(on_tags(*ANSELM_POSTPROCESS), without_flags("boundary"), on_words(verbation_tags, punct_pos))(corpus)
+
+
+def anselm_document(metadata: DataFrame) -> Callable[[Corpus], Corpus]:
+    """The whole step on documents of the Anselm corpus: tokens cut anew, headers repaired from ``metadata``."""
+    return pipeline(retokenised, lambda c: c.having(documents=repaired(c.documents, metadata)))
+
+
 def merged_tokens(tokens: DataFrame, key: str, order: str, goes_on: Column) -> DataFrame:
     """Rows joined to the one before where ``goes_on``: trans and chars one after the other, errors united."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy(order)
     grouped = tokens.withColumn("_g", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(w))
     rows = grouped.groupBy(key, "_g").agg(
@@ -274,32 +311,85 @@ def merged_tokens(tokens: DataFrame, key: str, order: str, goes_on: Column) -> D
     )
 
 
+def tokens_merged(corpus: Corpus, goes_on: Column, join_annos: bool = False) -> Corpus:
+    """A corpus whose tokens are joined to the one before where ``goes_on``, a condition on the tokens' columns.
+
+    Dipls stay apart, so that the layout does, and follow each other in the merged token; so do annos, but with
+    ``join_annos`` the first one of a token is glued to the last one before it, whose tags, flags and id stay.
+    """
+    key = "doc_key"
+    line = Window.partitionBy(key).orderBy("tok_ord")
+    first = F.coalesce(~F.coalesce(goes_on, F.lit(False)), F.lit(True)) | (F.row_number().over(line) == 1)
+    placed = corpus.tokens.withColumn("_first", first)
+    into = placed.select(key, F.col("tok_ord").alias("_old"), F.max(F.when(F.col("_first"), F.col("tok_ord"))).over(line).alias("_new"))
+    mapped = lambda df: df.withColumnRenamed("tok_ord", "_old").join(into, [key, "_old"]).withColumnRenamed("_new", "tok_ord")
+    whole = merged_tokens(placed, key, "tok_ord", ~F.col("_first"))
+    tokens = whole.join(corpus.tokens.select(key, "tok_ord", "item_ord", "token_id"), [key, "tok_ord"]).select(*corpus.tokens.columns)
+
+    def numbered(df: DataFrame, kind: str, more: list[str]) -> DataFrame:
+        inside = Window.partitionBy(key, "tok_ord").orderBy(*more)
+        return df.withColumn(f"{kind}_in_tok", F.row_number().over(inside).cast("int"))
+
+    dipls = numbered(mapped(corpus.dipls), "dipl", ["_old", "dipl_in_tok"]).select(*corpus.dipls.columns)
+    annos = mapped(corpus.annos)
+    if join_annos:
+        order = Window.partitionBy(key, "tok_ord").orderBy("_old", "anno_in_tok")
+        glued = (F.col("anno_in_tok") == 1) & (F.row_number().over(order) > 1)
+        groups = annos.withColumn("_g", F.when(glued, 0).otherwise(1)).withColumn("_g", F.sum("_g").over(order))
+        kept = [n for n in corpus.annos.columns if n not in (key, "tok_ord", "anno_in_tok", "trans", "utf", "simple", "chars")]
+        parts = F.array_sort(F.collect_list(F.struct("_old", "anno_in_tok", "trans", "utf", "simple", "chars")))
+        rows = groups.groupBy(key, "tok_ord", "_g").agg(parts.alias("m"), F.min_by(F.struct(*kept), F.struct("_old", "anno_in_tok")).alias("k"))
+        glue = lambda name: F.array_join(F.transform("m", lambda x: x[name]), "").alias(name)
+        annos = rows.select(
+            key, "tok_ord", F.lit(0).alias("_old"), F.col("_g").alias("anno_in_tok"), glue("trans"), glue("utf"), glue("simple"),
+            F.flatten(F.transform("m", lambda x: x["chars"])).alias("chars"), "k.*",
+        )
+    annos = numbered(annos, "anno", ["_old", "anno_in_tok"])
+    annos = annos.withColumn("anno_ord", F.row_number().over(Window.partitionBy(key).orderBy("tok_ord", "anno_in_tok")).cast("int"))
+    return corpus.having(tokens=tokens, dipls=dipls, annos=annos.select(*corpus.annos.columns))
+
+
 def retokenised(corpus: Corpus, marginal: str = "marg") -> Corpus:
     """New dipls, from the parse, for tokens whose given ones differ; on the lines of the old ones.
 
-    A dipl after one that ends in a joiner goes on the next line, except in tokens of marginal notes (an anti join).
-    Other tokens keep their dipls; all are numbered anew.
+    After a dipl that ends in a joiner the next one goes on the next line, if the document has one: not in tokens of
+    marginal notes (an anti join), nor where other tokens follow on the line. Other tokens keep their dipls; all are numbered
+    anew. Given annos that differ from the parsed ones get the parsed one's characters where it has an initial.
     """
-    from pyspark.sql import Window
-
+    key = ["doc_key", "tok_ord"]
     aside = corpus.shift_tags.where(F.col("tag") == marginal).select("doc_key", "first_tok_ord", "last_tok_ord").alias("s")
-    wrong = corpus.tokens.where(F.exists("errors", lambda e: e.isin("err_nr_dipl", "err_tok_dipl"))).alias("t")
+    wrong = corpus.tokens.where(F.exists("errors", lambda e: e.isin("err_nr_dipl", "err_tok_dipl")))
     in_margin = (F.col("s.doc_key") == F.col("t.doc_key")) & F.col("t.tok_ord").between(F.col("s.first_tok_ord"), F.col("s.last_tok_ord"))
-    noted = wrong.join(aside, in_margin, "left_semi").select("doc_key", "tok_ord", F.lit(True).alias("noted"))
-    wrong = corpus.tokens.where(F.exists("errors", lambda e: e.isin("err_nr_dipl", "err_tok_dipl"))).join(noted, ["doc_key", "tok_ord"], "left")
-    firsts = corpus.dipls.groupBy("doc_key", "tok_ord").agg(F.min("line_ord").alias("line_ord"))
-    cut = wrong.withColumn("chars", bounds.bounded(F.col("chars"))).select(
-        "doc_key", "tok_ord", "token_id", "noted", F.posexplode(bounds.dipl_pieces(F.col("chars"))).alias("k", "piece")
-    )
-    w = Window.partitionBy("doc_key", "tok_ord").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    free = wrong.alias("t").join(aside, in_margin, "left_anti").select(*key, F.lit(True).alias("free"))
+    firsts = corpus.dipls.groupBy(*key).agg(F.min("line_ord").alias("line_ord"))
+    last_on_line = corpus.dipls.groupBy("doc_key", "line_ord").agg(F.max("tok_ord").alias("tok_ord")).select(*key, "line_ord", F.lit(True).alias("at_end"))
+    final = corpus.lines.groupBy("doc_key").agg(F.max("line_ord").alias("final"))
+    cut = wrong.withColumn("chars", bounds.bounded(F.col("chars"))).select(*key, "token_id", F.posexplode(bounds.dipl_pieces(F.col("chars"))).alias("k", "piece"))
+    w = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     breaks = F.coalesce(F.sum(bounds.has(F.col("piece"), "Joiner").cast("int")).over(w), F.lit(0))
-    new = cut.withColumn("down", F.when(F.coalesce("noted", F.lit(False)), 0).otherwise(breaks)).join(firsts, ["doc_key", "tok_ord"])
+    new = cut.withColumn("breaks", breaks).join(free, key, "left").join(firsts, key).join(last_on_line, [*key, "line_ord"], "left").join(final, "doc_key", "left")
+    down = F.when(F.coalesce(F.col("free") & F.col("at_end"), F.lit(False)), F.col("breaks")).otherwise(0)
     new = new.select(
-        "doc_key", "tok_ord", (F.col("k") + 1).alias("dipl_in_tok"), F.concat("token_id", F.lit("_d"), F.col("k") + 1).alias("dipl_id"),
+        *key, (F.col("k") + 1).alias("dipl_in_tok"), F.concat("token_id", F.lit("_d"), F.col("k") + 1).alias("dipl_id"),
         bounds.form(F.col("piece"), "string").alias("trans"), bounds.form(F.col("piece"), "dipl_utf").alias("utf"),
-        (F.col("line_ord") + F.col("down")).cast("int").alias("line_ord"),
+        F.least(F.col("line_ord") + down, F.coalesce("final", F.col("line_ord"))).cast("int").alias("line_ord"),
+        *[F.col("piece").alias("chars")] * ("chars" in corpus.dipls.columns),
     )
-    kept = corpus.dipls.join(wrong.select("doc_key", "tok_ord"), ["doc_key", "tok_ord"], "left_anti").drop("dipl_ord")
+    kept = corpus.dipls.join(wrong.select(*key), key, "left_anti").drop("dipl_ord")
     both = kept.unionByName(new)
     order = Window.partitionBy("doc_key").orderBy("tok_ord", "dipl_in_tok")
-    return corpus.having(dipls=both.withColumn("dipl_ord", F.row_number().over(order).cast("int")))
+    return corpus.having(dipls=both.withColumn("dipl_ord", F.row_number().over(order).cast("int")), annos=_with_initials(corpus))
+
+
+def _with_initials(corpus: Corpus) -> DataFrame:
+    """Annos of tokens with err_tok_anno as parsed, where the parse has an initial."""
+    key = ["doc_key", "tok_ord"]
+    wrong = corpus.tokens.where(F.array_contains("errors", "err_tok_anno")).withColumn("chars", bounds.bounded(F.col("chars")))
+    parsed = wrong.select(*key, F.posexplode(bounds.anno_pieces(F.col("chars"))).alias("k", "piece")).where(bounds.has(F.col("piece"), "Majuscule"))
+    made = parsed.select(
+        *key, (F.col("k") + 1).alias("anno_in_tok"), F.col("piece").alias("_chars"), bounds.form(F.col("piece"), "string").alias("_trans"),
+        bounds.form(F.col("piece"), "anno_utf").alias("_utf"), bounds.form(F.col("piece"), "anno_simple").alias("_simple"),
+    )
+    met = corpus.annos.join(made, [*key, "anno_in_tok"], "left")
+    names = [n for n in ("chars", "trans", "utf", "simple") if n in corpus.annos.columns]
+    return met.withColumns({n: F.coalesce(f"_{n}", n) for n in names}).select(*corpus.annos.columns)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import is_a
+from .layout import parse_bibinfo
 
 
 def adjacency(chars: Column, legacy: bool = False) -> Column:
@@ -36,22 +39,6 @@ def token_errors(chars: str = "chars", lexical: str = "lexical", legacy: bool =
     return F.array_union(F.coalesce(F.col(lexical), F.array().cast("array<string>")), adjacency(F.col(chars), legacy))
 
 
-def bracket_depth(text: Column, opening: str, closing: str) -> Column:
-    """struct(lowest, last) of the depth of one kind of bracket over a text: balanced if both are 0."""
-    steps = F.filter(F.transform(F.split(text, ""), lambda c: F.when(c == opening, 1).when(c == closing, -1)), lambda s: s.isNotNull())
-    start = F.struct(F.lit(0).alias("lowest"), F.lit(0).alias("last"))
-    return F.aggregate(
-        steps, start, lambda a, s: F.struct(F.least(a["lowest"], a["last"] + s).alias("lowest"), (a["last"] + s).alias("last"))
-    )
-
-
-def invalid_characters(text: Column, allowed: str) -> Column:
-    """Characters of the text outside ``allowed``, sorted, each once."""
-    fine = F.array(*[F.lit(c) for c in allowed])
-    found = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    return F.array_sort(F.array_except(found, fine))
-
-
 def against_parse(tokens: DataFrame) -> DataFrame:
     """Codes for tokens whose given pieces differ from the parsed ones.
 
@@ -80,26 +67,26 @@ def rejected(df: DataFrame, key: str, fatal: Column) -> DataFrame:
     return df.groupBy(key).agg((~F.coalesce(F.bool_or(fatal), F.lit(False))).alias("valid"))
 
 
-def bibinfo_sequence(lines: DataFrame, key: str, order: str = "line_no") -> DataFrame:
-    """Codes for the order of lines, from ``lines`` with sigle, page, side, col, line.
+def bibinfo_sequence(lines: DataFrame, key: str, order: str = "line_no", mark: str = "mark") -> DataFrame:
+    """``lines`` with ``codes`` for their marks in order, each held against the last good one before it.
 
-    Another sigle, a number that repeats, skips or does not begin a new block with 1, columns out of order, and a first
-    page that is no recto.
+    No mark, or a malformed one; another sigle; in one column a number that repeats or skips; a new column, side or page
+    that does not begin with line 1; columns out of order on a side, or a side that does not begin without column or with a;
+    after a page with sides another page that does not begin with its recto. The first mark is held against none.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    block = F.concat_ws("|", "page", "side", "col")
-    prev = lambda c: F.lag(c).over(w)
-    n, same = F.col("line").cast("int"), block == F.col("_block")
-    rows = lines.withColumn("_prev", prev(F.col("line").cast("int"))).withColumn("_block", prev(block)).withColumn("_sigle", prev("sigle"))
-    rows = rows.withColumn("_col", prev(F.coalesce("col", F.lit("")))).withColumn("_page", prev(F.concat_ws("|", "page", "side")))
-    col = F.coalesce("col", F.lit(""))
-    next_col = F.when(F.col("_page") == F.concat_ws("|", "page", "side"), F.ascii(col) == F.ascii("_col") + 1).otherwise(col.isin("", "a"))
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.withColumn("_now", parse_bibinfo(F.col(mark))).withColumn("_last", F.last("_now", ignorenulls=True).over(w))
+    now = lambda p: F.col(f"_now.{p}")
+    last = lambda p: F.coalesce(F.col(f"_last.{p}"), F.lit(""))
+    same = lambda *parts: functools.reduce(lambda x, y: x & y, [now(p) == last(p) for p in parts])
+    n, before = now("line").cast("long"), F.coalesce(F.col("_last.line").cast("long"), F.lit(0).cast("long"))
+    column, side = same("page", "side", "col"), same("page", "side")
     codes = F.array_compact(F.array(
-        F.when(F.col("sigle") != F.col("_sigle"), "sigle_changed"),
-        F.when(same & (n == F.col("_prev")), "line_repeated"),
-        F.when(same & (n != F.col("_prev") + 1) & (n != F.col("_prev")), "line_skipped"),
-        F.when((F.col("_block").isNull() | ~same) & (n != 1), "block_not_from_1"),
-        F.when(F.col("_block").isNotNull() & ~same & ~F.coalesce(next_col, F.lit(True)), "column_order"),
-        F.when(F.col("_block").isNull() & (F.col("side") == "v"), "first_side_not_recto"),
+        F.when(F.coalesce(F.col(mark), F.lit("")) == "", "no_bibinfo").when(F.col("_now").isNull(), "bibinfo_malformed"),
+        F.when((last("sigle") != "") & ~same("sigle"), "sigle_changed"),
+        F.when(column & (n == before), "line_repeated").when(column & (n != before + 1), "line_skipped").when(~column & (n != 1), "block_not_from_1"),
+        F.when(side & ~column & (last("col") != "") & (F.ascii(now("col")) != F.ascii(last("col")) + 1), "column_order")
+        .when(~side & ~now("col").isin("", "a"), "column_not_from_a"),
+        F.when(~same("page") & (last("side") != "") & (now("side") != "r"), "side_not_recto"),
     ))
-    return rows.withColumn("codes", codes).drop("_prev", "_block", "_sigle", "_col", "_page")
+    return rows.withColumn("codes", codes).drop("_now", "_last")

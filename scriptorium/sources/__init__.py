@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Corpus
@@ -12,10 +12,23 @@ from ..session import prepared
 FORMATS = ("coraxml", "trans", "bonnxml", "docx")
 
 
+def key_of(spark: SparkSession, file: Column, path: str) -> Column:
+    """A file's path below ``path``, without its last ending, so files of one name in different folders keep apart.
+
+    For a pattern, whose base isn't known, the whole path counts.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    base = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    own, base = bare(file), base.replace("file:///", "file:/").rstrip("/")
+    below = F.when(own.startswith(f"{base}/"), F.substring(own, len(base) + 2, 1 << 20)).when(own == base, F.substring_index(own, "/", -1)).otherwise(own)
+    return F.regexp_replace(below, r"(?<=[^/])\.[^./]*$", "")
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_key, content) of all files under ``path``; the key is the file's name without its last ending."""
-    rows = spark.read.format("binaryFile").load(path)
-    return rows.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("doc_key"), "content")
+    """(doc_key, content) of all files under ``path``; see ``key_of``."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select(key_of(spark, F.col("path"), path).alias("doc_key"), "content")
 
 
 def read_corpus(

@@ -17,20 +17,44 @@ from pyspark.sql import functions as F
 from ..model import UNSET, Corpus
 from .trans import read_trans
 
-#: Where a header's entries stand (all in the attribute val but for two), and what they are called.
+#: Where a header's entries stand (element, attribute), and what they are called.
 HEADER = [
-    ("general/title", "text"), ("general/abbreviation@ab_ddd", "abbr_ddd"), ("general/abbreviation@ab_mwb", "abbr_mwb"),
-    ("general/text_field", "topic"), ("general/text_type", "text-type"), ("general/text_form", "genre"), ("general/ref", "reference"),
-    ("general/sec_ref", "reference-secondary"), ("document_medium/library", "library"), ("document_medium/shelfmark", "library-shelfmark"),
-    ("document_medium/census", "online"), ("entry/medium_type", "medium"), ("entry/extent", "extent"), ("entry/extract", "extract"),
-    ("entry/language", "language"), ("entry/dialect_region", "language-type"), ("entry/dialect_area", "language-region"),
-    ("entry/dialect", "language-area"), ("entry/localization", "place"), ("entry/dating", "time"),
-    ("entry/specific_features", "notes-manuscript"), ("text/text_dating", "date"), ("text/text_localization", "text-place"),
-    ("text/author", "text-author"), ("text/textdialect", "text-language"), ("text/foreign_language_dependence", "text-source"),
-    ("text/edition", "edition"), ("corpusStmt/corpus", "corpus"), ("corpusStmt/transcription_notes", "notes-transcription"),
-    ("corpusStmt/annotation_notes", "notes-annotation"), ("respStmt/digitization", "digitization_by"), ("respStmt/collation", "collation_by"),
-    ("respStmt/pre_editing", "pre_editing_by"), ("respStmt/annotation", "annotation_by"), ("respStmt/proofreading", "proofreading_by"),
-]
+    ("general/title", "val", "text"),
+    ("general/abbreviation", "ab_ddd", "abbr_ddd"),
+    ("general/abbreviation", "ab_mwb", "abbr_mwb"),
+    ("general/text_field", "val", "topic"),
+    ("general/text_type", "val", "text-type"),
+    ("general/text_form", "val", "genre"),
+    ("general/ref", "val", "reference"),
+    ("general/sec_ref", "val", "reference-secondary"),
+    ("document_medium/library", "val", "library"),
+    ("document_medium/shelfmark", "val", "library-shelfmark"),
+    ("document_medium/census", "val", "online"),
+    ("entry/medium_type", "val", "medium"),
+    ("entry/extent", "val", "extent"),
+    ("entry/extract", "val", "extract"),
+    ("entry/language", "val", "language"),
+    ("entry/dialect_region", "val", "language-type"),
+    ("entry/dialect_area", "val", "language-region"),
+    ("entry/dialect", "val", "language-area"),
+    ("entry/localization", "val", "place"),
+    ("entry/dating", "val", "time"),
+    ("entry/specific_features", "val", "notes-manuscript"),
+    ("text/text_dating", "val", "date"),
+    ("text/text_localization", "val", "text-place"),
+    ("text/author", "val", "text-author"),
+    ("text/textdialect", "val", "text-language"),
+    ("text/foreign_language_dependence", "val", "text-source"),
+    ("text/edition", "val", "edition"),
+    ("corpusStmt/corpus", "val", "corpus"),
+    ("corpusStmt/transcription_notes", "val", "notes-transcription"),
+    ("corpusStmt/annotation_notes", "val", "notes-annotation"),
+    ("respStmt/digitization", "val", "digitization_by"),
+    ("respStmt/collation", "val", "collation_by"),
+    ("respStmt/pre_editing", "val", "pre_editing_by"),
+    ("respStmt/annotation", "val", "annotation_by"),
+    ("respStmt/proofreading", "val", "proofreading_by"),
+]
 #: Tag, element, attribute, underscore to dot, and whether it is left out where it is missing.
 TAGS = [
     ("norm", "form", "normu", False, False), ("lemma", "lemma", "inst", False, False), ("lemma_gen", "lemma", "gen", False, False),
@@ -40,19 +64,29 @@ TAGS = [
     ("ref_second_side", "ref_second", "side2", False, True), ("ref_second_line", "ref_second", "line2", False, True),
     ("ref_second_token", "ref_second", "token2", False, True),
 ]
+#: A joiner with what closes round it and the bars after it.
+_JOINER = re.compile(r"=[>)]*\|*")
 _BOUND = re.compile(r"\|*[(<]*=[)>]*\|*|\|+")
 
 
 def header_entries(root: ET.Element) -> dict[str, str]:
     """All entries, empty where the file has none."""
-    out = {}
-    for path, name in HEADER:
-        path, _, attribute = path.partition("@")
-        e = root.find(f".//{path}")
-        out[name] = e.get(attribute or "val", "") if e is not None else ""
+    found = [(name, root.find(f".//{path}"), attribute) for path, attribute, name in HEADER]
+    return {name: e.get(attribute, "") if e is not None else "" for name, e, attribute in found}
+
+
+def header_element(root: ET.Element) -> ET.Element:
+    """The entries as an element with a child for each."""
+    out = ET.Element("header")
+    for name, value in header_entries(root).items():
+        ET.SubElement(out, name).text = value
     return out
 
 
+def header_xml(root: ET.Element) -> str:
+    return ET.tostring(header_element(root), encoding="unicode")
+
+
 def annotation(token: ET.Element) -> dict[str, str]:
     out = {}
     for tag, element, attribute, dots, optional in TAGS:
@@ -76,19 +110,20 @@ def structure(root: ET.Element) -> Iterator[tuple[str, str, str, int, list[ET.El
 
 
 def preprocessed(lines: list[str]) -> list[str]:
-    """Blanks round bars go, doubled bars are one, and what follows a joiner at a line's end moves to the next line.
+    """The lines of a text in order, as many as before.
 
-    Each line may get a rest from the one before, so the lines are taken in order.
+    Blanks round bars go. Where a bar ends a line inside a word, the line ends after the word instead (the last word of the
+    text excepted). Doubled bars are one. What follows a joiner in a line's last word begins the next line.
     """
-    out, rest = [], ""
-    for line in lines:
-        line = re.sub(r"\|{2,}", "|", re.sub(r" *\| *", "|", f"{rest}{line}".strip()))
-        m = re.search(r"(\S(?:\(=\)|=\||=))([^\s=|]+)$", line)
-        rest = m[2] + " " if m else ""
-        out.append(line[: m.end(1)] if m else line)
-    if rest:
-        out[-1] += rest.strip()
-    return out
+    text = re.sub(r" *\| *", "|", "\n".join(lines))
+    text = re.sub(r"(?<![^ ])([^ ]*?)\|\n([^ ]*)(?= )", "\\1|\\2\n", text).replace("||", "|")
+    rows = [line.split() for line in text.split("\n")]
+    for row, after in zip(rows, rows[1:], strict=False):
+        joiner = _JOINER.search(row[-1]) if row else None
+        if joiner:
+            row[-1], rest = row[-1][: joiner.end()], row[-1][joiner.end() :]
+            after[:0] = [rest] if rest else []
+    return [" ".join(row) for row in rows]
 
 
 def scan_file(key: str, data: bytes) -> dict:

@@ -6,35 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialects import dialect, parsed
-from ..model import Corpus, joined, shift_tag
+from ..model import Corpus, shift_tag
 from ..operators import bounds, chunks, headers, layout
 from ..operators.validate import token_errors
 from ..session import checkpointed
 
 
-def text_lines(texts: DataFrame) -> DataFrame:
-    """(doc_key, line_no, line, part) for ``texts`` (doc_key, text); part: mark, header, empty or text.
+def line_array(text: Column) -> Column:
+    """The lines of a text as array<struct<line_no, line, part>>; part: mark, header, empty or text.
 
-    A running sum over the lines of a document tells what stands between +H and @H. A byte order mark is left out.
+    The last mark before a line tells whether it stands between +H and @H; marks are few, so they are looked up in a list of
+    their own. A byte order mark is left out.
     """
-    body = F.regexp_replace(F.coalesce("text", F.lit("")), "^﻿", "")
-    lines = texts.select("doc_key", F.posexplode(F.split(body, "\r\n|\n|\r")).alias("line_no", "line"))
-    w = Window.partitionBy("doc_key").orderBy("line_no")
-    bare = F.trim("line")
-    last_mark = F.last(F.when(bare.isin("+H", "@H"), bare), ignorenulls=True).over(w)
-    part = F.when(bare.isin("+H", "@H"), "mark").when(last_mark == "+H", "header").when(F.col("line") == "", "empty").otherwise("text")
-    return lines.withColumn("part", part)
-
-
-def marked_lines(lines: DataFrame) -> DataFrame:
-    """(doc_key, ln, mark, content): text lines numbered from 1 and cut at the first run of tabs."""
-    bare = F.regexp_replace("line", r"^\s+|\s+$", "")
-    rows = lines.where("part = 'text'").withColumn("bare", bare)
-    cut = F.split("bare", "\t+", 2)
-    number = F.row_number().over(Window.partitionBy("doc_key").orderBy("line_no"))
-    return rows.select(
-        "doc_key", number.alias("ln"), F.when(F.size(cut) > 1, cut[0]).alias("mark"), F.element_at(cut, -1).alias("content")
-    )
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "^\ufeff", ""), "\r\n|\n|\r")
+    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("m"))), lambda x: x["m"].isin("+H", "@H"))
+
+    def made(x: Column, i: Column) -> Column:
+        last = F.try_element_at(F.filter(marks, lambda m: m["i"] <= i), F.lit(-1))
+        inside = F.when(last["i"] == i, "mark").when(last["m"] == "+H", "header")
+        part = F.when(F.size(marks) > 0, inside)
+        return F.struct(i.alias("line_no"), x.alias("line"), F.coalesce(part, F.when(x == "", "empty").otherwise("text")).alias("part"))
+
+    return F.transform(lines, made)
+
+
+def of_part(lines: Column, part: str) -> Column:
+    return F.filter(lines, lambda x: x["part"] == part)
+
+
+def text_lines(texts: DataFrame) -> DataFrame:
+    """(doc_key, line_no, line, part) for ``texts`` (doc_key, text); no shuffle."""
+    return texts.select("doc_key", F.inline(line_array(F.col("text"))))
+
+
+def marked_array(lines: Column) -> Column:
+    """array<struct<mark, content>> of the text lines, trimmed and cut at the first run of tabs."""
+    cut = F.transform(of_part(lines, "text"), lambda x: F.split(F.regexp_replace(x["line"], r"^\s+|\s+$", ""), "\t+", 2))
+    return F.transform(cut, lambda c: F.struct(F.when(F.size(c) > 1, c[0]).alias("mark"), F.element_at(c, -1).alias("content")))
 
 
 def _spans(marks: Column) -> Column:
@@ -79,16 +87,19 @@ def token_tables(tokens: DataFrame, of: str, legacy: bool = False) -> tuple[Data
 
 
 def read_trans(texts: DataFrame, of: str = "plain", strict: bool = True, legacy: bool = False) -> Corpus:
-    """A corpus from ``texts`` (doc_key, text). Documents with a faulty token or mark are not valid if ``strict``.
+    """A corpus from ``texts`` (doc_key, text), one row a document. Documents with a faulty token or mark, or a line before
+    any good mark, are not valid if ``strict``; documents without a line of tokens never are.
 
-    Lines without tokens are left out. Every table is partitioned by doc_key in its windows, so each shuffle is on it.
+    Lines are told apart inside each row, so texts aren't shuffled. Lines without tokens are left out. Every table is
+    partitioned by doc_key in its windows, so each shuffle is on it.
     """
     key = "doc_key"
-    lines = text_lines(texts)
-    head = lines.where("part = 'header'").groupBy(key).agg(joined(F.col("line_no"), F.col("line"), "\n").alias("header_string"))
-    marked = marked_lines(lines)
-    filled = layout.fill_bibinfo(marked, key, "ln", "mark")
-    body = marked.groupBy(key).agg(joined(F.col("ln"), F.col("content"), "\n").alias("body"))
+    cut = texts.select(key, line_array(F.col("text")).alias("lines")).withColumn("marked", marked_array(F.col("lines")))
+    header = F.array_join(F.transform(of_part(F.col("lines"), "header"), lambda x: x["line"]), "\n")
+    head = cut.select(key, header.alias("header_string"))
+    marks = cut.select(key, F.posexplode(F.transform("marked", lambda x: x["mark"])).alias("ln", "mark")).withColumn("ln", F.col("ln") + 1)
+    filled = layout.fill_bibinfo(marks, key, "ln", "mark")
+    body = cut.select(key, F.array_join(F.transform("marked", lambda x: x["content"]), "\n").alias("body"))
     stream = chunks.chunks(body, key, "body", redi=of == "redi")
     w = Window.partitionBy(key).orderBy("chunk_ord")
     breaks = F.length("raw") - F.length(F.replace(F.col("raw"), F.lit("\n"), F.lit("")))
@@ -106,10 +117,10 @@ def read_trans(texts: DataFrame, of: str = "plain", strict: bool = True, legacy:
     )
     words, dipls, annos = token_tables(tokens, of, legacy)
     comments = placed.where("kind = 'comment'").select(key, "item_ord", "type", "content")
-    marks = placed.where(F.col("kind").isin("open", "close")).groupBy(key).agg(
+    shifts = placed.where(F.col("kind").isin("open", "close")).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("chunk_ord", "kind", "type", F.col("tok_ord").alias("seen")))).alias("m")
     )
-    tags = marks.select(key, F.posexplode(_spans(F.col("m"))).alias("k", "s")).select(
+    tags = shifts.select(key, F.posexplode(_spans(F.col("m"))).alias("k", "s")).select(
         key, (F.col("k") + 1).alias("tag_ord"), F.col("s.type").alias("type"), shift_tag(F.col("s.type")).alias("tag"),
         F.col("s.first").alias("first_tok_ord"), F.col("s.last").alias("last_tok_ord"),
     )
@@ -128,14 +139,21 @@ def read_trans(texts: DataFrame, of: str = "plain", strict: bool = True, legacy:
     found = found.unionByName(problem(words.withColumn("e", F.explode("errors")), "item_ord", "error", F.col("e"), F.col("trans")))
     found = found.unionByName(problem(filled.where("malformed"), "ln", "error", F.lit("bibinfo_malformed"), F.col("mark")))
     found = found.unionByName(problem(filled.join(used, [key, "ln"], "left_anti"), "ln", "warning", F.lit("line_without_tokens"), F.col("line")))
-    bad = words.where(F.size("errors") > 0).select(key).unionByName(filled.where("malformed").select(key)).distinct().withColumn("bad", F.lit(True))
+    found = found.unionByName(problem(filled.where("orphan"), "ln", "error", F.lit("bibinfo_missing"), F.lit(None).cast("string")))
+    about = head.select(key, "header_string", headers.sigle(F.col("header_string")).alias("s"), F.lit(None).cast("int").alias("o"))
+    found = found.unionByName(problem(about.where("header_string = ''"), "o", "warning", F.lit("header_empty"), F.lit(None).cast("string")))
+    found = found.unionByName(problem(about.where("header_string <> '' and s is null"), "o", "warning", F.lit("sigle_missing"), F.lit(None).cast("string")))
+    wrong = words.where(F.size("errors") > 0).select(key).unionByName(filled.where("malformed or orphan").select(key))
+    bad = wrong.distinct().withColumn("bad", F.lit(True))
+    whole = used.select(key).distinct().withColumn("whole", F.lit(True))  # has lines and tokens
     documents = (
-        texts.select(key).distinct().join(head, key, "left").join(bad, key, "left")
-        .withColumn("header_string", F.coalesce("header_string", F.lit("")))
+        head.join(bad, key, "left").join(whole, key, "left")
         .select(
             key, F.coalesce(headers.sigle(F.col("header_string")), F.lit("")).alias("sigle"), F.lit("").alias("name"),
             headers.parse_header(F.col("header_string")).alias("header"), "header_string",
-            (F.col("bad").isNull() | F.lit(not strict)).alias("valid"),
+            (F.col("whole").isNotNull() & (F.col("bad").isNull() | F.lit(not strict))).alias("valid"),
         )
     )
+    empty = documents.join(whole, key, "left_anti").withColumn("o", F.lit(None).cast("int"))
+    found = found.unionByName(problem(empty, "o", "error", F.lit("document_empty"), F.lit(None).cast("string")))
     return Corpus(documents, page_table, column_table, line_table, words, dipls, annos, comments, tags, found)

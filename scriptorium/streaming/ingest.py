@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.dialects import dialect as known
 from ..model import Corpus
 from ..session import prepared
+from ..sources import key_of
 from ..sources.trans import read_trans
 
 
@@ -22,8 +23,8 @@ def ingest(spark: SparkSession, path: str, store: str, state: str, dialect: str
     """
     prepared(spark)
     of = known(dialect).name
-    files = spark.readStream.format("text").option("wholetext", True).load(path)
-    rows = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("doc_key"), F.col("value").alias("text"))
+    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
+    rows = files.select(key_of(spark, F.col("_metadata.file_path"), path).alias("doc_key"), F.col("value").alias("text"))
 
     def append(batch: DataFrame, number: int) -> None:
         corpus = read_trans(batch, of, strict)

@@ -13,7 +13,7 @@ from scriptorium.operators import chunks, headers, modify
 from scriptorium.sinks import exported
 from scriptorium.sinks.trans import editor_json
 from scriptorium.sources import read_corpus
-from scriptorium.sources.bonnxml import aligned, preprocessed, read_bonnxml
+from scriptorium.sources.bonnxml import HEADER, aligned, header_element, header_entries, header_xml, preprocessed, read_bonnxml
 from scriptorium.sources.dualxml import read_dualxml
 from scriptorium.sources.docx import docx_text
 from scriptorium.sources.trans import read_trans
@@ -36,14 +36,16 @@ def corpus(spark, tmp_path_factory) -> Corpus:
 def test_tables(corpus):
     docs = {r.doc_key: r for r in corpus.documents.collect()}
     assert docs["d1"].sigle == "M1" and docs["d1"].valid and docs["d1"].header == {"Sigle": [" M1_x"], "Titel": [" a", "b"]}
-    assert not docs["d2"].valid and docs["d3"].valid and docs["d4"].valid
+    assert not docs["d2"].valid and not docs["d3"].valid and not docs["d4"].valid  # without a line of tokens
     lines = [(r.line_ord, r.col_ord, r.name) for r in corpus.lines.where("doc_key = 'd1'").orderBy("line_ord").collect()]
     assert lines == [(1, 1, "01"), (2, 1, "02"), (3, 1, "03"), (4, 2, "01")]
     dipls = corpus.dipls.where("doc_key = 'd1'").orderBy("dipl_ord").collect()
     assert [(d.trans, d.line_ord) for d in dipls][3:5] == [("lange(=)", 2), ("zeile", 3)]
     tags = corpus.shift_tags.collect()
     assert [(t.tag, t.first_tok_ord, t.last_tok_ord) for t in tags] == [("fm", 3, 4)]
-    assert [(r.doc_key, r.code) for r in corpus.diagnostics.collect()] == [("d2", "bracket_not_closed")]
+    found = sorted((r.doc_key, r.code) for r in corpus.diagnostics.collect())
+    empty = [(d, c) for d in ("d3", "d4") for c in ("document_empty", "header_empty")]
+    assert found == [("d2", "bracket_not_closed"), ("d2", "header_empty"), *empty]
 
 
 def test_trans_round_trip(spark, corpus):
@@ -113,6 +115,14 @@ def test_read_folder(spark, tmp_path):
     assert read.documents.select("doc_key", "sigle", "valid").collect() == [("a", "M1", True)]
 
 
+def test_files_of_one_name_keep_apart(spark, tmp_path):
+    for folder, word in (("a", "one"), ("b", "two")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "t.v1.txt").write_text(f"+H\nSigle: {word}\n@H\nX-1r,01\t{word}\n", encoding="utf-8")
+    read = read_corpus(spark, str(tmp_path), "trans", "anselm")
+    assert sorted((r.doc_key, r.trans) for r in read.tokens.collect()) == [("a/t.v1", "one"), ("b/t.v1", "two")]
+
+
 def test_editor_json(corpus):
     rows = editor_json(corpus.tokens.where("doc_key = 'd1' and tok_ord in (1, 4)").select("tok_ord", "chars")).orderBy("tok_ord").collect()
     one, two = (json.loads(r.json) for r in rows)
@@ -138,7 +148,7 @@ def test_verbation_tags_and_punct_fold(spark, corpus):
         "annos", F.transform("annos", lambda a: a.withField("tags", empty).withField("flags", F.expr("cast(array() as array<string>)")))
     )
     rows = {r.trans: r for r in made.select("trans", modify.verbation_tags(F.col("annos")).alias("v"), modify.punct_fold(F.col("annos")).alias("p")).collect()}
-    assert [a.tags.get("token_type") for a in rows["a|b|c"].v] == ["MS1", "MS1", None]
+    assert [a.tags.get("token_type") for a in rows["a|b|c"].v] == ["MS1", "MS2", None]
     assert rows["x#y=z"].v[0].tags["token_type"] == "US UH"
     shown = lambda t: [(a.trans, a.tags, a.flags) for a in rows[t].p]
     assert shown("foo(.)") == [("foo", {"punc": "(.)"}, ["punc"])]
@@ -157,6 +167,9 @@ def test_headers(spark):
 
 def test_bonn(spark, tmp_path):
     assert preprocessed(["a | b||c", "foo(=)bar baz", "du foo(=)bar", "x", "a=b"]) == ["a|b|c", "foo(=)bar baz", "du foo(=)", "bar x", "a=b"]
+    assert preprocessed(["uil=|", "|er und", "x"]) == ["uil=|", "er und", "x"]  # uil=||er, cut again after the joiner
+    assert preprocessed(["du ab|", "cd ef", "x<=>|y", "z"]) == ["du ab|cd", "ef", "x<=>|", "y z"]
+    assert preprocessed(["ab |", "cd"]) == ["ab|", "cd"]  # the last word of the text
     assert aligned(["foo", "bar", "."], ["foo|bar."]) == [0, 0, None]
     xml = (
         '<text sigle="B1"><general><title val="T"/></general><page no="1"><side no="r"><column no="a"><line><token><form trans="foo" normu="fu"/>'
@@ -166,6 +179,9 @@ def test_bonn(spark, tmp_path):
     first, second = made.annos.orderBy("anno_ord").collect()
     assert first.tags["norm"] == "fu" and first.tags["infl"] == "a.b" and second.tags["lemma"] == "--" and "pos" not in second.tags
     assert made.documents.first().valid and made.documents.first().header["text"] == [" T"]
+    root = ET.fromstring(xml)
+    assert header_entries(root)["text"] == "T" and [e.tag for e in header_element(root)] == [name for _, _, name in HEADER]
+    assert header_xml(root).startswith("<header><text>T</text><abbr_ddd />")
 
 
 def test_docx():

@@ -48,7 +48,7 @@ def test_pipeline_on_words(spark, tmp_path):
     steps = modify.pipeline(modify.on_words(modify.verbation_tags, modify.punct_fold, modify.punct_pos), modify.on_tags(lambda t: modify.fill(t, "x", "1")), modify.unchanged)
     rows = steps(corpus).annos.orderBy("anno_ord").collect()
     assert [(r.trans, r.tags) for r in rows] == [
-        ("a|", {"token_type": "MS1", "x": "1"}), ("b", {"token_type": "MS1", "punc": "(.)", "x": "1"}), ("c", {"x": "1"}), (".", {"pos": "$(", "x": "1"}),
+        ("a|", {"token_type": "MS1", "x": "1"}), ("b", {"token_type": "MS2", "punc": "(.)", "x": "1"}), ("c", {"x": "1"}), (".", {"pos": "$(", "x": "1"}),
     ]
     assert [r.anno_ord for r in rows] == [1, 2, 3, 4] and rows[1].flags == ["punc"]
 
@@ -86,6 +86,7 @@ def test_marks_of_places(spark):
     assert [tuple(r.b) if r.b else None for r in rows] == [("M1", "120", "", "", "7"), ("M1", "12", "r", "a", "07"), ("sig_le", "3", "v", "b", "12"), None, None]
     lines = spark.createDataFrame([("d", i, m) for i, m in enumerate([None, "S-1r,98", None, "bad", "S-1r,5", None])], "k string, o int, m string")
     filled = layout.fill_bibinfo(lines, "k", "o", "m").orderBy("o").collect()
+    assert [r.orphan for r in filled] == [True] + [False] * 5
     assert [r.line for r in filled] == [None, "98", "99", "100", "5", "06"] and [r.malformed for r in filled] == [False, False, False, True, False, False]
 
 
