@@ -59,11 +59,17 @@ def chunks(df: DataFrame, key: str, text: str, redi: bool = False) -> DataFrame:
     )
 
 
-def depths(stream: DataFrame, key: str) -> DataFrame:
-    """``stream`` with ``depth``: shift marks open after each chunk, from a running sum by text."""
-    line = Window.partitionBy(key).orderBy("chunk_ord").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    return stream.withColumn("depth", F.sum(step).over(line))
+def depth_range(text: Column, redi: bool = False) -> Column:
+    """struct(deepest, lowest, last) of the number of shift marks open after each chunk; one pass, no shuffle."""
+    marks = F.filter(chunk_array(text, redi), lambda x: x.rlike(f"^({OPEN}|{CLOSE})$"))
+    zero = F.lit(0)
+    start = F.struct(zero.alias("deepest"), zero.alias("lowest"), zero.alias("last"))
+
+    def step(s: Column, m: Column) -> Column:
+        now = s["last"] + F.when(m.startswith("+"), 1).otherwise(-1)
+        return F.struct(F.greatest(s["deepest"], now).alias("deepest"), F.least(s["lowest"], now).alias("lowest"), now.alias("last"))
+
+    return F.aggregate(marks, start, step)
 
 
 def _stacked(marks: Column) -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import joined
 from ..operators import layout, modify, validate
 from .text_queries import query
 
@@ -119,29 +118,30 @@ def positional_zip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT conv_id, md5(string_agg(role || ',' || turn || ' | ' || regexp_replace(text, '([\\`*_])', '\\\1', 'g'), '  ' || chr(10) ORDER BY turn)) AS table_md5 FROM conversations GROUP BY conv_id
-""")
-def md_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of a Markdown table, with signs of emphasis escaped."""
-    from ..sinks.markdown import escaped
-
-    row = F.concat("role", F.lit(","), "turn", F.lit(" | "), escaped(F.col("text")))
-    table = turns(spark, d).groupBy("conv_id").agg(joined(F.col("turn"), row, "  \n").alias("t"))
-    return table.select("conv_id", F.md5(F.encode("t", "UTF-8")).alias("table_md5"))
-
-
-@query(r"""
-WITH r AS (SELECT conv_id, turn, 'C' || conv_id AS sigle, CASE WHEN turn < 4 THEN '1' ELSE '2' END AS page, turn + CASE WHEN length(text) % 7 = 0 THEN 2 ELSE 1 END AS line FROM conversations),
-p AS (SELECT *, lag(line) OVER w AS before, lag(page) OVER w AS block FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, concat_ws(',', CASE WHEN page = block AND line = before THEN 'line_repeated' END, CASE WHEN page = block AND line <> before + 1 AND line <> before THEN 'line_skipped' END,
-  CASE WHEN (block IS NULL OR page <> block) AND line <> 1 THEN 'block_not_from_1' END) AS codes FROM p
+WITH m AS (SELECT conv_id, turn, length(text) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT conv_id, turn, CASE WHEN n % 11 = 5 THEN 'C' || conv_id || 'x' ELSE 'C' || conv_id END AS sigle, CAST(1 + (n - 1) // 4 AS VARCHAR) AS page,
+  CASE WHEN l % 13 = 0 THEN '' WHEN l % 5 = 0 THEN 'v' ELSE 'r' END AS side, CASE WHEN l % 4 = 0 THEN '' WHEN l % 4 = 1 THEN 'a' WHEN l % 4 = 2 THEN 'b' ELSE 'd' END AS col,
+  CAST(1 + (n - 1) % 4 + CASE WHEN l % 7 = 0 THEN 1 WHEN l % 7 = 1 THEN -1 ELSE 0 END AS BIGINT) AS line, CASE WHEN n % 9 = 7 THEN '' WHEN n % 9 = 8 THEN 'bad mark' END AS faulty FROM m),
+p AS (SELECT *, last_value(CASE WHEN faulty IS NULL THEN {'sigle': sigle, 'page': page, 'side': side, 'col': col, 'line': line} END IGNORE NULLS)
+  OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r),
+q AS (SELECT *, coalesce(b.sigle, '') AS s0, coalesce(b.page, '') AS p0, coalesce(b.side, '') AS d0, coalesce(b.col, '') AS c0, coalesce(b.line, 0) AS l0 FROM p)
+SELECT conv_id, turn, CASE WHEN faulty = '' THEN 'no_bibinfo' WHEN faulty IS NOT NULL THEN 'bibinfo_malformed' ELSE concat_ws(',',
+  CASE WHEN s0 <> '' AND s0 <> sigle THEN 'sigle_changed' END,
+  CASE WHEN page = p0 AND side = d0 AND col = c0 THEN CASE WHEN line = l0 THEN 'line_repeated' WHEN line <> l0 + 1 THEN 'line_skipped' END WHEN line <> 1 THEN 'block_not_from_1' END,
+  CASE WHEN page = p0 AND side = d0 THEN CASE WHEN col <> c0 AND c0 <> '' AND (col = '' OR ascii(col) <> ascii(c0) + 1) THEN 'column_order' END WHEN col NOT IN ('', 'a') THEN 'column_not_from_a' END,
+  CASE WHEN page <> p0 AND d0 <> '' AND side <> 'r' THEN 'side_not_recto' END) END AS codes FROM q
 """)
 def validate_bibinfo_seq(spark: SparkSession, d: str) -> DataFrame:
-    rows = turns(spark, d).select(
-        "conv_id", "turn", F.concat(F.lit("C"), "conv_id").alias("sigle"), F.when(F.col("turn") < 4, "1").otherwise("2").alias("page"), F.lit("r").alias("side"),
-        F.lit("").alias("col"), (F.col("turn") + F.when(F.length("text") % 7 == 0, 2).otherwise(1)).cast("string").alias("line"),
-    )
-    return validate.bibinfo_sequence(rows, "conv_id", "turn").select("conv_id", "turn", F.array_join("codes", ",").alias("codes"))
+    """Marks of turns, made faulty in every way that the check knows."""
+    n, size = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")), F.length("text")
+    rows = turns(spark, d).withColumn("n", n).withColumn("l", size)
+    side = F.when(F.col("l") % 13 == 0, "").when(F.col("l") % 5 == 0, "v").otherwise("r")
+    col = F.when(F.col("l") % 4 == 0, "").when(F.col("l") % 4 == 1, "a").when(F.col("l") % 4 == 2, "b").otherwise("d")
+    line = 1 + (F.col("n") - 1) % 4 + F.when(F.col("l") % 7 == 0, 1).when(F.col("l") % 7 == 1, -1).otherwise(0)
+    sigle = F.concat(F.lit("C"), "conv_id", F.when(F.col("n") % 11 == 5, "x").otherwise(""))
+    page = (1 + F.floor((F.col("n") - 1) / 4)).cast("string")
+    mark = F.when(F.col("n") % 9 == 7, "").when(F.col("n") % 9 == 8, "bad mark").otherwise(F.concat(sigle, F.lit("-"), page, side, col, F.lit(","), line.cast("string")))
+    return validate.bibinfo_sequence(rows.withColumn("mark", mark), "conv_id", "turn").select("conv_id", "turn", F.array_join("codes", ",").alias("codes"))
 
 
 # ---------------------------------------------------------------- annotations of parts

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chars as signs
-from ..model import joined
-from ..operators import bounds, chunks, headers, layout, modify, validate
-from ..session import prepared
+from ..operators import bounds, chunks, headers, modify, validate
+from ..session import checkpointed, prepared
 from ..sources.trans import read_trans, text_lines
 
 QUERIES: dict = {}
@@ -27,6 +26,24 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+#: What is put after the texts of documents, in turn: comments, shift marks, joins over line ends, tabs, numbers, bounds.
+SNIPPETS = [
+    "", "x +K a note @K y", "x+K near @K +K m @E {12}", "+F open +Lp nested @Lp @F done", "+M never closed", "stray @R close +F a @L b",
+    "wor=\nden foo(=)\nbar x[=]\n y=|\nz", "tab\tbed \n next", "a|b c#d e=f, (.) g..!", "{1vf,2} {Kap.6,I} {}", "a@b c+d", "+Rp +K in @K @Rp",
+]
+
+
+def marked_documents(spark: SparkSession, d: str) -> DataFrame:
+    put = F.get(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS)).cast("int"))
+    return documents(spark, d).withColumn("text", F.concat("text", F.lit("\n"), put))
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_PUT = ", ".join(f"({i}, {quoted(x)})" for i, x in enumerate(SNIPPETS))
+_MARKED = f"(SELECT doc_id, lang, text || chr(10) || snippet AS text FROM documents JOIN (VALUES {_PUT}) s(i, snippet) ON doc_id % {len(SNIPPETS)} = i)"
 #: The chunks of all documents, in SQL.
 _CHUNKS = r"""
 chunks AS (
@@ -38,55 +55,71 @@ chunks AS (
     SELECT doc_id, regexp_extract_all(text, '\+[KEZ][^\n@]+@[KEZ]|\+[FLRÜMQ]p?|@[FLRÜMQ]p?|[^\s{+@][^\s+@]*\[?\[?(?:\(=\)|=\||=)\]?\]?[ \t]*\n[ \t]*[^\s{+@][^\s+@]*|[^\s{+@][^\s+@]*|\{[^}*÷]+\}|[ \t]|[ \t]*\n[ \t]*') AS found
     FROM documents))
 )"""
+_MARKED_CHUNKS = _CHUNKS.replace("FROM documents", f"FROM {_MARKED}")
 
 
-@query(r"""
-SELECT doc_id, CAST(ord - 1 AS INTEGER) AS line_no, CASE WHEN line = '' THEN 'empty' ELSE 'text' END AS part, length(line) AS n_chars
-FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS ord
-  FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM documents))
+_HEADED = r"(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '+H' || chr(10) || 'Sigle: D' || doc_id || chr(10) || ' @H ' || chr(10) || text ELSE text || chr(10) || '+H' || chr(10) || 'a' END AS text FROM documents)"
+
+
+@query(rf"""
+WITH lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS ord FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM {_HEADED})),
+marks AS (SELECT *, CASE WHEN trim(line) IN ('+H', '@H') THEN trim(line) END AS m FROM lines)
+SELECT doc_id, CAST(ord - 1 AS INTEGER) AS line_no,
+  CASE WHEN m IS NOT NULL THEN 'mark' WHEN last_value(m IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord) = '+H' THEN 'header' WHEN line = '' THEN 'empty' ELSE 'text' END AS part,
+  length(line) AS n_chars FROM marks
 """)
 def scan_lines(spark: SparkSession, d: str) -> DataFrame:
-    texts = documents(spark, d).select(F.col("doc_id").alias("doc_key"), "text")
+    """The lines of all documents; some have a header before their text, some one that never ends after it."""
+    turn = F.col("doc_id") % 3
+    headed = F.when(turn == 0, F.col("text")).when(turn == 1, F.concat(F.lit("+H\nSigle: D"), "doc_id", F.lit("\n @H \n"), "text")).otherwise(F.concat("text", F.lit("\n+H\na")))
+    texts = documents(spark, d).select(F.col("doc_id").alias("doc_key"), headed.alias("text"))
     return text_lines(texts).select(F.col("doc_key").alias("doc_id"), "line_no", "part", F.length("line").cast("long").alias("n_chars"))
 
 
 @query(f"""
-WITH {_CHUNKS}
+WITH {_MARKED_CHUNKS}
 SELECT doc_id, kind, count(*) AS n, CAST(sum(length(raw)) AS BIGINT) AS n_chars FROM chunks GROUP BY doc_id, kind
 """)
 def tokenize_chunks(spark: SparkSession, d: str) -> DataFrame:
-    stream = chunks.chunks(documents(spark, d), "doc_id", "text")
+    stream = chunks.chunks(marked_documents(spark, d), "doc_id", "text")
     return stream.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("raw")).cast("long").alias("n_chars"))
 
 
 @query(f"""
-WITH {_CHUNKS},
+WITH {_MARKED_CHUNKS},
 d AS (SELECT doc_id, ord, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS depth FROM chunks)
-SELECT doc_id, CAST(max(depth) AS BIGINT) AS deepest, CAST(min(depth) AS BIGINT) AS lowest, CAST(arg_max(depth, ord) AS BIGINT) AS last FROM d GROUP BY doc_id
+SELECT doc_id, CAST(greatest(max(depth), 0) AS INTEGER) AS deepest, CAST(least(min(depth), 0) AS INTEGER) AS lowest, CAST(arg_max(depth, ord) AS INTEGER) AS last FROM d GROUP BY doc_id
 """)
 def shift_tag_depth(spark: SparkSession, d: str) -> DataFrame:
-    stream = chunks.depths(chunks.chunks(documents(spark, d), "doc_id", "text"), "doc_id")
-    return stream.groupBy("doc_id").agg(F.max("depth").alias("deepest"), F.min("depth").alias("lowest"), F.max_by("depth", "chunk_ord").alias("last"))
+    return marked_documents(spark, d).select("doc_id", chunks.depth_range(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 @query(f"""
-WITH {_CHUNKS},
-p AS (SELECT doc_id, ord, kind, raw, lag(kind) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM chunks)
+WITH RECURSIVE {_MARKED_CHUNKS},
+p AS (SELECT doc_id, ord, kind, raw, lag(kind) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM chunks),
+marks AS (SELECT doc_id, ord, kind, substr(raw, 2) AS type, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM chunks WHERE kind IN ('open', 'close')),
+walk(doc_id, k, stack, ord, code) AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM marks
+  UNION ALL SELECT m.doc_id, m.k, CASE WHEN m.kind = 'open' THEN list_append(w.stack, m.type) WHEN len(w.stack) > 0 THEN w.stack[1:len(w.stack) - 1] ELSE w.stack END, m.ord,
+    CASE WHEN m.kind = 'close' AND len(w.stack) = 0 THEN 'close_not_opened' WHEN m.kind = 'close' AND w.stack[len(w.stack)] <> m.type THEN 'shift_tag_mismatch' END
+  FROM walk w JOIN marks m ON m.doc_id = w.doc_id AND m.k = w.k + 1)
 SELECT doc_id, CAST(ord - 1 AS INTEGER) AS item_ord, code FROM (
   SELECT doc_id, ord, 'comment_mismatch' AS code FROM p WHERE kind = 'comment' AND raw LIKE '+%' AND raw[2] <> raw[-1]
   UNION ALL SELECT doc_id, ord, 'comment_not_after_blank' FROM p WHERE kind = 'comment' AND raw LIKE '+%' AND coalesce(before, '') NOT IN ('space', 'newline')
   UNION ALL SELECT doc_id, ord, 'tab_between_tokens' FROM p WHERE kind = 'space' AND raw LIKE '%' || chr(9) || '%'
-  UNION ALL SELECT doc_id, ord, 'blanks_at_line_end' FROM p WHERE kind = 'newline' AND raw <> chr(10))
+  UNION ALL SELECT doc_id, ord, 'blanks_at_line_end' FROM p WHERE kind = 'newline' AND raw <> chr(10)
+  UNION ALL SELECT doc_id, ord, code FROM walk WHERE code IS NOT NULL
+  UNION ALL SELECT doc_id, NULL, 'shift_tag_unclosed' FROM (SELECT doc_id, unnest(arg_max(stack, k)) FROM walk GROUP BY doc_id))
 """)
 def chunk_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    found = chunks.diagnostics(chunks.chunks(documents(spark, d), "doc_id", "text"), "doc_id")
-    return found.where(~F.col("code").isin("close_not_opened", "shift_tag_mismatch", "shift_tag_unclosed")).select("doc_id", "item_ord", "code")
+    return chunks.diagnostics(chunks.chunks(marked_documents(spark, d), "doc_id", "text"), "doc_id").select("doc_id", "item_ord", "code")
 
 
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, token, n): each distinct token of a document with its count."""
-    stream = chunks.chunks(documents(spark, d), "doc_id", "text").where("kind = 'token'")
-    return stream.groupBy("doc_id", F.col("raw").alias("token")).agg(F.count("*").alias("n"))
+def _tokens(df: DataFrame) -> DataFrame:
+    """(doc_id, token, n): each distinct token of a document with its count. Checkpointed, as it is read again for the
+    distinct tokens of all documents: texts are cut once."""
+    stream = chunks.chunks(df, "doc_id", "text").where("kind = 'token'")
+    return checkpointed(stream.groupBy("doc_id", F.col("raw").alias("token")).agg(F.count("*").alias("n")))
 
 
 def _bounded(tokens: DataFrame) -> DataFrame:
@@ -112,26 +145,26 @@ flags AS (SELECT token, c, k,
 
 
 @query(f"""
-WITH {_CHUNKS}, {_SIGNS}
+WITH {_MARKED_CHUNKS}, {_SIGNS}
 SELECT doc_id, CASE k WHEN 'P' THEN 'Punct' WHEN 'H' THEN 'Hyphen' WHEN 'U' THEN 'UniverbSpace' WHEN 'M' THEN 'MultiverbSpace' WHEN 'N' THEN 'LineBreak'
   WHEN 'W' THEN 'Whitespace' ELSE 'TextChar' END AS cls, CAST(sum(n) AS BIGINT) AS n
 FROM (SELECT doc_id, n, unnest(k) AS k FROM tokens JOIN cls USING (token)) GROUP BY ALL
 """)
 def char_class_histogram(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
+    tokens = _tokens(marked_documents(spark, d))
     classes = F.transform(F.filter(F.split("token", ""), lambda c: c != ""), signs.sign_class)
     return tokens.select("doc_id", "n", F.explode(classes).alias("cls")).groupBy("doc_id", "cls").agg(F.sum("n").alias("n"))
 
 
 @query(f"""
-WITH {_CHUNKS}, {_SIGNS}, {_FLAGS}
+WITH {_MARKED_CHUNKS}, {_SIGNS}, {_FLAGS}
 SELECT doc_id, CAST(sum(n * len(list_filter(initial, lambda x: x))) AS BIGINT) AS n_initial, CAST(sum(n * len(list_filter(final, lambda x: x))) AS BIGINT) AS n_final,
   CAST(sum(n * len(list_filter(unlike, lambda x: x))) AS BIGINT) AS n_unlike, CAST(sum(n * len(list_filter(split, lambda x: x))) AS BIGINT) AS n_split,
   CAST(sum(n * len(list_filter(dipl, lambda x: x))) AS BIGINT) AS n_dipl
 FROM tokens JOIN flags USING (token) GROUP BY doc_id
 """)
 def bounds_by_rule(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
+    tokens = _tokens(marked_documents(spark, d))
     distinct = tokens.select(F.col("token").alias("_t")).distinct().withColumn("chars", signs.signs(F.col("_t")))
     rules = {
         "n_initial": lambda m: m.is_a(-2, "Whitespace") & ~m.is_a(-2, "LineBreak") & m.is_a(-1, "Punct") & ~m.is_a(0, "Punct"),
@@ -172,14 +205,14 @@ def anno_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_CHUNKS}, {_SIGNS}, {_FLAGS}
+WITH {_MARKED_CHUNKS}, {_SIGNS}, {_FLAGS}
 SELECT doc_id, CAST(sum(n * (1 + len(list_filter(dipl, lambda x: x)))) AS BIGINT) AS n_dipls,
-  CAST(sum(n * length(regexp_replace(token, '[#|]', '', 'g'))) AS BIGINT) AS n_chars
-FROM tokens JOIN flags USING (token) WHERE NOT regexp_matches(token, '[\\s]') GROUP BY doc_id
+  CAST(sum(n * length(regexp_replace(token, '[#|\\s]', '', 'g'))) AS BIGINT) AS n_chars
+FROM tokens JOIN flags USING (token) GROUP BY doc_id
 """)
 def dipl_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Diplomatic pieces and their signs. Tokens joined over a line's end count too; the SQL leaves them out."""
-    tokens = _tokens(spark, d)
+    """Diplomatic pieces and their signs, those of tokens joined over a line's end too."""
+    tokens = _tokens(marked_documents(spark, d))
     pieces = _bounded(tokens).select("_t", F.size("dipls").alias("dipls"), F.aggregate("dipls", F.lit(0), lambda a, x: a + F.length(x["utf"])).alias("chars"))
     met = tokens.join(pieces, F.col("token") == F.col("_t"))
     return met.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("dipls")).cast("long").alias("n_dipls"), F.sum(F.col("n") * F.col("chars")).cast("long").alias("n_chars"))
@@ -194,55 +227,6 @@ def simplify_chars(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.md5(F.encode("simple", "UTF-8")).alias("simple_md5"), F.length("simple").cast("long").alias("n_chars"), (F.col("simple") != F.col("text")).alias("changed"))
 
 
-@query(f"""
-WITH {_CHUNKS},
-t AS (SELECT doc_id, ord, length(raw) AS n FROM chunks WHERE kind = 'token'),
-o AS (SELECT doc_id, n, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t)
-SELECT doc_id, count(*) AS n_tokens, CAST(max(s + n) AS BIGINT) AS length, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(s + n) AS BIGINT) AS ends FROM o GROUP BY doc_id
-""")
-def gate_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Stand-off offsets of all tokens in the text that joins them by blanks."""
-    tokens = chunks.chunks(documents(spark, d), "doc_id", "text").where("kind = 'token'")
-    spans = layout.offsets(tokens, "doc_id", ["chunk_ord"], "content")
-    return spans.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("end").alias("length"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
-
-
-@query(r"""
-SELECT doc_id, md5(string_agg('D' || doc_id || '-1ra,' || CASE WHEN n < 10 THEN '0' ELSE '' END || n || chr(9) || line, chr(10) ORDER BY n)) AS text_md5, count(*) AS n_lines FROM (
-  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM (
-    SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS ord FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM documents)) WHERE line <> '')
-GROUP BY doc_id
-""")
-def trans_export(spark: SparkSession, d: str) -> DataFrame:
-    """Each document as a transcription text: numbered lines with their place, in order."""
-    texts = documents(spark, d).select(F.col("doc_id").alias("doc_key"), "text")
-    lines = text_lines(texts).where("part = 'text'")
-    n = F.row_number().over(Window.partitionBy("doc_key").orderBy("line_no"))
-    mark = F.concat(F.lit("D"), "doc_key", F.lit("-1ra,"), F.when(F.col("n") < 10, "0").otherwise(""), F.col("n").cast("string"), F.lit("\t"), "line")
-    rows = lines.withColumn("n", n).groupBy(F.col("doc_key").alias("doc_id")).agg(joined(F.col("n"), mark, "\n").alias("t"), F.count("*").alias("n_lines"))
-    return rows.select("doc_id", F.md5(F.encode("t", "UTF-8")).alias("text_md5"), "n_lines")
-
-
-_ALLOWED = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-\",.:;\\/!?1234567890ßäöüÄÖÜ\n'"
-
-
-@query(r"""
-SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(string_split(text, '')), lambda c: NOT regexp_matches(c, '^[a-zA-Z",.:;\\/!?0-9ßäöüÄÖÜ\n''-]$'))), '') AS invalid FROM documents
-""")
-def validate_charset(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", F.array_join(validate.invalid_characters(F.col("text"), _ALLOWED), "").alias("invalid"))
-
-
-@query(r"""
-WITH b AS (SELECT doc_id, unnest(f) AS c, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[()]') AS f FROM documents)),
-w AS (SELECT doc_id, i, sum(CASE c WHEN '(' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM b)
-SELECT d.doc_id, CAST(least(coalesce(min(depth), 0), 0) AS INTEGER) AS lowest, CAST(coalesce(arg_max(depth, i), 0) AS INTEGER) AS last FROM documents d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id
-""")
-def validate_brackets(spark: SparkSession, d: str) -> DataFrame:
-    depth = validate.bracket_depth(F.array_join(F.regexp_extract_all("text", F.lit("[()]"), F.lit(0)), ""), "(", ")")
-    return documents(spark, d).select("doc_id", depth.alias("b")).select("doc_id", "b.lowest", "b.last")
-
-
 @query(r"""
 SELECT doc_id, NOT coalesce(bool_or(regexp_matches(line, '[{}@]')), false) AS valid
 FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS line FROM documents) GROUP BY doc_id
@@ -278,44 +262,30 @@ def header_denylist(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, CASE WHEN m.source IS NULL THEN header ELSE 'source: ' || m.source || chr(10) || 'documents: ' || m.n || chr(10) || header END AS header FROM (
-  SELECT doc_id, source, 'lang: ' || lang AS header FROM documents) d
-LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE source <> 'src3' GROUP BY source) m ON d.source = m.source
+SELECT doc_id, CASE WHEN m.source IS NULL THEN 'Datum: x' || chr(10) || ' lang: ' || lang || chr(10)
+  ELSE CASE WHEN d.source = 'src1' THEN 'source: src1' || chr(10) || 'note: later' || chr(10) ELSE '' END || 'source: ' || m.source || chr(10) || 'note: ' || m.n || chr(10) || 'lang: ' || lang END AS header
+FROM documents d LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE source <> 'src3' GROUP BY source) m ON d.source = m.source
 """)
 def metadata_join(spark: SparkSession, d: str) -> DataFrame:
-    """Headers repaired from a side table of metadata; a row that the table lacks loses listed lines only."""
+    """Headers repaired from a side table of metadata: a sigle that it lacks keeps its header, one that is there twice gets both."""
     docs = documents(spark, d)
-    table = docs.where("source <> 'src3'").groupBy("source").agg(F.count("*").cast("string").alias("documents"))
-    heads = docs.select("doc_id", F.col("source").alias("sigle"), F.concat(F.lit("Datum: x\nlang: "), "lang").alias("header_string"))
-    return headers.repaired(heads, table).select("doc_id", F.col("header_string").alias("header"))
-
-
-@query(r"""
-SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-""")
-def marginalia_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Rows outside marked ones."""
-    marked = spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select("doc_id")
-    return documents(spark, d).select("doc_id", "lang").join(marked, "doc_id", "left_anti")
+    table = docs.where("source <> 'src3'").groupBy("source").agg(F.count("*").cast("string").alias("note")).orderBy("source").coalesce(1)
+    later = spark.createDataFrame([("src1", "later")], "source string, note string")
+    both = table.unionByName(later).select(F.concat(F.lit(" "), "source").alias("source"), "note").withColumn("source", F.trim("source"))
+    heads = docs.select("doc_id", F.col("source").alias("sigle"), F.concat(F.lit("Datum: x\n lang: "), "lang", F.lit("\n")).alias("header_string"))
+    return headers.repaired(heads, both).select("doc_id", F.col("header_string").alias("header"))
 
 
 @query(r"""
-WITH t AS (SELECT page_id, unnest(f) AS tag, generate_subscripts(f, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9]*') AS f FROM pages)),
-w AS (SELECT page_id, i, tag, sum(CASE WHEN tag LIKE '</%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM t)
-SELECT page_id, count(*) AS n_tags, count(*) FILTER (WHERE tag LIKE '</%') AS n_closing, count(DISTINCT lower(replace(replace(tag, '<', ''), '/', ''))) AS n_names,
-  CAST(max(depth) AS BIGINT) AS deepest FROM w GROUP BY page_id
+SELECT doc_id, CASE WHEN m.source IS NULL THEN '' ELSE 'documents: ' || m.n || chr(10) END || 'lang: ' || lang AS header
+FROM documents d LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE source <> 'src3' GROUP BY source) m ON d.source = m.source
 """)
-def xml_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Tags of pages, and how deep they nest, from a running sum."""
-    pages = spark.read.parquet(f"{d}/pages.parquet")
-    tags = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("</?[a-zA-Z][a-zA-Z0-9]*"), F.lit(0))).alias("i", "tag"))
-    closing = F.col("tag").startswith("</")
-    w = Window.partitionBy("page_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = tags.withColumn("depth", F.sum(F.when(closing, -1).otherwise(1)).over(w))
-    name = F.lower(F.regexp_replace("tag", "[</]", ""))
-    return rows.groupBy("page_id").agg(
-        F.count("*").alias("n_tags"), F.count_if(closing).alias("n_closing"), F.count_distinct(name).alias("n_names"), F.max("depth").alias("deepest")
-    )
+def header_change(spark: SparkSession, d: str) -> DataFrame:
+    """Headers of a folder: listed lines go everywhere, entries come where the table has the sigle, without the sigle itself."""
+    docs = documents(spark, d)
+    table = docs.where("source <> 'src3'").groupBy("source").agg(F.count("*").cast("string").alias("documents"))
+    heads = docs.select("doc_id", F.col("source").alias("sigle"), F.concat(F.lit("Datum: x\nlang: "), "lang").alias("header_string"))
+    return headers.changed_headers(heads, table, delete=True).select("doc_id", F.col("header_string").alias("header"))
 
 
 @query(f"""
@@ -339,7 +309,7 @@ def trans_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, CAST(w AS INTEGER) AS tokens, CASE WHEN w >= 2 THEN 'MS1' END AS first, CASE WHEN w >= 2 THEN 'MS1' END AS second, CASE WHEN w >= 4 THEN 'MS2' END AS third
+SELECT doc_id, CAST(w AS INTEGER) AS tokens, CASE WHEN w >= 2 THEN 'MS1' END AS first, CASE WHEN w >= 2 THEN 'MS2' END AS second, CASE WHEN w >= 4 THEN 'MS1' END AS third, CASE WHEN w >= 4 THEN 'MS4' END AS fourth
 FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS w FROM documents)
 """)
 def verbation_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -350,7 +320,7 @@ def verbation_tags(spark: SparkSession, d: str) -> DataFrame:
     made = bounds.tokenised(rows.withColumn("chars", signs.signs(F.col("word"))))
     made = made.withColumn("annos", F.transform("annos", empty)).withColumn("annos", modify.verbation_tags(F.col("annos")))
     tag = lambda k: modify.get(F.get("annos", F.lit(k))["tags"], "token_type")
-    return made.select("doc_id", F.size("annos").alias("tokens"), tag(0).alias("first"), tag(1).alias("second"), tag(2).alias("third"))
+    return made.select("doc_id", F.size("annos").alias("tokens"), tag(0).alias("first"), tag(1).alias("second"), tag(2).alias("third"), tag(3).alias("fourth"))
 
 
 @query(f"""
@@ -359,7 +329,7 @@ SELECT doc_id, CAST(sum(n) FILTER (WHERE len(list_filter(k, lambda x: x = 'P'))
 """)
 def punct_pos(spark: SparkSession, d: str) -> DataFrame:
     """Tokens that would get the part of speech of punctuation."""
-    tokens = _tokens(spark, d).withColumn("chars", signs.signs(F.col("token")))
+    tokens = _tokens(documents(spark, d)).withColumn("chars", signs.signs(F.col("token")))
     one = F.array(F.struct("chars", F.create_map(F.lit("pos"), F.lit("--")).alias("tags")))
     tagged = tokens.withColumn("a", modify.punct_pos(one))
     hit = modify.get(F.get("a", F.lit(0))["tags"], "pos") == "$("
