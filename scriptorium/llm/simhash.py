@@ -54,12 +54,15 @@ def majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     """
     counts = np.zeros(64 * lanes, np.int64)
     salts = (np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    for at in range(0, len(hashes), 1 << 12):
-        chunk = hashes[at : at + (1 << 12), None]
+    for at in range(0, len(hashes), 4 * 255):
+        chunk = hashes[at : at + 4 * 255, None]
         if lanes > 1:
             chunk = np.concatenate([chunk, mixed(chunk ^ salts[:, 1:])], axis=1)
-        bits = np.unpackbits(np.ascontiguousarray(chunk).view(np.uint8).reshape(len(chunk), -1), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+        # sums of up to 255 bits fit into bytes, which are added many at a time
+        whole = np.zeros((-(-len(chunk) // 255) * 255, lanes), np.uint64)
+        whole[: len(chunk)] = chunk
+        bits = np.unpackbits(whole.view(np.uint8).reshape(-1, 255, 8 * lanes), axis=2, bitorder="little")
+        counts += np.add.reduce(bits, axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
@@ -368,8 +371,10 @@ def link(nodes: DataFrame, keyed: DataFrame, links, lanes: int = 1, over: int =
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     cells = met.withColumn("part", part).select("node", "root", "fp", "tab", "key", "part", F.explode(other).alias("other"))
     cells = cells.select("node", "root", "fp", "tab", "key", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    # an explicit number of tasks: adaptive execution would put small cells that take long together
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        cells.repartition("tab", "key", "i", "j")
+        cells.repartition(tasks, "tab", "key", "i", "j")
         .sortWithinPartitions("tab", "key", "i", "j", "node")
         .mapInArrow(_cells(links, lanes), "a long, b long")
     )
