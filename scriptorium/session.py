@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,3 +86,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a copy in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, read again, and the table's path.
+
+    A checkpoint keeps the estimated size of its plan, and a join's estimate is the product of both sides'; over the rounds of
+    a loop such numbers get so long that planning takes minutes. A table has the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
