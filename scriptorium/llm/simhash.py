@@ -8,11 +8,12 @@ cell, so a crowd of copies gives a line of links for each node, not all pairs, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from .components import components, hub_join
 from .flat import flat, lowered, mixed, slices, spaces, words
 
 #: Fingerprints that one cell compares at most with as many; hot keys are split into pairs of such blocks.
-BLOCK = 4096
+BLOCK = 512
 SEED = 42
 _MANY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -229,7 +230,7 @@ def spanning(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[n
 
 
 def _linked(radius: int):
-    def links(ids: np.ndarray, fps: np.ndarray, parts: np.ndarray, roots: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(ids: np.ndarray, fps: np.ndarray, parts: np.ndarray, roots: np.ndarray, same: bool, sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(ids) == 2:  # most cells: one pair, no planes needed
             if parts[0] != parts[1] or same:
                 if int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= radius:
@@ -248,82 +249,130 @@ def _linked(radius: int):
     return links
 
 
-def _apart(radius: int, low: int, high: int | None):
-    """Pairs of different groups within the radius whose places in the cell are from ``low`` to below ``high`` apart.
+def _apart(radius: int, places: int):
+    """Pairs of different groups within the radius that are up to ``places`` apart in the cell: a few for each node.
 
-    Places in the other block are counted from the own place on, round. They are the same in each round, so rounds of
-    adjoining ranges cover each pair. The open range at the end is compared bit-sliced.
+    Places in the other block are counted from the own place on, round.
     """
 
-    def links(ids: np.ndarray, fps: np.ndarray, parts: np.ndarray, roots: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if (roots == roots[0]).all():
-            return
+    def links(ids: np.ndarray, fps: np.ndarray, parts: np.ndarray, roots: np.ndarray, same: bool, sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(parts, kind="stable")
         ids, fps, roots = ids[order], fps[order], roots[order]
         cut = 0 if same else int(np.searchsorted(parts[order], parts.max()))
         n = len(ids) - cut
-        if high is not None:
-            for o in range(low, min(high, n)) if same else range(low - 1, min(high - 1, n)):
-                q = np.arange(n - o if same else cut)
-                c = q + o if same else cut + (q + o) % n
-                q, c = (x[roots[q] != roots[c]] for x in (q, c))
-                near = np.bitwise_count(fps[q] ^ fps[c]).sum(axis=1) <= radius
-                yield ids[q[near]], ids[c[near]]
-            return
-        planes = planes_of(fps[cut:])
+        for o in range(1, min(places + 1, n)) if same else range(min(places, n)):
+            q = np.arange(n - o if same else cut)
+            c = q + o if same else cut + (q + o) % n
+            q, c = (x[roots[q] != roots[c]] for x in (q, c))
+            near = np.bitwise_count(fps[q] ^ fps[c]).sum(axis=1) <= radius
+            yield ids[q[near]], ids[c[near]]
+
+    return links
+
+
+def shared(sets: tuple[np.ndarray, np.ndarray], most: int = 1 << 21) -> Callable[[int], np.ndarray]:
+    """For one of several sets (values, n + 1 offsets) how many values it has in common with each; by lists of owners."""
+    values, offsets = sets
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    order = np.argsort(values, kind="stable")
+    line, owner = values[order], owner[order]
+
+    def of(q: int) -> np.ndarray:
+        own = values[offsets[q] : offsets[q + 1]]
+        lo, hi = np.searchsorted(line, own, "left"), np.searchsorted(line, own, "right")
+        out, at = np.zeros(n, np.int64), 0
+        total = np.concatenate([[0], np.cumsum(hi - lo)])
+        while at < len(own):  # in pieces, so what is gathered is bounded
+            to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+            size = hi[at:to] - lo[at:to]
+            where = np.arange(total[to] - total[at]) + np.repeat(lo[at:to] - (total[at:to] - total[at]), size)
+            out += np.bincount(owner[where], minlength=n)
+            at = to
+        return out
+
+    return of
+
+
+def _similar_links(radius: int):
+    """Links of an exact index of 0.8 or more that join groups. Every pair of nodes in different groups is looked at: what
+    lies within the radius, bit-sliced, is held against the sets themselves. Only links that join two groups leave."""
+
+    def links(ids: np.ndarray, fps: np.ndarray, parts: np.ndarray, roots: np.ndarray, same: bool, sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = len(ids)
+        _, group = np.unique(roots, return_inverse=True)
+        planes, common, sizes = planes_of(fps), shared(sets), np.diff(sets[1])
         lanes = np.zeros(planes.shape[1] * 64, np.uint8)
-        for q in range(n if same else cut):
-            first = (q + low) >> 6 if same else 0
-            lanes[:n] = roots[cut:] != roots[q]
-            if same:
-                lanes[: q + low] = 0
-            if lanes[first << 6 :].any():
-                live = np.packbits(lanes[first << 6 :], bitorder="little").view(np.uint64)
-                near = within(fps[q], planes[:, first:], radius, live)
-                found = cut + np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")) + (first << 6)
-                yield np.full(len(found), ids[q]), ids[found]
+        asked = np.zeros(n, bool)
+        a, b = [], []
+        # the largest group is found by the others; a pair is looked at once
+        for q in np.flatnonzero(group != np.bincount(group).argmax()).tolist():
+            asked[q] = True
+            lanes[:n] = (group != group[q]) & ~asked
+            if not same:
+                lanes[:n] &= parts != parts[q]
+            if not lanes.any():
+                continue
+            near = within(fps[q], planes, radius, np.packbits(lanes, bitorder="little").view(np.uint64))
+            found = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
+            if not len(found):
+                continue
+            both = common(q)[found]
+            found = found[5 * both >= 4 * (sizes[q] + sizes[found] - both)]
+            for c in found.tolist():
+                if group[c] != group[q]:
+                    a.append(q)
+                    b.append(c)
+                    group[group == group[c]] = group[q]
+        yield ids[np.array(a, np.int64)], ids[np.array(b, np.int64)]
 
     return links
 
 
 def _cells(links, lanes: int):
+    """Rows sorted by cell to the links of each cell; a cell is bounded, and so are the rows held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[pa.RecordBatch] = []
+        last = None
 
-        def flush(cell: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            keys, ids, fps, part, roots = cell
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            col = {n: t.column(n).combine_chunks() for n in t.schema.names}
+            keys = np.stack([col[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("tab", "key", "i", "j")], axis=1)
+            fps = col["fp"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+            ids, part, roots = (col[n].to_numpy(zero_copy_only=False) for n in ("node", "part", "root"))
+            values = ends = None
+            if "shingles" in col:
+                values = col["shingles"].flatten().to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(col["shingles"]).to_numpy(zero_copy_only=False))]).astype(np.int64)
             heads = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
             tails = np.append(heads[1:], len(keys))
-            for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
-                if t - h > 1:
-                    i, j = keys[h, 2], keys[h, 3]
-                    if i == j or part[h:t].min() != part[h:t].max():
-                        yield from links(ids[h:t], fps[h:t], part[h:t], roots[h:t], bool(i == j))
-
-        def batch_of(found: list) -> pa.RecordBatch:
-            a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-            b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-            return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for h, t_ in zip(heads.tolist(), tails.tolist(), strict=True):
+                i, j = keys[h, 2], keys[h, 3]
+                if t_ - h > 1 and (roots[h:t_] != roots[h]).any() and (i == j or (part[h:t_] != part[h]).any()):
+                    sets = None if values is None else (values[ends[h] : ends[t_]], ends[h : t_ + 1] - ends[h])
+                    found += links(ids[h:t_], fps[h:t_], part[h:t_], roots[h:t_], bool(i == j), sets)
+            yield pa.record_batch([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            col = {n: batch.column(n) for n in batch.schema.names}
-            keys = np.stack([col[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("tab", "key", "i", "j")], axis=1)
-            fps = col["fp"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
-            ids, part, roots = (col[n].to_numpy(zero_copy_only=False) for n in ("node", "part", "root"))
-            held.append((keys, ids, fps, part, roots))
-            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-            if not len(last) and sum(len(h[0]) for h in held) < 50 * BLOCK:
-                continue  # one cell so far; cells are bounded
-            whole = tuple(np.concatenate([h[i] for h in held]) for i in range(5))
-            open_ = len(whole[0]) - (len(keys) - (last[-1] + 1 if len(last) else 0))
-            found = list(flush(tuple(x[:open_] for x in whole))) if open_ else []
-            held = [tuple(x[open_:] for x in whole)]
-            if found:
-                yield batch_of(found)
-        if held:
-            yield batch_of(list(flush(tuple(np.concatenate([h[i] for h in held]) for i in range(5)))))
+            keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("tab", "key", "i", "j")], axis=1)
+            if last is not None and last != keys[0].tolist():
+                yield from flush()
+            changes = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            whole = int(changes[-1]) if len(changes) else 0  # rows before the cell that may go on
+            if whole:
+                held.append(batch.slice(0, whole))
+                yield from flush()
+            held.append(batch.slice(whole))
+            last = keys[-1].tolist()
+        yield from flush()
 
     return run
 
@@ -355,22 +404,30 @@ def table_keys(nodes: DataFrame, tables: list[list[tuple[int, int, int]]]) -> Da
     return nodes.select("node", F.explode(keyed).alias("k")).select("node", "k.tab", "k.key")
 
 
-def link(nodes: DataFrame, keyed: DataFrame, links, lanes: int = 1, over: int = 1) -> DataFrame:
+def link(nodes: DataFrame, keyed: DataFrame, links, lanes: int = 1, sets: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that ``links`` finds between ``nodes`` (node, root, fp) that meet in ``keyed`` (node, tab, key).
 
-    Only keys of more than ``over`` nodes count.
-
     Keys of more than BLOCK nodes are split into blocks, and each pair of blocks is a cell of its own. Rows whose key is
-    theirs alone never leave the JVM, and fingerprints are joined to the others only.
+    theirs alone never leave the JVM, and fingerprints are joined to the others only. With ``sets`` (node, shingles, size)
+    rows carry their sets of shingles, and blocks are bounded by the sets' sizes as well.
     """
-    counts = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > over)
-    counts = counts.select(F.col("tab").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    counts, size = [F.count("*").alias("n")], F.col("n") / BLOCK
+    if sets is not None:
+        keyed = keyed.join(sets.select(F.col("node").alias("_s"), "size"), F.col("node") == F.col("_s")).drop("_s")
+        counts.append(F.sum("size").alias("size"))
+        size = F.greatest(size, F.col("size") / SHINGLES)
+    counts = keyed.groupBy("tab", "key").agg(*counts).where("n > 1")
+    counts = counts.select(F.col("tab").alias("_t"), F.col("key").alias("_k"), F.ceil(size).cast("int").alias("blocks"))
     met = keyed.join(counts, (F.col("tab") == F.col("_t")) & (F.col("key") == F.col("_k"))).select("node", "tab", "key", "blocks")
-    met = met.join(nodes.select(F.col("node").alias("_n"), "root", "fp"), F.col("node") == F.col("_n"))
+    carried = ["root", "fp"]
+    met = met.join(nodes.select(F.col("node").alias("_n"), *carried), F.col("node") == F.col("_n"))
+    if sets is not None:
+        met = met.join(sets.select(F.col("node").alias("_s"), "shingles"), F.col("node") == F.col("_s"))
+        carried.append("shingles")
     part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = met.withColumn("part", part).select("node", "root", "fp", "tab", "key", "part", F.explode(other).alias("other"))
-    cells = cells.select("node", "root", "fp", "tab", "key", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    cells = met.withColumn("part", part).select("node", *carried, "tab", "key", "part", F.explode(other).alias("other"))
+    cells = cells.select("node", *carried, "tab", "key", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     # an explicit number of tasks: adaptive execution would put small cells that take long together
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
@@ -393,8 +450,8 @@ def classes(prints: DataFrame, key: str, radius: int, tables: list[list[tuple[in
     found = components(link(nodes.withColumn("root", F.col("node")), table_keys(nodes, tables), _linked(radius), lanes))
     placed = nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     placed = checkpointed(placed.select("fp", "least", F.coalesce("root", "node").alias("root")))
-    names = placed.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("class"))
-    by_print = hub_join(placed, "root", names, "_r")
+    names = checkpointed(placed.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("class"), F.count("*").alias("n")))
+    by_print = hub_join(placed, "root", names, "_r", "n")
     by_print = by_print.select(F.col("fp").alias("_fp"), "root", F.when(F.col("class") < none, F.col("class")).alias("class"))
     return prints.join(by_print, F.col("fp") == F.col("_fp")).drop("_fp")
 
@@ -404,9 +461,11 @@ NEAR = {"width": 5, "lanes": 8, "bands": (20, 4)}
 #: Differing bits of 512 up to which the exact index is asked for. At an index of 0.8 or more a bit differs with chance
 #: 0.1875 at most (sets of 4 and 5, where even counts tie; 0.152 for large sets): 96 bits and six deviations of 8.8.
 NEAR_RADIUS = 150
-#: Rounds in which a cell gives its pairs, by how many places they are apart; small cells are through after the first.
-ROUNDS = [(1, 3), (3, 17), (17, None)]
-#: Up to so many texts that pairs ask for are told to all executors; more are joined by a shuffle of the texts.
+#: How many places apart pairs of the first round are at most: a few pairs for each node.
+PLACES = 2
+#: Shingles in a block of sets; a larger set is a block of its own.
+SHINGLES = 1 << 20
+#: Up to so many texts that are asked for are told to all executors; more are joined by a shuffle of the texts.
 TOLD = 100_000
 
 
@@ -440,15 +499,19 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose exact index is 0.8 or more; only the texts that a pair asks for are hashed again."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct()
+def _sets_of(asked: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """(node, shingles, size) of the nodes in ``asked`` (_n); only their texts are hashed again."""
     asked = nodes.join(asked, F.col("node") == F.col("_n")).select("node", F.col("best._key").alias("_k"), F.col("best._hash").alias("_h"))
     asked = checkpointed(asked)
     asked = F.broadcast(asked) if asked.count() <= TOLD else asked
     texts = rows.select("_key", "_hash", F.col(text).alias("text")).join(asked, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")))
     sets = texts.select("node", "text").mapInArrow(_sets(NEAR["width"]), "node long, shingles array<long>")
-    sets = checkpointed(sets.dropDuplicates(["node"]))  # rows may be repeated
+    return checkpointed(sets.dropDuplicates(["node"]).withColumn("size", F.size("shingles").cast("long")))  # rows may be repeated
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose exact index is 0.8 or more."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct(), nodes, rows, text)
     left = sets.select(F.col("node").alias("_a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("_b"), F.col("shingles").alias("right"))
     both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
@@ -458,23 +521,31 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) -
 def similar_groups(nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """``nodes`` (node, best, fp, bands) with ``root``, equal in a component of links of an exact index of 0.8 or more.
 
-    Pairs that share a band and lie within NEAR_RADIUS are asked for. A large cell is gone through in rounds: once the
-    first pairs of each node have joined a crowd of copies, only pairs of nodes still apart are asked for.
+    Nodes that share a band and lie within NEAR_RADIUS are looked at, in two rounds. First the pairs next to each other in a
+    cell, a few for each node, are confirmed by their sets. Then cells that still hold several groups, and pairs not looked
+    at yet, get the sets themselves and give the links that join groups. So no cell gives more links than it has nodes.
     """
     keyed = nodes.select("node", F.posexplode("bands").alias("tab", "key"))
-    grouped, links = nodes.select("node", "fp", F.col("node").alias("root")), None
-    for low, high in ROUNDS:
-        if low > 1 and keyed.groupBy("tab", "key").count().where(F.col("count") > low).isEmpty():
-            break
-        pairs = link(grouped, keyed, _apart(NEAR_RADIUS, low, high), NEAR["lanes"], low)
-        pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if pairs.isEmpty():
-            continue
-        found = checkpointed(_confirmed(pairs, nodes, rows, text))
-        links = found if links is None else links.unionByName(found)
+    grouped = nodes.select("node", "fp", F.col("node").alias("root"))
+
+    def joined(links: DataFrame) -> DataFrame:
         roots = components(links).withColumnRenamed("node", "_n")
-        grouped = nodes.join(roots, F.col("node") == F.col("_n"), "left")
-        grouped = checkpointed(grouped.select("node", "fp", F.coalesce("root", "node").alias("root")))
+        met = nodes.join(roots, F.col("node") == F.col("_n"), "left")
+        return checkpointed(met.select("node", "fp", F.coalesce("root", "node").alias("root")))
+
+    pairs = link(grouped, keyed, _apart(NEAR_RADIUS, PLACES), NEAR["lanes"])
+    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = checkpointed(_confirmed(pairs, nodes, rows, text))
+    grouped = joined(links)
+    # cells of up to PLACES + 1 nodes have been gone through
+    placed = keyed.join(grouped.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n")).drop("_n")
+    open_ = placed.groupBy("tab", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    open_ = open_.where((F.col("n") > PLACES + 1) & (F.col("lo") != F.col("hi"))).select(F.col("tab").alias("_t"), F.col("key").alias("_k"))
+    placed = checkpointed(placed.join(open_, (F.col("tab") == F.col("_t")) & (F.col("key") == F.col("_k")), "left_semi"))
+    if not placed.isEmpty():
+        sets = _sets_of(placed.select(F.col("node").alias("_n")).distinct(), nodes, rows, text)
+        more = link(grouped, placed, _similar_links(NEAR_RADIUS), NEAR["lanes"], sets=sets)
+        grouped = joined(links.unionByName(more))
     return nodes.join(grouped.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n")).drop("_n")
 
 

@@ -4,7 +4,10 @@ import random
 import re
 from itertools import combinations
 
-from scriptorium.llm import pii, simhash
+import numpy as np
+from pyspark.sql import functions as F
+
+from scriptorium.llm import mixing, pii, simhash
 
 DOCS = "doc_id long, text string"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -72,7 +75,8 @@ def test_near_duplicates_against_exact_components(spark):
 
 def test_near_duplicates_in_crowds_and_split_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
-    monkeypatch.setattr(simhash, "ROUNDS", [(1, 2), (2, 4), (4, None)])
+    monkeypatch.setattr(simhash, "PLACES", 1)
+    monkeypatch.setattr(simhash, "SHINGLES", 3000)
     monkeypatch.setattr(simhash, "TOLD", 100)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -91,6 +95,41 @@ def test_near_duplicates_in_crowds_and_split_cells(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted(want)
 
 
+def test_a_crowd_round_one_text_gives_a_link_for_each_text():
+    """Copies of one text that are near it but not each other: all pairs are looked at, few links leave the cell."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [base]
+    for _ in range(150):
+        own = base.copy()
+        own[rng.choice(200, 18, replace=False)] = rng.integers(0, 1 << 63, 18, dtype=np.uint64)
+        sets.append(own)
+    sets = [np.unique(x) for x in sets]
+    rng.shuffle(sets[1:])
+    fps = np.stack([simhash.majority(x, 8) for x in sets])
+    n = len(sets)
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    found = list(simhash._similar_links(simhash.NEAR_RADIUS)(np.arange(n), fps, np.zeros(n, int), np.arange(n), True, (np.concatenate(sets).view(np.int64), ends)))
+    a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    assert len(a) == n - 1 and set(a.tolist()) | set(b.tolist()) == set(range(n))
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        assert 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)
+    counts = simhash.shared((np.concatenate(sets).view(np.int64), ends), most=1000)(3)
+    assert counts.tolist() == [len(np.intersect1d(sets[3], x)) for x in sets]
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, "other words here", None), (None, None, "z"), (4, "", "z")]
+    names = ["_own", "_told", "_first", "_key", "_hash", "_k", "_h", "_copies", "_many", "_pos", "node", "fp", "bands", "size", "copies"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit("MINE").alias(n) for n in names])
+    kept = simhash.distinct_texts(df)
+    assert kept.columns == df.columns and sorted((str(r.doc_id), r._key, r.node) for r in kept.collect()) == [("1", "MINE", "MINE"), ("3", "MINE", "MINE"), ("4", "MINE", "MINE")]
+    mixed = mixing.mixed_rows(df, "doc_id")
+    assert mixed.columns == df.columns and {tuple(r[n] for n in names) for r in mixed.collect()} == {("MINE",) * len(names)}
+    assert simhash.distinct_texts(df.where("false")).count() == 0 and mixing.mixed_rows(df.where("false"), "doc_id").count() == 0
+
+
 def test_long_tokens_count_whole():
     start = "漢" * 300 + "1"
     texts = [f"{start}@b {start}5552485 {start}5552486"]
