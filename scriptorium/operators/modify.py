@@ -324,7 +324,7 @@ def tokens_merged(corpus: Corpus, goes_on: Column, join_annos: bool = False) ->
     into = placed.select(key, F.col("tok_ord").alias("_old"), F.max(F.when(F.col("_first"), F.col("tok_ord"))).over(line).alias("_new"))
     mapped = lambda df: df.withColumnRenamed("tok_ord", "_old").join(into, [key, "_old"]).withColumnRenamed("_new", "tok_ord")
     whole = merged_tokens(placed, key, "tok_ord", ~F.col("_first"))
-    tokens = whole.join(corpus.tokens.select(key, "tok_ord", "item_ord", "token_id"), [key, "tok_ord"]).select(*corpus.tokens.columns)
+    tokens = whole.join(corpus.tokens.select(key, "tok_ord", "item_ord", "token_id"), [key, "tok_ord"])
 
     def numbered(df: DataFrame, kind: str, more: list[str]) -> DataFrame:
         inside = Window.partitionBy(key, "tok_ord").orderBy(*more)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import table_queries, text_queries  # noqa: F401  the tables register with the texts' queries
+from . import corpus_fixtures, table_queries, text_queries, token_fixtures  # noqa: F401  all register with the texts' queries
 
 QUERIES = text_queries.QUERIES
 ORACLE = text_queries.ORACLE

@@ -187,7 +187,7 @@ def read_bonnxml(files: DataFrame, of: str = "plain", strict: bool = True, legac
         given = list(right["annotations"].iloc[0]) if len(right) else []
         found = aligned(left["trans"].tolist(), [g["trans"] for g in given])
         tags = [dict(given[i]["tags"]) if i is not None else None for i in found]
-        return pd.DataFrame({"doc_key": key[0], "anno_ord": left["anno_ord"].to_numpy(), "new": tags})
+        return pd.DataFrame({"doc_key": key[0], "anno_ord": left["anno_ord"].to_numpy(), "new": pd.Series(tags, dtype=object)})
 
     small = corpus.annos.select("doc_key", "anno_ord", "trans").groupBy("doc_key")
     met = small.cogroup(scanned.select("doc_key", "annotations").groupBy("doc_key")).applyInPandas(meet, "doc_key string, anno_ord int, new map<string,string>")

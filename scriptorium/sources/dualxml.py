@@ -81,8 +81,8 @@ def read_dualxml(files: DataFrame, of: str = "plain", strict: bool = True, legac
     """A corpus from ``files`` (doc_key, content).
 
     A token is parsed as its diplomatic parts one after the other, with a line break where one of them ends a line. The
-    given parts keep their ids; where their number is the parsed one, forms come from the parse of the whole token, else
-    from the part alone, and the document is not valid if ``strict`` (unless the dialect is tokenised anew).
+    given parts keep their ids; where the numbers of both kinds are the parsed ones, forms come from the parse of the whole
+    token, else from each part alone, and the document is not valid if ``strict`` (unless the dialect is tokenised anew).
     """
     key, options = "doc_key", dialect(of).options
     docs = checkpointed(scan(files, options.get("dipl_tag", "dipl"), options.get("anno_tag", "mod")))
@@ -104,8 +104,10 @@ def read_dualxml(files: DataFrame, of: str = "plain", strict: bool = True, legac
     made = checkpointed(validate.against_parse(made))  # all tables of tokens and their parts come from it
     words = made.select(key, F.col("ord").alias("item_ord"), "tok_ord", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("t"), "tok_ord")).alias("token_id"), "trans", "errors", "chars")
 
+    # where either number differs, the whole token is taken as given, unless the dialect is tokenised anew
+    same = (F.size("xml_dipls") == F.size("dipls")) & (F.size("xml_annos") == F.size("annos")) | F.lit(bool(options.get("retokenize")))
+
     def parts(xml: str, parse: str, fields: list[str]) -> DataFrame:
-        same = F.size(xml) == F.size(parse)
         rows = made.select(key, "tok_ord", same.alias("same"), F.col(parse).alias("p"), F.posexplode(xml).alias("k", "x"))
         alone = bounds.tokenised(parsed(rows.where("not same").select(F.col("x.trans").alias("trans")).distinct(), of), carry=dialect(of).carried)
         forms = alone.select(F.col("trans").alias("_t"), F.col("chars").alias("_c"))
@@ -125,7 +127,9 @@ def read_dualxml(files: DataFrame, of: str = "plain", strict: bool = True, legac
     def linked(table: str, members: DataFrame, name: str, order: str) -> tuple[DataFrame, DataFrame]:
         found = layout.resolved(element(table), members, key, name, order)
         w = Window.partitionBy(key).orderBy("first_ord", "ord")
-        kept = found.where("first_ord is not null").withColumn("n", F.row_number().over(w).cast("int"))
+        # of elements that begin at the same place the first one counts; layout_problems reports the others
+        kept = found.where("first_ord is not null").withColumn("_same", F.row_number().over(Window.partitionBy(key, "first_ord").orderBy("ord")))
+        kept = kept.where("_same = 1").drop("_same").withColumn("n", F.row_number().over(w).cast("int"))
         return found.withColumn("kind", F.lit(table)), kept
 
     found_l, line_rows = linked("lines", dipls, "dipl_id", "dipl_ord")
