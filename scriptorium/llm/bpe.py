@@ -413,7 +413,7 @@ def _typed(df: DataFrame, names: list[str]) -> str:
 
 
 def encode(df: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``df`` and ``ids`` (array<int>) of the text by the rank file at ``path``. Null: no ids.
+    """The columns ``keep`` of ``df`` and ``ids`` (array<int>) of the text by the rank file at ``path``. A null text is empty.
 
     ``path`` must be readable on all executors. Other columns are not read; one named ids can't be kept. Repeated rows, and ties of any kind, are encoded each; an empty
     table gives none. A text is read whole and encoded in parts, so a long one takes its own length of memory. No shuffle.

@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from scriptorium.llm import mixing, pii, simhash
 
 DOCS = "doc_id long, text string"
@@ -130,6 +131,27 @@ def test_clashing_columns_and_repeated_rows(spark):
     assert simhash.distinct_texts(df.where("false")).count() == 0 and mixing.mixed_rows(df.where("false"), "doc_id").count() == 0
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names, and no rows at all."""
+    long = "the river runs by the old house on the hill " * 3000
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, long, None, None, len(long)), (2, long, None, None, len(long)), (3, "x@y.zz in a text", "de", "a", None), (None, "a text of its own here", "de", "b", 22)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ["_key", "_hash", "_weight", "_noisy", "node", "root", "size", "copies", "h", "spans"]
+    df = df.select("*", *[F.lit(i).alias(n) for i, n in enumerate(clash)])
+    spark.createDataFrame([(1, 0), (3, 1), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    count = {"quality": None, "near_duplicates": 4, "personal_data": 6, "mix": None, "tokens": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, df, str(tmp_path)).collect()
+        assert count[name] is None or len(made) == count[name], name
+        assert stage(spark, df.where("false"), str(tmp_path)).count() == 0, name
+        if name == "tokens":
+            assert sorted(r.n_tokens for r in made)[:2] == [0, 0]
+        else:
+            assert set(made[0].asDict()) == set(df.columns) and all([r[n] for n in clash] == list(range(len(clash))) for r in made), name
+        if name == "personal_data":
+            assert "<EMAIL> in a text" in {r.text for r in made} and any(r.text == long for r in made)
+
+
 def test_long_tokens_count_whole():
     start = "漢" * 300 + "1"
     texts = [f"{start}@b {start}5552485 {start}5552486"]
