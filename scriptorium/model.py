@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
@@ -150,6 +151,11 @@ class Corpus:
             getattr(self, f.name).createOrReplaceTempView(f.name)
 
 
+def held(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once: what stands inside a lambda is worked out for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def joined(order: Column, text: Column, sep: str = "") -> Column:
     """Aggregate: the texts in order, joined by ``sep``."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), sep)

@@ -6,6 +6,7 @@ the array of a token's characters: no shuffle, no window, no Python. Islands bet
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -183,3 +184,34 @@ def tokenised(df: DataFrame, chars: str = "chars", carry: bool = False) -> DataF
         ),
     )
     return flagged.withColumn("dipls", dipls).withColumn("annos", annos).drop("_dipls", "_annos")
+
+
+def whole(df: DataFrame, token: str = "trans") -> DataFrame:
+    """``df`` with what parsing and ``tokenised`` make of tokens that are never split, as in the plain dialect: chars, errors,
+    ``kept`` (the token without blanks and line ends) and its only pieces ``dipl`` and ``anno``, which are none if it is empty.
+
+    In built-in functions that leave out what isn't asked for; nothing is joined. Rows without a token have nulls.
+    """
+    t = F.col(token)
+    drop = lambda c, *signs: functools.reduce(lambda x, s: F.replace(x, F.lit(s), F.lit("")), signs, c)
+    last = F.length(drop(t, " ", "\t")) - 1
+
+    def char(c: Column, i: Column) -> Column:
+        end = c == "\n"
+        kind = lambda f: F.when(end, F.lit(f("LineBreak"))).otherwise(F.lit(f("TextChar")))
+        no = F.lit(False)
+        return F.struct(
+            i.alias("pos"), kind(str).alias("cls"), kind(MASK.get).cast("long").alias("mask"), c.alias("string"), c.alias("dipl_utf"), c.alias("anno_utf"),
+            c.alias("anno_simple"), F.lit(None).cast("boolean").alias("opening"), F.lit(None).cast("string").alias("size"),
+            no.alias("dipl_bound"), no.alias("anno_bound"), (i == last).alias("token_bound"),
+        )
+
+    signs = F.filter(F.split(drop(t, " ", "\t"), ""), lambda c: c != "")
+    lead = F.regexp_extract(t, "^[ \\t\\n]*", 0)
+    breaks = F.when(F.substring(t, 1, 1).isin(" ", "\t", "\n"), F.length(lead) - F.length(drop(lead, "\n"))).otherwise(0)
+    codes = F.when(F.contains(t, F.lit(" ")) | F.contains(t, F.lit("\t")), F.array(F.lit("blank_in_token"))).otherwise(F.array().cast("array<string>"))
+    rows = df.withColumn("kept", drop(t, " ", "\t", "\n")).withColumn("chars", F.transform(signs, char)).withColumn("errors", F.when(t.isNotNull(), codes))
+    piece = keep(F.col("chars"), "Whitespace", drop=True)
+    dipl = F.struct(F.col("kept").alias("trans"), F.col("kept").alias("utf"), breaks.alias("breaks"), piece.alias("chars"))
+    anno = F.struct(F.col("kept").alias("trans"), F.col("kept").alias("utf"), F.col("kept").alias("simple"), piece.alias("chars"))
+    return rows.withColumn("dipl", dipl).withColumn("anno", anno)

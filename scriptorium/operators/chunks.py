@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import held
+
 #: The kinds of chunks in the order in which they are tried. What none of them fits is passed over.
 _TOKEN = r"[^\s{+@][^\s+@]*"
 _JOIN = r"\[?\[?(?:\(=\)|=\||=)\]?\]?[ \t]*\n[ \t]*"
 COMMENT = r"\+[KEZ][^\n@]+@[KEZ]"
 OPEN, CLOSE = r"\+[FLRÜMQ]p?", r"@[FLRÜMQ]p?"
 SECOND = r"\{[^}*÷]+\}"
-MASTER = f"(?U){COMMENT}|{OPEN}|{CLOSE}|{_TOKEN}{_JOIN}{_TOKEN}|{_TOKEN}|{SECOND}|[ \\t]|[ \\t]*\\n[ \\t]*"
+#: Tokens and blanks come first, as most chunks are of them: no other kind begins like a token, and only a token at a line's
+#: end can be joined to the next.
+_WORD = r"[^\s{+@][^\s+@]*+(?![ \t]*+\n)"
+MASTER = f"(?U){_WORD}|[ \\t]|{COMMENT}|{OPEN}|{CLOSE}|{_TOKEN}{_JOIN}{_TOKEN}|{_TOKEN}|{SECOND}|[ \\t]*\\n[ \\t]*"
 #: The ReDI dialect: numbers in braces are tokens, and plus and at signs may stand inside tokens.
 _REDI = r"(?:[^\s{][^\s]*|\{\d\d?\})"
 MASTER_REDI = f"(?U){COMMENT}|{OPEN}|{CLOSE}|{_REDI}{_JOIN}{_REDI}|{_REDI}|{SECOND}|[ \\t]|[ \\t]*\\n[ \\t]*"
@@ -38,13 +43,46 @@ def chunk_array(text: Column, redi: bool = False) -> Column:
     return F.regexp_extract_all(text, F.lit(MASTER_REDI if redi else MASTER), F.lit(0))
 
 
-def chunks(df: DataFrame, key: str, text: str, redi: bool = False) -> DataFrame:
-    """(key, chunk_ord, kind, type, content): the chunks of each text in order.
+def line_breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def chunk_lines(found: Column) -> Column:
+    """array<struct<base_line, first, raws>> of a text's chunks, cut after each that ends a line: the line that a stretch
+    begins on, from 1, the number of its first chunk, from 0, and its chunks. Linear in the chunks."""
+
+    def made(x: Column) -> Column:
+        ends = F.filter(F.transform(x, lambda c, i: F.when(F.contains(c, F.lit("\n")), i)), lambda i: i.isNotNull())
+        return held(F.struct(x.alias("x"), ends.alias("ends")), cut)
+
+    def cut(s: Column) -> Column:
+        many = F.filter(s["ends"], lambda i: line_breaks(F.get(s["x"], i)) > 1)  # numbers in braces over several lines: few
+        return held(F.struct(s["x"].alias("x"), s["ends"].alias("ends"), many.alias("many")), stretches)
+
+    def stretches(s: Column) -> Column:
+        def stretch(end: Column, k: Column) -> Column:
+            first = F.when(k > 0, F.get(s["ends"], k - 1) + 1).otherwise(0)
+            more = F.aggregate(F.filter(s["many"], lambda i: i < first), F.lit(0), lambda n, i: n + line_breaks(F.get(s["x"], i)) - 1)
+            return F.struct((k + 1 + more).cast("long").alias("base_line"), first.alias("first"), F.slice(s["x"], first + 1, end - first + 1).alias("raws"))
+
+        return F.transform(F.concat(s["ends"], F.array(F.size(s["x"]) - 1)), stretch)
+
+    return held(found, made)
+
+
+def chunks(df: DataFrame, key: str, text: str, redi: bool = False, lines: bool = False) -> DataFrame:
+    """(key, chunk_ord, kind, type, content, raw): the chunks of each text in order; with ``lines`` also base_line, the line
+    that a chunk begins on.
 
     kind: token, space, newline, comment, open or close. Numbers of a second edition in braces are comments of type Z;
     a comment's content has no marks and no blanks around it; a line end is one newline. One pass, no shuffle.
     """
-    found = df.select(key, F.posexplode(chunk_array(F.col(text), redi)).alias("chunk_ord", "raw"))
+    found = chunk_array(F.col(text), redi)
+    if lines:
+        cut = df.select(key, F.inline(chunk_lines(found))).select(key, "base_line", "first", F.posexplode("raws").alias("k", "raw"))
+        found = cut.select(key, (F.col("first") + F.col("k")).alias("chunk_ord"), "raw", "base_line")
+    else:
+        found = df.select(key, F.posexplode(found).alias("chunk_ord", "raw"))
     kind = kind_of(F.col("raw"))
     if not redi:  # without the exception for numbers in braces
         kind = F.when(F.col("raw").startswith("{"), "second").otherwise(kind)
@@ -55,7 +93,7 @@ def chunks(df: DataFrame, key: str, text: str, redi: bool = False) -> DataFrame:
         F.when(F.col("_kind") == "comment", F.substring("raw", 2, 1)).when(F.col("_kind") == "second", "Z")
         .when(F.col("_kind").isin("open", "close"), F.expr("substring(raw, 2)")).alias("type"),
         F.when(F.col("_kind") == "comment", F.trim(F.expr("substring(raw, 3, length(raw) - 4)"))).when(F.col("_kind") == "newline", "\n")
-        .otherwise(F.col("raw")).alias("content"), "raw",
+        .otherwise(F.col("raw")).alias("content"), "raw", *["base_line"] * lines,
     )
 
 

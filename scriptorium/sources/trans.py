@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialects import dialect, parsed
-from ..model import Corpus, shift_tag
+from ..model import Corpus, held, shift_tag
 from ..operators import bounds, chunks, headers, layout
 from ..operators.validate import token_errors
 from ..session import checkpointed
@@ -19,15 +19,21 @@ def line_array(text: Column) -> Column:
     their own. A byte order mark is left out.
     """
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "^\ufeff", ""), "\r\n|\n|\r")
-    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("m"))), lambda x: x["m"].isin("+H", "@H"))
 
-    def made(x: Column, i: Column) -> Column:
-        last = F.try_element_at(F.filter(marks, lambda m: m["i"] <= i), F.lit(-1))
-        inside = F.when(last["i"] == i, "mark").when(last["m"] == "+H", "header")
-        part = F.when(F.size(marks) > 0, inside)
-        return F.struct(i.alias("line_no"), x.alias("line"), F.coalesce(part, F.when(x == "", "empty").otherwise("text")).alias("part"))
+    def marked(x: Column) -> Column:
+        marks = F.filter(F.transform(x, lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("m"))), lambda x: x["m"].isin("+H", "@H"))
+        return held(F.struct(x.alias("lines"), marks.alias("marks")), told)
 
-    return F.transform(lines, made)
+    def told(s: Column) -> Column:
+        def made(x: Column, i: Column) -> Column:
+            last = F.try_element_at(F.filter(s["marks"], lambda m: m["i"] <= i), F.lit(-1))
+            inside = F.when(last["i"] == i, "mark").when(last["m"] == "+H", "header")
+            part = F.when(F.size(s["marks"]) > 0, inside)
+            return F.struct(i.alias("line_no"), x.alias("line"), F.coalesce(part, F.when(x == "", "empty").otherwise("text")).alias("part"))
+
+        return F.transform(s["lines"], made)
+
+    return held(lines, marked)
 
 
 def of_part(lines: Column, part: str) -> Column:
@@ -67,53 +73,61 @@ def _spans(marks: Column) -> Column:
 
 
 def token_tables(tokens: DataFrame, of: str, legacy: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tokens, dipls, annos) for rows doc_key, item_ord, tok_ord, token_id, trans, base_line: parsed, bounded, split, numbered."""
-    split = lambda t: bounds.tokenised(t, carry=dialect(of).carried).withColumn("errors", token_errors(legacy=legacy))
-    made = checkpointed(parsed(tokens, of, then=split))  # three tables come from it
-    word = made.select("doc_key", "item_ord", "tok_ord", "token_id", bounds.trans(F.col("chars")).alias("trans"), "errors", "chars", "base_line", "dipls", "annos")
+    """(tokens, dipls, annos) for rows doc_key, item_ord, tok_ord, token_id, trans, base_line: parsed, bounded, split, numbered.
+
+    Tokens of a dialect that never splits them are their own pieces: they are not joined to parsed ones, nor kept.
+    """
+    if dialect(of).whole:
+        made = bounds.whole(tokens)
+        pieces = lambda name, as_: made.where("kept <> ''").select("doc_key", "tok_ord", "base_line", F.lit(0).alias("k"), F.col(name).alias(as_))
+        trans = F.col("kept")
+    else:
+        split = lambda t: bounds.tokenised(t, carry=dialect(of).carried).withColumn("errors", token_errors(legacy=legacy))
+        made = checkpointed(parsed(tokens, of, then=split))  # three tables come from it
+        pieces = lambda name, as_: made.select("doc_key", "tok_ord", "base_line", F.posexplode(f"{name}s").alias("k", as_))
+        trans = bounds.trans(F.col("chars"))
+    word = made.select("doc_key", "item_ord", "tok_ord", "token_id", trans.alias("trans"), "errors", "chars")
     number = lambda name: F.row_number().over(Window.partitionBy("doc_key").orderBy("tok_ord", name)).cast("int")
-    dipls = word.select("doc_key", "tok_ord", "base_line", F.posexplode("dipls").alias("k", "d")).select(
+    dipls = pieces("dipl", "d").select(
         "doc_key", "tok_ord", (F.col("k") + 1).alias("dipl_in_tok"), number("k").alias("dipl_ord"), F.col("d.trans").alias("trans"),
         F.col("d.utf").alias("utf"), (F.col("base_line") + F.col("d.breaks")).cast("int").alias("line_ord"), F.col("d.chars").alias("chars"),
     )
-    annos = word.select("doc_key", "tok_ord", F.posexplode("annos").alias("k", "a")).select(
+    annos = pieces("anno", "a").select(
         "doc_key", "tok_ord", (F.col("k") + 1).alias("anno_in_tok"), number("k").alias("anno_ord"), F.col("a.trans").alias("trans"),
         F.col("a.utf").alias("utf"), F.col("a.simple").alias("simple"), F.expr("cast(map() as map<string,string>)").alias("tags"),
         F.expr("cast(array() as array<string>)").alias("flags"), F.lit(False).alias("checked"), F.col("a.chars").alias("chars"),
     )
     dipls = dipls.withColumn("dipl_id", F.concat(F.lit("d"), "dipl_ord"))
     annos = annos.withColumn("anno_id", F.concat(F.lit("a"), "anno_ord"))
-    return word.drop("base_line", "dipls", "annos"), dipls, annos
+    return word, dipls, annos
 
 
 def read_trans(texts: DataFrame, of: str = "plain", strict: bool = True, legacy: bool = False) -> Corpus:
     """A corpus from ``texts`` (doc_key, text), one row a document. Documents with a faulty token or mark, or a line before
     any good mark, are not valid if ``strict``; documents without a line of tokens never are.
 
-    Lines are told apart inside each row, so texts aren't shuffled. Lines without tokens are left out. Every table is
-    partitioned by doc_key in its windows, so each shuffle is on it.
+    Lines are told apart inside each row, and so are the lines of chunks, so texts aren't shuffled. Lines without tokens are
+    left out. Every table is partitioned by doc_key in its windows, so each shuffle is on it. What is kept in the shared folder
+    is a row a text, as long as the text; chunks are cut again for each table, as rows of their own take many times its space.
     """
     key = "doc_key"
     cut = texts.select(key, line_array(F.col("text")).alias("lines")).withColumn("marked", marked_array(F.col("lines")))
     header = F.array_join(F.transform(of_part(F.col("lines"), "header"), lambda x: x["line"]), "\n")
-    head = cut.select(key, header.alias("header_string"))
-    marks = cut.select(key, F.posexplode(F.transform("marked", lambda x: x["mark"])).alias("ln", "mark")).withColumn("ln", F.col("ln") + 1)
+    body = F.array_join(F.transform("marked", lambda x: x["content"]), "\n")
+    cut = checkpointed(cut.select(key, header.alias("header_string"), F.transform("marked", lambda x: x["mark"]).alias("marks"), body.alias("body")))
+    head = cut.select(key, "header_string")
+    marks = cut.select(key, F.posexplode("marks").alias("ln", "mark")).withColumn("ln", F.col("ln") + 1)
     filled = layout.fill_bibinfo(marks, key, "ln", "mark")
-    body = cut.select(key, F.array_join(F.transform("marked", lambda x: x["content"]), "\n").alias("body"))
-    stream = chunks.chunks(body, key, "body", redi=of == "redi")
+    stream = chunks.chunks(cut, key, "body", redi=of == "redi", lines=True)
     w = Window.partitionBy(key).orderBy("chunk_ord")
-    breaks = F.length("raw") - F.length(F.replace(F.col("raw"), F.lit("\n"), F.lit("")))
     is_token = (F.col("kind") == "token").cast("int")
     is_item = F.col("kind").isin("token", "comment").cast("int")
     placed = (
-        stream.withColumn("base_line", 1 + F.coalesce(F.sum(breaks).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("tok_ord", F.sum(is_token).over(w).cast("int"))
+        stream.withColumn("tok_ord", F.sum(is_token).over(w).cast("int"))
         .withColumn("item_ord", F.sum(is_item).over(w).cast("int"))
     )
-    placed = checkpointed(placed)
-    stream = placed.select(*stream.columns)
     tokens = placed.where("kind = 'token'").select(
-        key, "item_ord", "tok_ord", F.concat(F.lit("t"), "tok_ord").alias("token_id"), F.col("content").alias("trans"), "base_line"
+        key, "item_ord", "tok_ord", F.concat(F.lit("t"), "tok_ord").alias("token_id"), F.col("raw").alias("trans"), "base_line"
     )
     words, dipls, annos = token_tables(tokens, of, legacy)
     comments = placed.where("kind = 'comment'").select(key, "item_ord", "type", "content")

@@ -204,3 +204,56 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / f"d{n}.txt").write_text(TEXT, encoding="utf-8")
         ingest(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "state"), "anselm").awaitTermination()
     assert sorted(r.doc_key for r in stored(spark, str(tmp_path / "store")).documents.collect()) == ["d1", "d2"]
+
+
+def test_plain_texts_take_little_of_the_shared_folder(spark, tmp_path):
+    import os
+
+    from scriptorium.plans.text_queries import trans_corpus
+    from scriptorium.session import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    text = "\n".join(" ".join(f"wort{i % 97}" for i in range(n, n + 50)) for n in range(100)) + "\n{a\nb\nc} x=\ny\n"
+    spark.createDataFrame([(n, text) for n in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = size()
+    rows = trans_corpus(spark, str(tmp_path)).collect()
+    assert size() - before < 2 * 20 * len(text)  # a row a text, not a row a chunk
+    n_chars = sum(len(w) for w in text.split("\n{")[0].split()) + len("x=y")
+    assert [(r.n_lines, r.n_tokens, r.n_annos, r.n_chars) for r in rows] == [(101, 5001, 5001, n_chars)] * 20
+
+
+def test_whole_tokens_are_as_parsed_ones(spark):
+    from scriptorium.functions.dialects import parsed
+    from scriptorium.operators import bounds
+    from scriptorium.operators.validate import token_errors
+
+    given = ["foo", "wor=\nden", "wor=\t\n den", "a b", " x", "\n", " \t", "", "\n \n x", "𝔞b\n", "a.|b#c", "(=)", None]
+    df = spark.createDataFrame([(t,) for t in given], "trans string")
+    old = bounds.tokenised(parsed(df.where("trans is not null"), "plain")).withColumn("errors", token_errors())
+    old = {r.trans: (r.kept, r.chars, r.errors, r.dipls, r.annos) for r in old.withColumn("kept", bounds.trans(F.col("chars"))).collect()}
+    new = {r.trans: r for r in bounds.whole(df).collect()}
+    assert new.pop(None).chars is None and set(new) == set(old)
+    for t, r in new.items():
+        assert (r.kept, r.chars, r.errors, [r.dipl] * bool(r.kept), [r.anno] * bool(r.kept)) == old[t], t
+
+
+def test_chunks_and_their_lines(spark):
+    import random
+    import re
+
+    # the kinds in order, tokens after marks; no text here has other white space than blanks, tabs and line ends
+    token, join = r"[^\s{+@][^\s+@]*", r"\[?\[?(?:\(=\)|=\||=)\]?\]?[ \t]*\n[ \t]*"
+    plain = re.compile(rf"\+[KEZ][^\n@]+@[KEZ]|\+[FLRÜMQ]p?|@[FLRÜMQ]p?|{token}{join}{token}|{token}|\{{[^}}*÷]+\}}|[ \t]|[ \t]*\n[ \t]*")
+    dice = random.Random(1)
+    texts = ["".join(dice.choice(["a", "b", "=", "=|", "(=)", "[", "]", " ", "\t", "\n", "\n", "+", "@", "F", "K", "{", "}", "+K x @K"]) for _ in range(60)) for _ in range(200)]
+    texts += ["", "\n", "\n\n", "a", "{1\n\n2}\nb {c\nd} e\nf", "a=\n\nb", "a=\n{x}", "a\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    expected = []
+    for i, t in enumerate(texts):
+        line = 1
+        for k, m in enumerate(plain.finditer(t)):
+            expected.append((i, k, m.group(), line))
+            line += m.group().count("\n")
+    assert sorted(tuple(r) for r in chunks.chunks(df, "id", "t", lines=True).select("id", "chunk_ord", "raw", "base_line").collect()) == expected
+    assert sorted(tuple(r) for r in chunks.chunks(df, "id", "t").select("id", "chunk_ord", "raw").collect()) == [e[:3] for e in expected]
